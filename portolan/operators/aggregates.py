@@ -16,6 +16,9 @@ QUANTITY_COLUMNS = ("QTDE CONTAINER", "QTDE CONTEINER")
 SIZE_STEPS = (("C20", "C40"), ("QUANTIDADE C20", "QUANTIDADE C40"))
 TEU_COLUMNS = ("QUANTIDADE TEUS", "TEUS")
 
+# The operation types.
+OPERATION_TYPES = ("importacao", "exportacao", "cabotagem")
+
 # Metric columns a total reports when the table has them.
 METRIC_COLUMNS = ("VOLUMES", "VOLUME (M³)", "PESO BRUTO")
 

@@ -5,6 +5,7 @@ from portolan.plans.catalog import (  # noqa: F401
     measures,
     quality,
     rankings,
+    trends,
 )
 from portolan.plans.registry import ORACLES, QUERIES
 
