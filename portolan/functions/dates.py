@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 # Date formats tried in this order (day first before month first).
 DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "d-M-yyyy", "yyyy/M")
 
+# How a text in each format becomes an ISO date. A cast reports an invalid date
+# as null at no cost, while a formatter throws for every value that does not fit.
+_DAY, _YEAR = "([0-9]{1,2})", "([0-9]{4})"
+_SHAPES = {
+    "d/M/yyyy": (f"^{_DAY}/{_DAY}/{_YEAR}$", "$3-$2-$1"),
+    "yyyy-M-d": (f"^{_YEAR}-{_DAY}-{_DAY}$", "$1-$2-$3"),
+    "M/d/yyyy": (f"^{_DAY}/{_DAY}/{_YEAR}$", "$3-$1-$2"),
+    "yyyy/M/d": (f"^{_YEAR}/{_DAY}/{_DAY}$", "$1-$2-$3"),
+    "d-M-yyyy": (f"^{_DAY}-{_DAY}-{_YEAR}$", "$3-$2-$1"),
+    "yyyy/M": (f"^{_YEAR}/{_DAY}$", "$1-$2-01"),
+    "yyyyMM": ("^([0-9]{4})([0-9]{2})$", "$1-$2-01"),
+}
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def parse_date(c: Column | str, fmt: str) -> Column:
-    """Strict parse in one format; null when it does not fit."""
-    return F.to_date(F.try_to_timestamp(_col(c), F.lit(fmt)))
+    """Strict parse in one of the known formats; null when it does not fit."""
+    shape, iso = _SHAPES[fmt]
+    text = _col(c)
+    return F.when(text.rlike(shape), F.regexp_replace(text, shape, iso)).try_cast("date")
 
 
 def parse_any_date(c: Column | str) -> Column:
@@ -25,21 +40,15 @@ def parse_any_date(c: Column | str) -> Column:
 
 def parse_year_month(c: Column | str) -> Column:
     """First day of a yyyyMM period, given as a number or text."""
-    text = F.lpad(_col(c).cast("string"), 6, "0")
-    return parse_date(F.when(text.rlike("^[0-9]{6}$"), text), "yyyyMM")
+    return parse_date(F.lpad(_col(c).cast("string"), 6, "0"), "yyyyMM")
 
 
 def parse_period(c: Column | str) -> Column:
     """First day of a month written as yyyyMM, yyyy-MM, yyyy/MM, MM/yyyy or MM-yyyy."""
     text = F.trim(_col(c).cast("string"))
-    year_first = F.regexp_extract(text, r"^((19|20)[0-9]{2})[-/]?([0-9]{2})$", 1)
-    month_after = F.regexp_extract(text, r"^((19|20)[0-9]{2})[-/]?([0-9]{2})$", 3)
-    month_first = F.regexp_extract(text, r"^([0-9]{2})[-/]([0-9]{4})$", 1)
-    year_after = F.regexp_extract(text, r"^([0-9]{2})[-/]([0-9]{4})$", 2)
-    compact = F.when(year_first != "", F.concat(year_first, month_after)).when(
-        month_first != "", F.concat(year_after, month_first)
-    )
-    return parse_date(compact, "yyyyMM")
+    year_first = F.regexp_replace(text, r"^([0-9]{4})[-/]?([0-9]{2})$", "$1-$2-01")
+    month_first = F.regexp_replace(text, r"^([0-9]{2})[-/]([0-9]{4})$", "$2-$1-01")
+    return F.coalesce(*[F.when(iso != text, iso).try_cast("date") for iso in (year_first, month_first)])
 
 
 def year_month(date: Column | str) -> Column:

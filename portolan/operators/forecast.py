@@ -13,25 +13,29 @@ FEATURES = ("mes_sequencial", "mes", "trimestre")
 
 
 def fit(series: DataFrame) -> dict | None:
-    """Least squares from one aggregate row of the monthly series; minimum norm when
-    the features are collinear. None below six months.
+    """Least squares on the monthly series; minimum norm when the features are
+    collinear, None below six months.
+
+    One aggregate row leaves the cluster: the points of the series, twelve a year.
     """
-    moments = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"s_{i}_{j}")
-               for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j]
-    cross = [F.covar_pop(F.col(a).cast("double"), "qtd_container").alias(f"y_{i}") for i, a in enumerate(FEATURES)]
-    means = [F.avg(a).alias(f"m_{i}") for i, a in enumerate(FEATURES)]
+    point = F.struct(*[F.col(f).cast("double").alias(f) for f in FEATURES], "qtd_container")
     row = series.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("qtd_container").alias("media"), F.max("data").alias("ultima"),
-        F.max("mes_sequencial").alias("ultimo"), *moments, *cross, *means,
+        F.collect_list(point).alias("pontos"), F.max("data").alias("ultima"), F.max("mes_sequencial").alias("ultimo"),
     ).first()
-    if row["n"] < 6:
+    if len(row["pontos"]) < 6:
         return None
-    size = range(len(FEATURES))
-    s = np.array([[row[f"s_{min(i, j)}_{max(i, j)}"] for j in size] for i in size])
-    beta = np.linalg.pinv(s, rcond=1e-10) @ np.array([row[f"y_{i}"] for i in size])
-    intercept = row["media"] - float(beta @ np.array([row[f"m_{i}"] for i in size]))
-    return {"beta": [float(b) for b in beta], "intercepto": float(intercept), "n": row["n"],
-            "ultima": row["ultima"], "ultimo": row["ultimo"]}
+    points = np.array([tuple(p) for p in row["pontos"]])
+    x, y = points[:, :-1], points[:, -1]
+    centred = x - x.mean(axis=0)
+    beta = np.linalg.pinv(centred, rcond=1e-10) @ (y - y.mean())
+    intercept = float(y.mean() - x.mean(axis=0) @ beta)
+    error = y - (x @ beta + intercept)
+    spread = float(((y - y.mean()) ** 2).sum())
+    return {
+        "beta": [float(b) for b in beta], "intercepto": intercept, "n": len(y),
+        "ultima": row["ultima"], "ultimo": row["ultimo"], "mae": float(np.abs(error).mean()),
+        "r2": 1.0 - float((error**2).sum()) / spread if spread else 1.0,
+    }
 
 
 def _predicted(model: dict, values: list[Column]) -> Column:
@@ -41,35 +45,23 @@ def _predicted(model: dict, values: list[Column]) -> Column:
     return result
 
 
-def _quality(series: DataFrame, model: dict) -> DataFrame:
-    error = F.col("qtd_container") - _predicted(model, [F.col(f) for f in FEATURES])
-    return series.agg(
-        F.avg(F.abs(error)).alias("mae"),
-        (F.lit(1.0) - F.sum(error * error) / (F.var_pop("qtd_container") * F.count("qtd_container"))).alias("r2"),
-        F.count(F.lit(1)).alias("dados_historicos"),
-    )
-
-
 def forecast(df: DataFrame, months_ahead: int = 3) -> DataFrame:
-    """Predictions ``months_ahead`` steps of 30 days past the last month.
-
-    The only thing that leaves the cluster is one row of moments; no rows come back
-    for a series shorter than six months.
+    """Predictions ``months_ahead`` steps of 30 days past the last month; no rows for
+    a series shorter than six months.
     """
-    series = monthly_series(df)
-    model = fit(series)
+    model = fit(monthly_series(df))
     spark = df.sparkSession
     if model is None:
         return spark.createDataFrame([], "passo int, mes string, containers_previstos bigint, mae double, r2 double, "
                                          "precisao string, confianca string, dados_historicos bigint")
-    quality = _quality(series, model).select(F.struct("mae", "r2", "dados_historicos")).scalar()
     step = F.col("passo")
     day = F.date_add(F.lit(model["ultima"]), step * 30)
     value = _predicted(model, [F.lit(model["ultimo"]) + step, F.month(day), F.quarter(day)])
+    r2 = F.lit(model["r2"])
     return spark.range(1, months_ahead + 1).select(F.col("id").cast("int").alias("passo")).select(
         "passo", F.date_format(day, "yyyy-MM").alias("mes"),
         F.greatest(F.lit(0), value.cast("bigint")).alias("containers_previstos"),
-        F.bround(quality["mae"], 4).alias("mae"), F.bround(quality["r2"], 6).alias("r2"),
-        precision_band(quality["r2"]).alias("precisao"), confidence_band(quality["r2"]).alias("confianca"),
-        quality["dados_historicos"].alias("dados_historicos"),
+        F.bround(F.lit(model["mae"]), 4).alias("mae"), F.bround(r2, 6).alias("r2"),
+        precision_band(r2).alias("precisao"), confidence_band(r2).alias("confianca"),
+        F.lit(model["n"]).cast("bigint").alias("dados_historicos"),
     )

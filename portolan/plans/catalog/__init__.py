@@ -1,6 +1,7 @@
 """All composed queries, by area."""
 
 from portolan.plans.catalog import (  # noqa: F401
+    cleaning,
     filters,
     measures,
     quality,
