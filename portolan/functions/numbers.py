@@ -62,6 +62,26 @@ def format_thousands(c: Column | str) -> Column:
     return F.replace(F.format_number(_col(c).cast("bigint"), 0), F.lit(","), F.lit("."))
 
 
+def format_fixed(c: Column | str, digits: int = 2) -> Column:
+    """Fixed-point text of a double, rounded half to even on its exact binary value.
+
+    The fraction is scaled to a whole number of 2**-52, where the rounding is exact.
+    """
+    x = _col(c).cast("double")
+    whole = F.floor(F.abs(x))
+    scale, unit = 10**digits, 2**52
+    parts = ((F.abs(x) - whole) * F.lit(float(unit))).cast("bigint") * F.lit(scale)
+    down = F.shiftright(parts, 52)
+    rest = parts.bitwiseAND(F.lit(unit - 1))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
+    cents = whole * F.lit(scale) + down + F.when(up, 1).otherwise(0)
+    units = ((cents - cents % F.lit(scale)) / F.lit(scale)).cast("bigint").cast("string")
+    sign = F.when((x < 0) & (cents > 0), "-").otherwise("")
+    if digits == 0:
+        return F.concat(sign, units)
+    return F.concat(sign, units, F.lit("."), F.lpad((cents % F.lit(scale)).cast("string"), digits, "0"))
+
+
 def similarity(distance: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + _col(distance))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.dates import months_between_starts, parse_year_month
+from portolan.functions.numbers import format_fixed
 from portolan.operators import forecast as fc
 from portolan.operators import series
 from portolan.operators.aggregates import sum0, sum_by
@@ -53,10 +54,6 @@ def small_operations(df: DataFrame, limit: float = 20.0) -> DataFrame:
     return totals.select("tipo_operacao", "total", share.alias("participacao")).where(F.col("participacao") < limit)
 
 
-def _whole(c: Column | str) -> Column:
-    return F.format_string("%d", F.bround(c, 0).cast("bigint"))
-
-
 def opportunities(df: DataFrame, limit: int = 15) -> DataFrame:
     """Client, month and operation findings in that order, cut at the report's size."""
     clients = upsell(df).select(
@@ -66,11 +63,11 @@ def opportunities(df: DataFrame, limit: int = 15) -> DataFrame:
     months = low_months(df).select(
         F.lit(2).alias("ordem"), F.col("periodo").alias("chave"), F.lit("sazonalidade").alias("tipo"),
         F.lit("Médio").alias("potencial"),
-        F.concat(F.lit("Mês com volume "), _whole("total"), F.lit(" (70% abaixo da média)")).alias("descricao"))
+        F.concat(F.lit("Mês com volume "), format_fixed("total", 0), F.lit(" (70% abaixo da média)")).alias("descricao"))
     operations = small_operations(df).select(
         F.lit(3).alias("ordem"), F.col("tipo_operacao").alias("chave"), F.lit("diversificacao_operacao").alias("tipo"),
         F.lit("Alto").alias("potencial"),
-        F.format_string("Operação %s representa apenas %.1f%% do volume", F.col("tipo_operacao"), F.col("participacao")).alias("descricao"))
+        F.concat(F.lit("Operação "), "tipo_operacao", F.lit(" representa apenas "), format_fixed("participacao", 1), F.lit("% do volume")).alias("descricao"))
     return clients.unionByName(months).unionByName(operations).orderBy("ordem", "chave").limit(limit)
 
 

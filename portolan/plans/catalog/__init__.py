@@ -6,6 +6,7 @@ from portolan.plans.catalog import (  # noqa: F401
     measures,
     quality,
     rankings,
+    texts,
     trends,
 )
 from portolan.plans.registry import ORACLES, QUERIES
