@@ -5,7 +5,9 @@ from portolan.plans.catalog import (  # noqa: F401
     filters,
     measures,
     quality,
+    questions,
     rankings,
+    scalars,
     texts,
     trends,
 )

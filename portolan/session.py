@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,12 @@ def build_session(app: str = "portolan", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder on the cluster's shared storage, beside its checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="portolan-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir.
 
