@@ -17,7 +17,7 @@ longer than the window instead:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,10 @@ def _following(ts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _steps(window: int, length: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["t"].to_numpy())
-        count, begin = len(ts), int(pdf["fatia"].iloc[0]) * length
+    def run(group: pa.Table) -> pa.Table:
+        ts = np.sort(group["t"].to_numpy())
+        slice_no = group["fatia"][0].as_py()
+        count, begin = len(ts), slice_no * length
         here = np.arange(count)
         follow = _following(ts, window)
         last = np.where(follow < count, follow, here)
@@ -46,37 +47,38 @@ def _steps(window: int, length: int):
         reach = min(int(np.searchsorted(ts, begin + window - 1, side="right")), count - 1)
         ends = last[: reach + 1]
         edges = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
-        return pd.DataFrame({
-            "chave": [pdf["chave"].iloc[0]], "fatia": [pdf["fatia"].iloc[0]], "n": [count],
-            "ate": [ts[edges].tolist()], "abertura": [ts[ends[edges]].tolist()], "vistos": [(count - ends[edges]).tolist()],
+        return pa.table({
+            "chave": group["chave"].slice(0, 1), "fatia": [slice_no], "n": [count], "ate": [ts[edges].tolist()],
+            "abertura": [ts[ends[edges]].tolist()], "vistos": [(count - ends[edges]).tolist()],
         })
 
     return run
 
 
 def _follow(window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fatia")
-        opened, seen, entries = None, 0, []
-        for row in pdf.itertuples(index=False):
-            entries.append((row.chave, row.fatia, 0 if opened is None else opened, seen))
-            step = 0 if opened is None else int(np.searchsorted(np.asarray(row.ate), opened + window, side="right"))
-            if step < len(row.ate):
-                opened, seen = int(row.abertura[step]), int(row.vistos[step])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("fatia")
+        opened, seen, at_start, seen_before = None, 0, [], []
+        for n, upto, opening, inside in zip(*(group[c].to_pylist() for c in ("n", "ate", "abertura", "vistos"))):
+            at_start.append(0 if opened is None else opened)
+            seen_before.append(seen)
+            step = 0 if opened is None else int(np.searchsorted(np.asarray(upto), opened + window, side="right"))
+            if step < len(upto):
+                opened, seen = opening[step], inside[step]
             else:
-                seen += int(row.n)
-        return pd.DataFrame(entries, columns=["chave", "fatia", "aberta", "vistos"])
+                seen += n
+        return pa.table({"chave": group["chave"], "fatia": group["fatia"], "aberta": at_start, "vistos": seen_before})
 
     return run
 
 
 def _decide(window: int):
-    def run(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values(["t", "id"])
+    def run(events: pa.Table, entry: pa.Table) -> pa.Table:
+        events = events.sort_by([("t", "ascending"), ("id", "ascending")])
         ts = events["t"].to_numpy()
         count = len(ts)
         opened, order = np.empty(count, dtype="int64"), np.empty(count, dtype="int64")
-        at, seen = int(entry["aberta"].iloc[0]), int(entry["vistos"].iloc[0])
+        at, seen = entry["aberta"][0].as_py(), entry["vistos"][0].as_py()
         first = 0 if seen == 0 else int(np.searchsorted(ts, at + window, side="right"))
         opened[:first], order[:first] = at, seen + np.arange(1, first + 1)
         follow = _following(ts, window)
@@ -84,7 +86,7 @@ def _decide(window: int):
             after = int(follow[first])
             opened[first:after], order[first:after] = ts[first], np.arange(1, after - first + 1)
             first = after
-        return pd.DataFrame({"chave": events["chave"].to_numpy(), "id": events["id"].to_numpy(), "t": ts, "aberta": opened, "ordem": order})
+        return pa.table({"chave": events["chave"], "id": events["id"], "t": events["t"], "aberta": opened, "ordem": order})
 
     return run
 
@@ -104,9 +106,9 @@ def rate_limit(events: DataFrame, key: str, time: str, event_id: str, limit: int
     rows = events.select(F.col(key).alias("chave"), F.col(event_id).alias("id"), moment.alias("t")).withColumn(
         "fatia", F.floor(F.col("t") / length).cast("bigint"))
     groups = rows.groupBy("chave", "fatia")
-    steps = groups.applyInPandas(_steps(span, length), STEPS.format(**kinds))
-    entries = steps.groupBy("chave").applyInPandas(_follow(span), ENTRIES.format(**kinds))
-    decided = groups.cogroup(entries.groupBy("chave", "fatia")).applyInPandas(_decide(span), DECISIONS.format(**kinds))
+    steps = groups.applyInArrow(_steps(span, length), STEPS.format(**kinds))
+    entries = steps.groupBy("chave").applyInArrow(_follow(span), ENTRIES.format(**kinds))
+    decided = groups.cogroup(entries.groupBy("chave", "fatia")).applyInArrow(_decide(span), DECISIONS.format(**kinds))
     return decided.select(
         F.col("chave").alias(key), F.col("id").alias(event_id), F.timestamp_micros("t").alias(time),
         F.timestamp_micros("aberta").alias("window_start"), F.col("ordem").alias("position"), (F.col("ordem") <= limit).alias("accepted"))

@@ -2,6 +2,7 @@
 
 from portolan.plans.catalog import (  # noqa: F401
     cleaning,
+    files,
     filters,
     measures,
     quality,
@@ -9,6 +10,7 @@ from portolan.plans.catalog import (  # noqa: F401
     rankings,
     scalars,
     texts,
+    tracking,
     trends,
 )
 from portolan.plans.registry import ORACLES, QUERIES

@@ -77,10 +77,10 @@ def comparison_period(spark, d):
 
 
 def _entity_sql(name, table_name, column):
-    return f"""{name} AS (SELECT id, arg_min(e, (-length(e), e)) AS e FROM qs JOIN (SELECT DISTINCT lower({column}) AS e FROM {table_name}) ON contains(strip_accents(lower(pergunta)), e) GROUP BY id)"""
+    return f"""{name} AS (SELECT id, arg_min(e, (-length(e), e)) AS e FROM qn JOIN (SELECT DISTINCT lower({column}) AS e FROM {table_name}) ON contains(n, e) GROUP BY id)"""
 
 
-ENTITIES = _entity_sql("ec", "customer", "c_name") + ", " + _entity_sql("ep", "nation", "n_name")
+ENTITIES = "qn AS MATERIALIZED (SELECT id, strip_accents(lower(pergunta)) AS n FROM qs), " + _entity_sql("ec", "customer", "c_name") + ", " + _entity_sql("ep", "nation", "n_name")
 
 
 def _clients(spark, d):

@@ -19,11 +19,9 @@ def strings(spark, d):
         F.substring("p_brand", 2, 4).alias("parte"), F.length("p_name").alias("tamanho"))
 
 
-@query("l2_accents", "SELECT doc_id, strip_accents(lower(substr(text, 1, length(text)))) AS texto FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7FáàãâäéêëèíïîìóõôöòúüûùçñÁÀÃÂÄÉÊËÈÍÏÎÌÓÕÔÖÒÚÜÛÙÇÑ]*$')")
+@query("l2_accents", f"SELECT doc_id, translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') AS texto FROM documents")
 def accents(spark, d):
-    latin = r"^[\x00-\x7FáàãâäéêëèíïîìóõôöòúüûùçñÁÀÃÂÄÉÊËÈÍÏÎÌÓÕÔÖÒÚÜÛÙÇÑ]*$"
-    rows = table(spark, d, "documents").where(F.col("text").rlike(latin))
-    return rows.select("doc_id", F.translate(text.fold_accents("text"), "ñ", "n").alias("texto"))
+    return table(spark, d, "documents").select("doc_id", text.fold_accents("text").alias("texto"))
 
 
 @query("l3_contains", """

@@ -45,6 +45,12 @@ def probe_columns(spark: SparkSession, path: str, kind: str | None = None) -> li
     return read_table(spark, path, kind).columns
 
 
+def column_catalog(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows (source, posicao, coluna) of many sources, ready for the schema rules."""
+    rows = [(name, i, c) for name, path in paths.items() for i, c in enumerate(probe_columns(spark, path))]
+    return spark.createDataFrame(rows, "source string, posicao int, coluna string")
+
+
 def read_csv_any_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, **options) -> DataFrame:
     """CSV in the first encoding that decodes every value; the last one is taken unchecked."""
     for encoding in encodings[:-1]:

@@ -16,9 +16,13 @@ from pyspark.sql.types import StructType
 WATERMARK = "1 hour"
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
+                 files_per_trigger: int = 100) -> DataFrame:
+    """Parquet files of a folder as they arrive."""
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    )
 
 
 def incremental_refresh(source: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
