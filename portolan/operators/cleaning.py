@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portolan.functions import dates, numbers
+from portolan.functions.shape import inline_rows
 from portolan.functions.text import fold_name, normalize_text
 from portolan.operators import roles
 
@@ -89,9 +90,17 @@ def split_period(df: DataFrame, column: str = "ano_mes") -> DataFrame:
 
 
 def _failures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[
-        F.count_if(_quoted(c).isNotNull() & dates.parse_date(_quoted(c), fmt).isNull()).alias(f"f{i}_{j}")
-        for i, c in enumerate(columns) for j, fmt in enumerate(dates.DATE_FORMATS)
+    """One row: per column and format, the distinct values the format does not parse.
+
+    Dates repeat a lot, so values are made distinct before they are parsed.
+    """
+    values = df.select(inline_rows(("coluna", "valor"), [(F.lit(c), _quoted(c)) for c in columns]))
+    distinct = values.where("valor is not null").distinct()
+    flags = distinct.select("coluna", *[
+        dates.parse_date("valor", fmt).isNull().alias(f"b{j}") for j, fmt in enumerate(dates.DATE_FORMATS)])
+    return flags.agg(*[
+        F.count_if((F.col("coluna") == c) & F.col(f"b{j}")).alias(f"f{i}_{j}")
+        for i, c in enumerate(columns) for j in range(len(dates.DATE_FORMATS))
     ])
 
 
@@ -107,8 +116,6 @@ def detect_date_formats(df: DataFrame, columns: Sequence[str], sample: int | Non
 
     One aggregate over the whole columns; ``sample`` probes that many rows instead.
     """
-    from portolan.functions.shape import inline_rows
-
     rows = df.select(*[_quoted(c) for c in columns])
     rows = rows.limit(sample) if sample else rows
     return _failures(rows, columns).select(

@@ -136,44 +136,46 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("copias") - 1), F.lit(0)).alias("duplicados"))
 
 
-def outliers(df: DataFrame, column: str = "qtd_container") -> DataFrame:
-    """Rows strictly outside 1.5 quartile ranges, and whether they exceed 5 % of all."""
+def _outlier_count(df: DataFrame, column: str) -> Column:
+    """Aggregate: rows strictly outside 1.5 quartile ranges of the whole table."""
     quartiles = column_quantiles(df, column, q1=0.25, q3=0.75).select(F.struct("q1", "q3")).scalar()
     q1, q3 = quartiles["q1"], quartiles["q3"]
     reach = (q3 - q1) * 1.5
-    counts = df.agg(
-        F.count_if((F.col(column) < q1 - reach) | (F.col(column) > q3 + reach)).alias("outliers"),
-        F.count(F.lit(1)).alias("registros"),
-    )
+    return F.count_if((F.col(column) < q1 - reach) | (F.col(column) > q3 + reach))
+
+
+def outliers(df: DataFrame, column: str = "qtd_container") -> DataFrame:
+    """Outlying rows, and whether they exceed 5 % of all."""
+    counts = df.agg(_outlier_count(df, column).alias("outliers"), F.count(F.lit(1)).alias("registros"))
     return counts.withColumn("excede_5pct", F.col("outliers") > F.col("registros") * 0.05)
 
 
+def _completeness(columns: Sequence[str]) -> Column:
+    """Aggregate: mean over the columns of the percentage of non-null values."""
+    shares = [F.try_divide(F.count(F.col(f"`{c}`")) * F.lit(100.0), F.count(F.lit(1))) for c in columns]
+    return sum(shares[1:], shares[0]) / len(shares)
+
+
 def completeness(df: DataFrame) -> DataFrame:
-    """Mean over the columns of the percentage of non-null values."""
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    shares = [F.try_divide(F.col(f"c{i}") * F.lit(100.0), F.col("n")) for i in range(len(df.columns))]
-    return counts.select((sum(shares[1:], shares[0]) / len(shares)).alias("completude"))
+    return df.agg(_completeness(df.columns).alias("completude"))
 
 
-def bad_periods(df: DataFrame, column: str = "ano_mes") -> DataFrame:
-    """Periods whose text is not six characters long; a missing one counts."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    return df.agg(F.count_if(F.length(text) != 6).alias("periodos_invalidos"))
+def _bad_periods(column: str) -> Column:
+    """Aggregate: periods whose text is not six characters long; a missing one counts."""
+    return F.count_if(F.length(F.coalesce(F.col(column).cast("string"), F.lit("nan"))) != 6)
 
 
 def quality_score(df: DataFrame, quantity: str = "qtd_container", period: str = "ano_mes") -> DataFrame:
     """Score from 100 down, with the figures behind every deduction; 0 for an empty table."""
-    row = outliers(df, quantity).select(
-        "registros", "outliers", "excede_5pct",
-        duplicate_rows(df).scalar().alias("duplicados"),
-        bad_periods(df, period).scalar().alias("periodos_invalidos"),
-        completeness(df).scalar().alias("completude"),
-    )
+    row = df.agg(
+        F.count(F.lit(1)).alias("registros"), _outlier_count(df, quantity).alias("outliers"),
+        _bad_periods(period).alias("periodos_invalidos"), _completeness(df.columns).alias("completude"),
+    ).withColumn("duplicados", duplicate_rows(df).scalar())
     score = (
         F.lit(100)
         - F.when(F.col("duplicados") > 0, 10).otherwise(0)
         - F.when(F.col("periodos_invalidos") > 0, 15).otherwise(0)
-        - F.when(F.col("excede_5pct"), 5).otherwise(0)
+        - F.when(F.col("outliers") > F.col("registros") * 0.05, 5).otherwise(0)
         - F.when(F.col("completude") < 90, 20).otherwise(0)
     )
     return row.select(

@@ -32,6 +32,10 @@ def _plain(word: str) -> str:
     return word.replace("ç", "c")
 
 
+def _map_of(values: dict) -> Column:
+    return F.create_map(*[F.lit(cell) for pair in values.items() for cell in pair])
+
+
 def intent(question: Column) -> Column:
     text = F.lower(question)
     result = F.lit("total")
@@ -46,8 +50,9 @@ def year_of(question: Column) -> Column:
 
 def month_of(question: Column) -> Column:
     """First month, in the order of the name list, that is a word of the question."""
+    places = _map_of({_plain(name): i for i, name in enumerate(MONTHS)})
     words = F.split(fold_accents(question), "[^a-z0-9]+")
-    return F.coalesce(*[F.when(F.array_contains(words, _plain(name)), F.lit(n)) for name, n in MONTHS.items()])
+    return F.pmod(F.array_min(F.transform(words, lambda w: F.try_element_at(places, w))), F.lit(12)) + 1
 
 
 def date_of(question: Column) -> Column:
@@ -61,11 +66,9 @@ def comparison_period(question: Column) -> Column:
     """Struct (inicio, fim): the first and last month named within two words of a
     year; with fewer than two, the single date and the month before it.
     """
-    words = F.split(F.trim(fold_accents(question)), r"\s+")
-    cells = [cell for name, n in MONTHS.items() for cell in (F.lit(_plain(name)), F.lit(f"{n:02d}"))]
-    months = F.create_map(*cells)
+    months = _map_of({_plain(name): f"{n:02d}" for name, n in MONTHS.items()})
 
-    def near(word: Column, i: Column) -> Column:
+    def near(words: Column, word: Column, i: Column) -> Column:
         start = F.greatest(i - 2, F.lit(0))
         years = F.filter(
             F.transform(F.slice(words, start + 1, i + 3 - start), lambda w: F.when(w.rlike("^20[0-9]{2}"), F.regexp_extract(w, YEAR, 1))),
@@ -74,7 +77,10 @@ def comparison_period(question: Column) -> Column:
         return F.when(month.isNotNull(), F.transform(years, lambda y: F.concat_ws("-", y, month, F.lit("01")))).otherwise(
             F.array().cast("array<string>"))
 
-    dates = F.array_distinct(F.flatten(F.transform(words, near)))
+    # One-element outer array: the words are split once per question.
+    split = F.array(F.split(F.trim(fold_accents(question)), r"\s+"))
+    found = F.transform(split, lambda words: F.array_distinct(F.flatten(F.transform(words, lambda w, i: near(words, w, i)))))
+    dates = F.element_at(found, 1)
     single = date_of(question)
     return F.when(F.size(dates) >= 2, F.struct(
         F.array_min(dates).try_cast("date").alias("inicio"), F.array_max(dates).try_cast("date").alias("fim"),
@@ -98,8 +104,8 @@ def match_entities(questions: DataFrame, entities: DataFrame, key: str, text: st
     normal = questions.select(key, normalize_text(F.col(text)).alias("q"))
     pieces = (
         normal.select(key, "q", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("q"))
-        .select(key, F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring(F.col("q"), i, F.col("n")))).alias(entity))
+        .select(key, "q", "n", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1)).alias("i"))
+        .select(key, F.col("q").substr(F.col("i"), F.col("n")).alias(entity))
     )
     found = pieces.join(entities.select(entity), entity)
     best = found.groupBy(key).agg(F.min(F.struct((-F.length(entity)).alias("n"), F.col(entity).alias("e"))).alias("b"))

@@ -76,8 +76,9 @@ def detect_schema(catalog: DataFrame) -> DataFrame:
     ).select("source", "b.esquema", "b.score")
 
 
-def _folded(catalog: DataFrame) -> DataFrame:
-    return catalog.withColumn("dobrada", fold_accents("coluna"))
+def _headers(catalog: DataFrame) -> DataFrame:
+    """Distinct headers with their folded form; a catalog repeats few headers many times."""
+    return catalog.select("coluna").distinct().withColumn("dobrada", fold_accents("coluna"))
 
 
 def _folded_contains(words: Sequence[str]) -> Column:
@@ -87,8 +88,8 @@ def _folded_contains(words: Sequence[str]) -> Column:
 def tag_roles(catalog: DataFrame) -> DataFrame:
     """First column of every role in every source."""
     tags = F.array_compact(F.array(*[F.when(_folded_contains(words), F.lit(role)) for role, words in roles.ROLE_KEYWORDS.items()]))
-    return _folded(catalog).select("source", "posicao", "coluna", F.explode(tags).alias("papel")).groupBy("source", "papel").agg(
-        F.min_by("coluna", "posicao").alias("coluna"))
+    tagged = _headers(catalog).select("coluna", F.explode(tags).alias("papel"))
+    return catalog.join(tagged, "coluna").groupBy("source", "papel").agg(F.min_by("coluna", "posicao").alias("coluna"))
 
 
 def _score(rules) -> Column:
@@ -100,7 +101,8 @@ def _score(rules) -> Column:
 
 def best_date_column(catalog: DataFrame) -> DataFrame:
     """Date column with the highest header score of every source, first on ties."""
-    dated = _folded(catalog).where(_folded_contains(roles.ROLE_KEYWORDS["data"])).withColumn("score", _score(DATE_SCORES))
+    scored = _headers(catalog).where(_folded_contains(roles.ROLE_KEYWORDS["data"])).select("coluna", _score(DATE_SCORES).alias("score"))
+    dated = catalog.join(scored, "coluna")
     return dated.groupBy("source").agg(
         F.max_by(F.struct("coluna", "score"), F.struct("score", -F.col("posicao"))).alias("b")
     ).select("source", "b.coluna", "b.score")

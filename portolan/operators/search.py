@@ -18,6 +18,9 @@ RANK_CONSTANT = 60
 # Query vectors sent to the tasks at a time; larger sets go block by block.
 QUERY_BLOCK = 4096
 
+# Characters of query text sent to the tasks at most.
+QUERY_CHARS = 4_000_000
+
 
 def keyword_score(text: Column, query: str) -> Column:
     """Occurrences of the query's words, as substrings; a repeated word counts again."""
@@ -38,10 +41,62 @@ def keyword_search_many(docs: DataFrame, queries: DataFrame, k: int = 5, key: st
                         query_key: str = "query_id", query: str = "query") -> DataFrame:
     """Top documents for every query of a table.
 
+    A query table of checked, small size goes to the tasks, which count the words
+    of their documents and send on only k rows per query. A larger one is joined.
+    """
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(query)), F.lit(0)).alias("chars")).first()
+    if size["n"] <= QUERY_BLOCK and size["chars"] <= QUERY_CHARS:
+        scores = _keyword_block(docs, queries, k, key, text, query_key, query)
+    else:
+        scores = _keyword_join(docs, queries, key, text, query_key, query)
+    return _best(scores, query_key, F.desc("score"), key, k)
+
+
+def _keyword_block(docs, queries, k, key, text, query_key, query) -> DataFrame:
+    rows = queries.select(query_key, F.lower(query).alias("q")).orderBy(query_key).collect()
+    places: dict[str, int] = {}
+    cells = [(places.setdefault(word, len(places)), i) for i, r in enumerate(rows) for word in (r["q"] or "").split()]
+    weights = np.zeros((len(places), len(rows)))
+    np.add.at(weights, tuple(np.array(cells, dtype="int64").reshape(-1, 2).T), 1.0)
+    sent = docs.sparkSession.sparkContext.broadcast(([r[query_key] for r in rows], list(places), weights))
+    kinds = (queries.schema[query_key].dataType.simpleString(), docs.schema[key].dataType.simpleString())
+
+    def top_of_partition(frames):
+        names, words, weight = sent.value
+        best = None
+        for pdf in frames:
+            counts = np.array([[content.count(word) for word in words] for content in pdf["t"]]).reshape(len(pdf), len(words))
+            best = _keep_best(best, -(counts @ weight), pdf[key].to_numpy(), k)
+        if best is not None:
+            found = _best_rows(best, names, query_key, key)
+            found = found[found["custo"] < 0]
+            yield found.assign(score=(-found["custo"]).astype("int64"))[[query_key, key, "score"]]
+
+    lowered = docs.select(key, F.lower(text).alias("t")).where("t is not null")
+    return lowered.mapInPandas(top_of_partition, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score bigint")
+
+
+def _keep_best(best, cost: np.ndarray, ids: np.ndarray, k: int):
+    """The k cheapest rows per column of the rows kept so far and a new block of them."""
+    ids = np.repeat(ids[:, None], cost.shape[1], 1)
+    if best is not None:
+        cost, ids = np.vstack([best[0], cost]), np.vstack([best[1], ids])
+    order = np.lexsort((ids, cost), axis=0)[:k]
+    return np.take_along_axis(cost, order, 0), np.take_along_axis(ids, order, 0)
+
+
+def _best_rows(best, names: list, query_key: str, key: str) -> pd.DataFrame:
+    cost, ids = best
+    return pd.DataFrame({query_key: np.repeat(np.array(names), len(cost)), key: ids.T.reshape(-1), "custo": cost.T.reshape(-1)})
+
+
+def _keyword_join(docs, queries, key, text, query_key, query) -> DataFrame:
+    """Scores of all matching pairs, by equality joins alone.
+
     A query word holds no white space, so each of its occurrences lies inside one
     token of a document. The distinct tokens are cut into pieces as long as the
-    query words and joined on equality, which finds the tokens that hold a word
-    without comparing every word with every token.
+    query words, and pieces meet words by equality: no word is compared with a
+    token that does not hold it.
     """
     words = (
         queries.select(query_key, F.explode(F.split(F.lower(query), r"\s+")).alias("palavra")).where("palavra <> ''")
@@ -53,14 +108,15 @@ def keyword_search_many(docs: DataFrame, queries: DataFrame, k: int = 5, key: st
     )
     lengths = words.agg(F.collect_set(F.length("palavra"))).scalar()
     vocabulary = tokens.select("token").distinct().select("token", F.explode(lengths).alias("n"))
-    pieces = vocabulary.where(F.col("n") <= F.length("token")).select(
-        "token", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("token") - F.col("n") + 1), lambda i: F.substring(F.col("token"), i, F.col("n"))
-        ))).alias("palavra"))
-    hits = pieces.join(words, "palavra").groupBy("token", query_key).agg(
-        F.sum(occurrences(F.col("token"), F.col("palavra")) * F.col("vezes")).alias("peso"))
-    scores = tokens.join(hits, "token").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("peso")).alias("score"))
-    return _best(scores, query_key, F.desc("score"), key, k)
+    pieces = (
+        vocabulary.where(F.col("n") <= F.length("token"))
+        .select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("i"))
+        .select("token", F.col("token").substr(F.col("i"), F.col("n")).alias("palavra")).distinct()
+    )
+    held = pieces.join(words.select("palavra").distinct(), "palavra").select(
+        "token", "palavra", occurrences(F.col("token"), F.col("palavra")).alias("n"))
+    counts = tokens.join(held, "token").groupBy(key, "palavra").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
+    return counts.join(words, "palavra").groupBy(query_key, key).agg(F.sum(F.col("n") * F.col("vezes")).alias("score"))
 
 
 def _best(scores: DataFrame, query_key: str, order: Column, key: str, k: int) -> DataFrame:
@@ -106,26 +162,18 @@ def _block_hits(vectors: DataFrame, ids: list, matrix: np.ndarray, query_type: s
 
     def top_of_partition(frames):
         names, queries = sent.value
-        best_ids, best = None, None
+        best = None
         for pdf in frames:
             if pdf.empty:
                 continue
             rows = np.vstack(pdf[vector].to_numpy()).astype("float64")
-            found = pdf[key].to_numpy()
             if metric == "inner":
                 cost = -(rows @ queries.T)
             else:
                 cost = (rows**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2 * (rows @ queries.T)
-            if best is not None:
-                cost = np.vstack([best, cost])
-                found = np.vstack([best_ids, np.repeat(found[:, None], len(names), 1)])
-            else:
-                found = np.repeat(found[:, None], len(names), 1)
-            order = np.lexsort((found, cost), axis=0)[:k]
-            best, best_ids = np.take_along_axis(cost, order, 0), np.take_along_axis(found, order, 0)
+            best = _keep_best(best, cost, pdf[key].to_numpy(), k)
         if best is not None:
-            depth = best.shape[0]
-            yield pd.DataFrame({query_key: np.repeat(np.array(names), depth), key: best_ids.T.reshape(-1), "custo": best.T.reshape(-1)})
+            yield _best_rows(best, names, query_key, key)
 
     return vectors.select(key, vector).mapInPandas(
         top_of_partition, f"{query_key} {query_type}, {key} {key_type}, custo double")
