@@ -73,8 +73,9 @@ def format_fixed(c: Column | str, digits: int = 2) -> Column:
     parts = ((F.abs(x) - whole) * F.lit(float(unit))).cast("bigint") * F.lit(scale)
     down = F.shiftright(parts, 52)
     rest = parts.bitwiseAND(F.lit(unit - 1))
-    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
-    cents = whole * F.lit(scale) + down + F.when(up, 1).otherwise(0)
+    floored = whole * F.lit(scale) + down
+    up = (rest > unit // 2) | ((rest == unit // 2) & (floored % 2 == 1))
+    cents = floored + F.when(up, 1).otherwise(0)
     units = ((cents - cents % F.lit(scale)) / F.lit(scale)).cast("bigint").cast("string")
     sign = F.when((x < 0) & (cents > 0), "-").otherwise("")
     if digits == 0:

@@ -23,9 +23,9 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
     """Exact, linearly interpolated quantiles per key: rows (key, p, quantil).
 
     No task ever holds all distinct values of a key. A mergeable sketch brackets
-    each rank, values below a bracket are only counted, and just the few distinct
-    values inside it are ordered. The sketch has one row per key (the keys are
-    column names), so its broadcast is bounded by the width of the table.
+    each rank, values outside a bracket are only counted, and just the few distinct
+    values inside it are ordered. The brackets, one per key and probability, travel
+    as one small map: keys are column names.
     """
     values = values.select(key, F.col(value).cast("double").alias("v")).where("v is not null")
     histogram = values.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -37,24 +37,31 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         F.min("v").alias("lo"), F.max("v").alias("hi"),
     )
     last = F.col("total") - 1
-    brackets = sketch.select(key, "total", inline_rows(
-        ("p", "rank", "a", "z"),
-        [(F.lit(float(p)), last * F.lit(float(p)),
-          F.col("lo") if p - margin <= 0 else F.col("b")[2 * i],
-          F.col("hi") if p + margin >= 1 else F.col("b")[2 * i + 1]) for i, p in enumerate(probabilities)],
-    ))
-    placed = histogram.join(F.broadcast(brackets), key)
-    below = placed.where("v < a").groupBy(key, "p").agg(F.sum("n").alias("below"))
+    per_key = sketch.select(key, F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("p"), (last * F.lit(float(p))).alias("rank"),
+            (F.col("lo") if p - margin <= 0 else F.col("b")[2 * i]).alias("a"),
+            (F.col("hi") if p + margin >= 1 else F.col("b")[2 * i + 1]).alias("z"),
+        ) for i, p in enumerate(probabilities)
+    ]).alias("faixas"))
+    brackets = per_key.agg(F.map_from_entries(F.collect_list(F.struct(key, "faixas")))).scalar()
+    placed = histogram.select(key, "v", "n", F.inline(F.try_element_at(brackets, F.col(key))))
+    outside = placed.where("v < a or v > z").groupBy(key, "p").agg(
+        F.sum(F.when(F.col("v") < F.col("a"), F.col("n"))).alias("below"),
+        F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("before"),
+        F.min(F.when(F.col("v") > F.col("z"), F.col("v"))).alias("after"),
+    )
     upto = Window.partitionBy(key, "p").orderBy("v")
     inside = placed.where("v between a and z").withColumn("cum", F.sum("n").over(upto))
-    found = (
-        inside.join(F.broadcast(below), [key, "p"], "left")
-        .withColumn("cum", F.col("cum") + F.coalesce("below", F.lit(0)))
-        .groupBy(key, "p", "rank").agg(
-            F.min(F.when(F.col("cum") > F.floor("rank"), F.col("v"))).alias("x"),
-            F.min(F.when(F.col("cum") > F.ceil("rank"), F.col("v"))).alias("y"),
-        )
-    )
+    below = F.coalesce("below", F.lit(0))
+
+    def at(rank: Column) -> Column:
+        """Value at a rank; the bracket is at most one row short on either side."""
+        first = F.min(F.when(F.col("cum") + below > rank, F.col("v")))
+        return F.when(F.first(rank < below), F.first("before")).otherwise(F.coalesce(first, F.first("after")))
+
+    found = inside.join(F.broadcast(outside), [key, "p"], "left").groupBy(key, "p", "rank").agg(
+        at(F.floor("rank")).alias("x"), at(F.ceil("rank")).alias("y"))
     weight = F.col("rank") - F.floor("rank")
     return found.select(key, "p", (F.col("x") + (F.col("y") - F.col("x")) * weight).alias("quantil"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,9 +65,11 @@ def _keyword_block(docs, queries, k, key, text, query_key, query) -> DataFrame:
 
     def top_of_partition(frames):
         names, words, weight = sent.value
-        best = None
+        count, best = _word_counter(words), None
         for pdf in frames:
-            counts = np.array([[content.count(word) for word in words] for content in pdf["t"]]).reshape(len(pdf), len(words))
+            if pdf.empty:
+                continue
+            counts = np.vstack([count(content) for content in pdf["t"]])
             best = _keep_best(best, -(counts @ weight), pdf[key].to_numpy(), k)
         if best is not None:
             found = _best_rows(best, names, query_key, key)
@@ -76,6 +80,30 @@ def _keyword_block(docs, queries, k, key, text, query_key, query) -> DataFrame:
     return lowered.mapInPandas(top_of_partition, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score bigint")
 
 
+def _word_counter(words: list[str]):
+    """Function counting the words of a text as substrings.
+
+    A word holds no white space, so it is counted token by token, and what a token
+    holds is remembered.
+    """
+    places = {word: i for i, word in enumerate(words)}
+    lengths = sorted({len(word) for word in words})
+
+    @lru_cache(maxsize=200_000)
+    def held(token: str):
+        found = {token[i:i + n] for n in lengths for i in range(len(token) - n + 1)} & places.keys()
+        return np.array([places[w] for w in found], dtype="int64"), np.array([token.count(w) for w in found], dtype="float64")
+
+    def count(content: str) -> np.ndarray:
+        row = np.zeros(len(words))
+        for token, times in Counter(content.split()).items():
+            at, n = held(token)
+            row[at] += times * n
+        return row
+
+    return count
+
+
 def _keep_best(best, cost: np.ndarray, ids: np.ndarray, k: int):
     """The k cheapest rows per column of the rows kept so far and a new block of them."""
     ids = np.repeat(ids[:, None], cost.shape[1], 1)

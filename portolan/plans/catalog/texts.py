@@ -271,3 +271,28 @@ SELECT l_orderkey, l_linenumber, l_partkey, qtd_container, anonimo AS cliente FR
 def anonymize(spark, d):
     rows = movements(spark, d, "l_orderkey", "l_linenumber", "l_partkey", "qtd_container", "cliente", "data_embarque")
     return numbering.anonymize(rows).drop("data_embarque")
+
+
+@query("x18_brief", """
+WITH @m, t AS (SELECT ano_mes, sum(qtd_container) AS total FROM m GROUP BY 1),
+u AS (SELECT 'porto_embarque' AS coluna, porto_embarque AS v FROM m UNION ALL SELECT 'porto_descarga', porto_descarga FROM m
+ UNION ALL SELECT 'cliente', cliente FROM m UNION ALL SELECT 'exportador', exportador FROM m),
+c AS (SELECT coluna, v, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY coluna ORDER BY n DESC, v) AS INTEGER) AS p FROM c),
+e AS (SELECT *, row_number() OVER (ORDER BY ano_mes) AS p FROM (SELECT * FROM t ORDER BY ano_mes DESC LIMIT 6)),
+z AS (SELECT ano_mes, (total - lag(total) OVER (ORDER BY ano_mes)) * 100.0 / nullif(lag(total) OVER (ORDER BY ano_mes), 0) AS x FROM t ORDER BY ano_mes DESC LIMIT 1),
+g AS (SELECT tipo_carga AS v, count(*) AS n FROM m GROUP BY 1)
+SELECT 'registros' AS secao, 1 AS ordem, 'total' AS chave, CAST(count(*) AS VARCHAR) AS valor FROM m
+UNION ALL SELECT 'periodo', 1, 'inicio', strftime(min(data_embarque), '%d/%m/%Y') FROM m UNION ALL SELECT 'periodo', 2, 'fim', strftime(max(data_embarque), '%d/%m/%Y') FROM m
+UNION ALL SELECT 'periodo', 3, 'anos', string_agg(ano, ',' ORDER BY ano) FROM (SELECT DISTINCT ano FROM m)
+UNION ALL SELECT 'periodo', 4, 'meses', string_agg(mes, ',' ORDER BY mes) FROM (SELECT DISTINCT mes FROM m)
+UNION ALL SELECT 'containers', 1, 'total', CAST(CAST(sum(qtd_container) AS BIGINT) AS VARCHAR) FROM m
+UNION ALL SELECT 'principais ' || coluna, p, v, CAST(n AS VARCHAR) FROM r WHERE p <= 5
+UNION ALL SELECT 'evolucao', CAST(p AS INTEGER), CAST(ano_mes AS VARCHAR), CAST(CAST(total AS BIGINT) AS VARCHAR) FROM e
+UNION ALL SELECT 'variacao', 1, CAST(ano_mes AS VARCHAR), printf('%.1f', x) || '%' FROM z
+UNION ALL SELECT 'distribuicao tipo_carga', CAST(row_number() OVER (ORDER BY n DESC, v) AS INTEGER), v, CAST(n AS VARCHAR) FROM g QUALIFY row_number() OVER (ORDER BY n DESC, v) <= 10""")
+def table_brief(spark, d):
+    from portolan.plans.brief import brief
+
+    rows = movements(spark, d, "data_embarque", "ano", "mes", "ano_mes", "qtd_container", "porto_embarque", "porto_descarga",
+                     "cliente", "exportador", "tipo_carga")
+    return brief(rows, {"operacional": ["tipo_carga"]})
