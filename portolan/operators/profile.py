@@ -24,8 +24,8 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
 
     No task ever holds all distinct values of a key. A mergeable sketch brackets
     each rank, values outside a bracket are only counted, and just the few distinct
-    values inside it are ordered. The brackets, one per key and probability, travel
-    as one small map: keys are column names.
+    values inside it are ordered. There is one bracket per key and probability; keys
+    are column names, so their broadcast is bounded by the width of the table.
     """
     values = values.select(key, F.col(value).cast("double").alias("v")).where("v is not null")
     histogram = values.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n"))
@@ -37,15 +37,11 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         F.min("v").alias("lo"), F.max("v").alias("hi"),
     )
     last = F.col("total") - 1
-    per_key = sketch.select(key, F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("p"), (last * F.lit(float(p))).alias("rank"),
-            (F.col("lo") if p - margin <= 0 else F.col("b")[2 * i]).alias("a"),
-            (F.col("hi") if p + margin >= 1 else F.col("b")[2 * i + 1]).alias("z"),
-        ) for i, p in enumerate(probabilities)
-    ]).alias("faixas"))
-    brackets = per_key.agg(F.map_from_entries(F.collect_list(F.struct(key, "faixas")))).scalar()
-    placed = histogram.select(key, "v", "n", F.inline(F.try_element_at(brackets, F.col(key))))
+    brackets = sketch.select(key, inline_rows(("p", "rank", "a", "z"), [
+        (F.lit(float(p)), last * F.lit(float(p)),
+         F.col("lo") if p - margin <= 0 else F.col("b")[2 * i],
+         F.col("hi") if p + margin >= 1 else F.col("b")[2 * i + 1]) for i, p in enumerate(probabilities)]))
+    placed = histogram.join(F.broadcast(brackets), key).select(key, "v", "n", "p", "rank", "a", "z")
     outside = placed.where("v < a or v > z").groupBy(key, "p").agg(
         F.sum(F.when(F.col("v") < F.col("a"), F.col("n"))).alias("below"),
         F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("before"),
@@ -76,7 +72,7 @@ def quantile_columns(values: DataFrame, named: dict[str, float], key: str = "col
 
 def column_quantiles(df: DataFrame, column: str, **named: float) -> DataFrame:
     """One row with a column per named quantile of a single column."""
-    values = df.select(F.lit(column).alias("coluna"), F.col(column).alias("valor"))
+    values = df.select(inline_rows(("coluna", "valor"), [(F.lit(column), F.col(column))]))
     return quantile_columns(values, named).drop("coluna")
 
 

@@ -121,10 +121,10 @@ def l2_distance(spark, d):
 @query("x9_distance_ceiling", f"""
 WITH q AS (SELECT arg_min(embedding, vec_id) AS v FROM embeddings),
 s AS (SELECT vec_id, {L2} AS s FROM embeddings, q ORDER BY s, vec_id LIMIT 50)
-SELECT vec_id, round_even(s, 6) AS score FROM s WHERE s <= 1.2""")
+SELECT vec_id, round_even(s, 6) AS score FROM s WHERE s <= 1.42""")
 def distance_ceiling(spark, d):
     vectors = table(spark, d, "embeddings")
-    hits = search.vector_search(vectors, _first_vector(vectors), 50, metric="l2", max_distance=1.2)
+    hits = search.vector_search(vectors, _first_vector(vectors), 50, metric="l2", max_distance=1.42)
     return hits.select("vec_id", F.bround("score", 6).alias("score"))
 
 
