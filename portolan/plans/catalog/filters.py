@@ -178,9 +178,9 @@ def pattern_census(spark, d):
 
 @query("f17_year_census", f"""
 WITH @m, x AS (SELECT {_PERIOD_SQL} AS periodo, CAST(data_embarque AS VARCHAR) AS data, CAST(l_orderkey AS VARCHAR) AS pedido FROM m)
-SELECT 'periodo' AS coluna, count(*) FILTER (contains(periodo, '1998')) AS registros FROM x
+SELECT * FROM (SELECT 'periodo' AS coluna, count(*) FILTER (contains(periodo, '1998')) AS registros FROM x
 UNION ALL SELECT 'data', count(*) FILTER (contains(data, '1998')) FROM x
-UNION ALL SELECT 'pedido', count(*) FILTER (contains(pedido, '1998')) FROM x""")
+UNION ALL SELECT 'pedido', count(*) FILTER (contains(pedido, '1998')) FROM x) WHERE registros > 0""")
 def year_census(spark, d):
     rows = movements(spark, d, "l_linenumber", "data_embarque", "l_orderkey").select(
         _period().alias("periodo"), F.col("data_embarque").alias("data"), F.col("l_orderkey").alias("pedido"))
