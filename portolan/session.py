@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +27,9 @@ DEFAULTS = {
 }
 
 
+_OWN: dict[str, str] = {}
+
+
 def build_session(app: str = "portolan", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; cluster settings win when present."""
     builder = SparkSession.builder.appName(app)
@@ -32,20 +40,49 @@ def build_session(app: str = "portolan", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    One of our own is made only where a single machine runs everything (master
+    ``local``); on a cluster a missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "folder" not in _OWN or not os.path.isdir(_OWN["folder"]):
+        _OWN["folder"] = tempfile.mkdtemp(prefix="portolan-")
+        atexit.register(shutil.rmtree, _OWN["folder"], ignore_errors=True)
+    return _OWN["folder"]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder on the cluster's shared storage, beside its checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="portolan-work-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir.
-
-    Only where no folder is set (single-machine tests) one is made here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="portolan-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every worker this package once per session, so tasks run whatever folder they start in."""
+    context = spark.sparkContext
+    if _OWN.get("shipped") == context.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory(prefix="portolan-") as folder:
+        path = os.path.join(folder, "portolan.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for at, _, names in os.walk(os.path.join(root, "portolan")):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(at, name)
+                        archive.write(full, os.path.relpath(full, root))
+        context.addPyFile(path)
+    _OWN["shipped"] = context.applicationId
