@@ -76,13 +76,14 @@ def ship_package(spark: SparkSession) -> None:
     if _OWN.get("shipped") == context.applicationId:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory(prefix="portolan-") as folder:
-        path = os.path.join(folder, "portolan.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            for at, _, names in os.walk(os.path.join(root, "portolan")):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(at, name)
-                        archive.write(full, os.path.relpath(full, root))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="portolan-")  # stays until the driver ends: workers fetch it when they start
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "portolan.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, names in os.walk(os.path.join(root, "portolan")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
     _OWN["shipped"] = context.applicationId
