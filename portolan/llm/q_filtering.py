@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from portolan.llm import quality_rules
+from pyspark.sql import functions as F
+
+from portolan.llm import minhash, quality_rules, winnow
 from portolan.llm.common import read
 from portolan.llm.queries import query
 
@@ -11,3 +13,17 @@ from portolan.llm.queries import query
 def quality_rules_query(spark, d):
     judged = quality_rules.score_table(read(spark, d, "documents"), read(spark, d, "labels"))
     return judged.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
+
+
+@query("op7_minhash_dedup")
+def minhash_dedup_query(spark, d):
+    found = minhash.near_duplicates(read(spark, d, "documents").select("doc_id", "text"), size=2, similarity=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_winnowing")
+def winnowing_query(spark, d):
+    found = winnow.contamination(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
