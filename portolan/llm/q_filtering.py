@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portolan.llm import minhash, quality_rules, winnow
+from portolan.llm import minhash, mixing, quality_rules, winnow
 from portolan.llm.common import read
 from portolan.llm.queries import query
 
@@ -27,3 +27,9 @@ def winnowing_query(spark, d):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op6_mixing")
+def mixing_query(spark, d):
+    drawn = mixing.calibrated(read(spark, d, "documents"))
+    return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
