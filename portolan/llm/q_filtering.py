@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portolan.llm import minhash, mixing, quality_rules, winnow
+from portolan.llm import minhash, mixing, quality_rules, token_files, winnow
 from portolan.llm.common import read
 from portolan.llm.queries import query
 
@@ -33,3 +33,8 @@ def winnowing_query(spark, d):
 def mixing_query(spark, d):
     drawn = mixing.calibrated(read(spark, d, "documents"))
     return drawn.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
+@query("op10_token_files")
+def token_files_query(spark, d):
+    return token_files.token_table(read(spark, d, "documents").select("doc_id", "text"))
