@@ -75,15 +75,16 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))).alias("lines"),
     )
     hashed = cut.select("*", _window_hashes(F.col("w")).alias("h"))
-    measured = hashed.select(
-        "row", F.size("w").cast("long").alias("n_words"),
+    # One generated row per text: conditions on the counts stay above it and never copy the work on words.
+    measured = hashed.select("row", F.inline(F.array(F.struct(
+        F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_of("marks", SYMBOLS).alias("n_symbols"),
         (F.col("lines.all") - F.col("lines.different")).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) < F.size("h"), _repeat_words(F.col("w"), F.col("h"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
         F.col("lines.all").alias("lines"), F.size(F.array_distinct("w")).alias("distinct"),
         _count_of("marks", "!?").alias("bangs"), _count_of("marks", "A-Z").alias("uppers"), _count_of("marks", "0-9").alias("digits"),
-    )
+    ))))
 
     def share(of: str, by: str) -> Column:
         return (F.col(of) / F.greatest(F.col(by), F.lit(1))).cast("double")
