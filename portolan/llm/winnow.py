@@ -146,10 +146,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     n_hit = F.aggregate("runs", start, lambda a, x: F.struct(
         F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["upto"]))).alias("n")), lambda a: a["n"])
     found = found.select("digest", "runs", "item_ids", n_hit.alias("n_hit"))
-    no_items = F.expr("cast(array() as array<string>)")
-    return rows.join(found, "digest", "left").select(
+    # Rows without a kept run have no digest: they pass by the join, or its missing keys would meet in one task.
+    met = rows.where(F.col("digest").isNotNull()).join(found, "digest", "left").select("id", "tk", "n_words", "runs", "item_ids", "n_hit")
+    unmet = rows.where(F.col("digest").isNull()).select("id", "tk", "n_words", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("runs", "item_ids", "n_hit")])
+    return met.union(unmet).select(
         F.col("id").alias("doc_id"), "tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "runs",
-        F.coalesce("item_ids", no_items).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+        F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
