@@ -5,9 +5,9 @@ shifted circularly by k, gives signature coordinate k. Signatures are cut into b
 share a band value are candidates; a link counts only after the full shingle sets are compared.
 
 Texts with the same words in the same order form one class and are compared once. Inside a band
-value, texts are compared with a few hubs per round and never again once they are in one component,
-so a large group of near copies costs a few comparisons per member, while every two texts of one
-band value end up either compared or connected. All tables between the steps are written to the
+value, texts are first compared with one hub, which joins most of a large group of near copies;
+what still bears different labels is compared in blocks that give label pairs only. So every two
+texts of one band value end up either compared or connected, and no step emits all pairs. All tables between the steps are written to the
 shared folder; links, components and sets never reach the driver.
 
 Defined results: a text without words (null, empty, blank) has no shingles and no links; fewer
@@ -34,6 +34,9 @@ UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 6
 #: Elements whose coordinates are held at once.
 BLOCK = 4096
+#: Shingles in one part of a band value, and cells of one block of columns, when sets are compared in full.
+COMPARED_SHINGLES = 1 << 21
+COMPARED_CELLS = 1 << 22
 
 ROW_SCHEMA = "doc_id long, tk long, n_shingles long, digest binary, bands array<long>"
 SET_SCHEMA = "digest binary, shingles array<long>"
@@ -176,55 +179,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return shared.where(100 * F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def group_classes(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(cid, label) of the classes that link with another one.
+def _label_links(bucket_rows: pa.Table, similarity: int) -> pa.Table:
+    """Pairs of labels that some link joins, among the sets of one band value.
 
-    members: (bucket, cid) of band values with two classes or more. In round t each band value has up
-    to 2**t hubs, those with the most candidates; all its members outside a hub's component are
-    compared with the hub, which then leaves the band value. A band value is done when one component
-    holds all its members.
+    Only sets outside the commonest label are held against all others. Shingles that occur once
+    add nothing to an intersection; the rest become columns of 0 and 1, a block at a time.
+    """
+    labels = bucket_rows.column("label").to_numpy()
+    lists = bucket_rows.column("shingles").combine_chunks()
+    values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    names, counts = np.unique(labels, return_counts=True)
+    rest = np.flatnonzero(labels != names[counts.argmax()])
+    found: list[np.ndarray] = []
+    if len(rest):
+        row = np.repeat(np.arange(len(labels)), sizes)
+        tokens, code, uses = np.unique(values, return_inverse=True, return_counts=True)
+        number = np.cumsum(uses > 1) - 1
+        shared = uses[code] > 1
+        row, code = row[shared], number[code[shared]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        columns = max(64, COMPARED_CELLS // len(labels))
+        for lo in range(0, len(rest), columns):
+            part = rest[lo:lo + columns]
+            common = np.zeros((len(part), len(labels)), np.float32)
+            for at in range(0, int((uses > 1).sum()), columns):
+                begin, end = np.searchsorted(code, [at, at + columns])
+                block = np.zeros((len(labels), columns), np.float32)
+                block[row[begin:end], code[begin:end] - at] = 1
+                common += block[part] @ block.T
+            union = sizes[part][:, None] + sizes[None, :] - common
+            i, j = np.nonzero((100 * common >= similarity * union) & (labels[part][:, None] != labels[None, :]))
+            pairs = np.stack([labels[part[i]], labels[j]], axis=1)
+            found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _compared(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between labels inside band values: (a, b) of labels.
+
+    A band value with many or large sets is cut into parts of COMPARED_SHINGLES shingles, and every
+    two parts meet in a task of their own, so a task holds two parts at most.
+    """
+    with_sets = rest.join(sets, "cid")
+    parts = rest.join(sets.select("cid", F.size("shingles").cast("long").alias("n")), "cid").groupBy("bucket").agg(F.ceil(F.sum("n") / COMPARED_SHINGLES).cast("int").alias("parts"))
+    dealt = with_sets.join(parts, "bucket").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "label", "shingles")
+
+    def work(rows: pa.Table) -> pa.Table:
+        return _label_links(rows, similarity)
+
+    return met.groupBy("bucket", "p", "q").applyInArrow(work, "a long, b long")
+
+
+def group_classes(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
+    """(cid, label) of the classes that link with another one; None without links.
+
+    members: (bucket, cid) of band values with two classes or more. First every member is compared
+    with one hub of its band value, the one with the most candidates; that joins most of a group of
+    near copies. A hub has then met all others of the band value and leaves it. Band values whose
+    members still bear several labels are compared in full, in blocks, and give label pairs only.
     """
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     score = members.join(size, "bucket").groupBy("cid").agg(F.sum("n").alias("score"))
-    active = written(members.join(score, "cid").select("bucket", "cid", "score", F.col("cid").alias("label")), "active")
-    labels, tested, turn = None, None, 0
-    while True:
-        hubs = active.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(1 << min(turn, 30)))).groupBy("bucket", "part").agg(
-            F.max(F.struct("score", "cid", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        mixed = hubs.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("bucket")
-        hubs = written(hubs.join(mixed, "bucket").select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
-        if hubs.isEmpty():
-            break
-        meet = active.join(hubs, "bucket").where("label <> hub_label")
-        pairs = meet.groupBy(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).agg(F.min("label").alias("l"), F.min("hub_label").alias("m"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = written(_verified(pairs, sets, similarity), "links")
-        moved = None
-        if not links.isEmpty():
-            by = links if labels is None else _relabelled(links, labels)
-            moved = components(by)
-            labels = written(moved.select(F.col("node").alias("cid"), "label") if labels is None else _merged(labels, moved), "labels")
-        rest = active.join(hubs.select("bucket", F.col("hub").alias("cid")), ["bucket", "cid"], "left_anti").join(mixed_of(hubs), "bucket", "left_semi")
-        if moved is not None:
-            rest = rest.join(moved.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("bucket", "cid", "score", F.coalesce("new", "label").alias("label"))
-        active = written(rest, "active")
-        turn += 1
-    return labels
-
-
-def mixed_of(hubs: DataFrame) -> DataFrame:
-    return hubs.select("bucket").distinct()
-
-
-def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between the labels of their ends."""
-    for end in ("a", "b"):
-        to = labels.select(F.col("cid").alias(end), F.col("label").alias("to"))
-        links = links.join(to, end, "left").select(*[c for c in ("a", "b") if c != end], F.coalesce("to", end).alias(end))
-    return links
+    active = written(members.join(score, "cid").select("bucket", "cid", "score"), "active")
+    hubs = written(active.groupBy("bucket").agg(F.max(F.struct("score", "cid")).alias("hub")).select("bucket", F.col("hub.cid").alias("hub")), "hubs")
+    meet = active.join(hubs, "bucket").where("cid <> hub")
+    pairs = meet.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+    links = written(_verified(pairs, sets, similarity), "links")
+    labels = components(links).select(F.col("node").alias("cid"), "label")
+    rest = active.select("bucket", "cid").join(hubs, "bucket").where("cid <> hub").join(labels, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+    rest = written(rest, "rest")
+    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    more = written(_compared(rest.join(mixed, "bucket"), sets, similarity).distinct(), "more")
+    if more.isEmpty():
+        return None if links.isEmpty() else written(labels, "labels")
+    return written(_merged(labels, components(more)), "labels")
 
 
 def _merged(labels: DataFrame, moved: DataFrame) -> DataFrame:
@@ -274,6 +306,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
         smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
         named = grouped.join(smallest, "label")
     named = written(named.select("digest", "component_id"), "named")
-    return signed.select("doc_id", "tk", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "tk", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest",
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+    # Rows without words have no digest: they pass by the join, or its missing keys would meet in one task.
+    columns = ("doc_id", "tk", "n_shingles", "component_id", "digest")
+    met = signed.where(F.col("digest").isNotNull()).join(named, "digest", "left").select(*columns)
+    unmet = signed.where(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id")).select(*columns)
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
+    return met.union(unmet).withColumn("kept", same)
