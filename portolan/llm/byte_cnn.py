@@ -106,7 +106,7 @@ def probability(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-(rows @ net.weights + net.shift[0]).astype(np.float64)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 14, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, train_halves: int = 24, seed: int = 0) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, share: float, steps: int = 700, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, train_halves: int = 24, seed: int = 0) -> Network:
     """Fit filters and weights. share: the share of label 1 outside the sample, which the score is shifted to."""
     rng = np.random.default_rng(seed)
     taps = rng.normal(0, 0.3, (WIDTH, 257, FILTERS)).astype(np.float32)
@@ -120,7 +120,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, epochs: int = 14
             text = b"".join(text[r * HALF:(r + 4) * HALF] for r in runs)
         cut.append(np.frombuffer(text, np.uint8))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step = 0
+    epochs, step = max(1, -(-steps * batch // len(cut))), 0
     for epoch in range(epochs):
         order = rng.permutation(len(cut))
         for lo in range(0, len(order), batch):

@@ -66,7 +66,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 200) -> np.ndarray:
+def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 200) -> np.ndarray:
     """Logistic regression with a shift, by accelerated gradient steps."""
     rows = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     if not 0 < y.mean() < 1:
@@ -168,7 +168,7 @@ def scores(docs: DataFrame, chain: Chain, categories: Sequence[str] = CATEGORIES
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, ", ".join([f"{names[0]} long", *[f"{n} double" for n in names[1:]]]))
 
 
-def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = 1500) -> DataFrame:
+def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.4, per_class: int = 1500) -> DataFrame:
     """doc_id, the chain's probabilities and `toxic` of every row."""
     given = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return scores(docs, fit(docs, given, CATEGORIES, per_class)).withColumn("toxic", F.col("p_toxic") >= threshold)
