@@ -111,14 +111,9 @@ def _first_fitting(i: int, row: Column | None = None) -> Column:
     return F.coalesce(*[F.when(failures(j) == 0, F.lit(fmt)) for j, fmt in enumerate(dates.DATE_FORMATS)])
 
 
-def detect_date_formats(df: DataFrame, columns: Sequence[str], sample: int | None = None) -> DataFrame:
-    """First format that parses every value of each column, null when none does.
-
-    One aggregate over the whole columns; ``sample`` probes that many rows instead.
-    """
-    rows = df.select(*[_quoted(c) for c in columns])
-    rows = rows.limit(sample) if sample else rows
-    return _failures(rows, columns).select(
+def detect_date_formats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """First format that parses every value of each column, null when none does: one aggregate over the whole columns."""
+    return _failures(df.select(*[_quoted(c) for c in columns]), columns).select(
         inline_rows(("coluna", "formato"), [(F.lit(c), _first_fitting(i)) for i, c in enumerate(columns)]))
 
 

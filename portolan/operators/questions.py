@@ -64,15 +64,19 @@ def date_of(question: Column) -> Column:
 
 def comparison_period(question: Column) -> Column:
     """Struct (inicio, fim): the first and last month named within two words of a
-    year; with fewer than two, the single date and the month before it.
+    year, or before the next year named; with fewer than two, the single date and
+    the month before it.
     """
     months = _map_of({_plain(name): f"{n:02d}" for name, n in MONTHS.items()})
 
+    def years_in(words: Column) -> Column:
+        found = F.transform(words, lambda w: F.when(w.rlike("^20[0-9]{2}"), F.regexp_extract(w, YEAR, 1)))
+        return F.filter(found, lambda y: y.isNotNull() & (y != ""))
+
     def near(words: Column, word: Column, i: Column) -> Column:
         start = F.greatest(i - 2, F.lit(0))
-        years = F.filter(
-            F.transform(F.slice(words, start + 1, i + 3 - start), lambda w: F.when(w.rlike("^20[0-9]{2}"), F.regexp_extract(w, YEAR, 1))),
-            lambda y: y.isNotNull() & (y != ""))
+        close = years_in(F.slice(words, start + 1, i + 3 - start))
+        years = F.when(F.size(close) > 0, close).otherwise(F.slice(years_in(F.slice(words, i + 1, F.size(words))), 1, 1))
         month = F.try_element_at(months, word)
         return F.when(month.isNotNull(), F.transform(years, lambda y: F.concat_ws("-", y, month, F.lit("01")))).otherwise(
             F.array().cast("array<string>"))
@@ -89,8 +93,7 @@ def comparison_period(question: Column) -> Column:
 
 def category_of(question: Column) -> Column:
     text = normalize_text(question)
-    return F.when(F.contains(text, F.lit("importacao")), "importacao").when(
-        F.contains(text, F.lit("exportacao")), "exportacao")
+    return F.when(text.rlike(r"\bimporta"), "importacao").when(text.rlike(r"\bexporta"), "exportacao")
 
 
 def match_entities(questions: DataFrame, entities: DataFrame, key: str, text: str, entity: str = "entidade") -> DataFrame:

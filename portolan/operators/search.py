@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,88 +20,33 @@ RANK_CONSTANT = 60
 # Query vectors sent to the tasks at a time; larger sets go block by block.
 QUERY_BLOCK = 4096
 
-# Characters of query text sent to the tasks at most.
-QUERY_CHARS = 4_000_000
+# The same set of blanks for Python and for Spark: ASCII blanks and separators, and Unicode spaces.
+SPLIT = "\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Between words and between tokens: ASCII blanks and separators, and Unicode spaces.
+BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
 def keyword_score(text: Column, query: str) -> Column:
     """Occurrences of the query's words, as substrings; a repeated word counts again."""
-    lowered = F.lower(text)
-    score = F.lit(0).cast("bigint")
-    for word in query.lower().split():
-        score = score + occurrences(lowered, F.lit(word))
-    return score
+    words = [w for w in re.split(f"[{SPLIT}]+", query.lower()) if w]
+
+    def total(lowered: Column) -> Column:
+        return reduce(lambda a, w: a + occurrences(lowered, F.lit(w)), words, F.lit(0).cast("bigint"))
+
+    return F.element_at(F.transform(F.array(F.lower(text)), total), 1)  # lowered once
 
 
 def keyword_search(docs: DataFrame, query: str, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Top documents for one query; add ``where`` before it to filter by metadata."""
-    scored = docs.withColumn("score", keyword_score(F.col(text), query)).where("score > 0")
+    # A generated column: the filter stays above it, so a score is worked out once.
+    scored = docs.select("*", F.explode(F.array(keyword_score(F.col(text), query))).alias("score")).where("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def keyword_search_many(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text",
                         query_key: str = "query_id", query: str = "query") -> DataFrame:
-    """Top documents for every query of a table.
-
-    A query table of checked, small size goes to the tasks, which count the words
-    of their documents and send on only k rows per query. A larger one is joined.
-    """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(query)), F.lit(0)).alias("chars")).first()
-    if size["n"] <= QUERY_BLOCK and size["chars"] <= QUERY_CHARS:
-        scores = _keyword_block(docs, queries, k, key, text, query_key, query)
-    else:
-        scores = _keyword_join(docs, queries, key, text, query_key, query)
-    return _best(scores, query_key, F.desc("score"), key, k)
-
-
-def _keyword_block(docs, queries, k, key, text, query_key, query) -> DataFrame:
-    rows = queries.select(query_key, F.lower(query).alias("q")).orderBy(query_key).collect()
-    places: dict[str, int] = {}
-    cells = [(places.setdefault(word, len(places)), i) for i, r in enumerate(rows) for word in (r["q"] or "").split()]
-    weights = np.zeros((len(places), len(rows)))
-    np.add.at(weights, tuple(np.array(cells, dtype="int64").reshape(-1, 2).T), 1.0)
-    sent = docs.sparkSession.sparkContext.broadcast(([r[query_key] for r in rows], list(places), weights))
-    kinds = (queries.schema[query_key].dataType.simpleString(), docs.schema[key].dataType.simpleString())
-
-    def top_of_partition(frames):
-        names, words, weight = sent.value
-        count, best = _word_counter(words), None
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            counts = np.vstack([count(content) for content in pdf["t"]])
-            best = _keep_best(best, -(counts @ weight), pdf[key].to_numpy(), k)
-        if best is not None:
-            found = _best_rows(best, names, query_key, key)
-            found = found[found["custo"] < 0]
-            yield found.assign(score=(-found["custo"]).astype("int64"))[[query_key, key, "score"]]
-
-    lowered = docs.select(key, F.lower(text).alias("t")).where("t is not null")
-    return lowered.mapInPandas(top_of_partition, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score bigint")
-
-
-def _word_counter(words: list[str]):
-    """Function counting the words of a text as substrings.
-
-    A word holds no white space, so it is counted token by token, and what a token
-    holds is remembered.
-    """
-    places = {word: i for i, word in enumerate(words)}
-    lengths = sorted({len(word) for word in words})
-
-    @lru_cache(maxsize=200_000)
-    def held(token: str):
-        found = {token[i:i + n] for n in lengths for i in range(len(token) - n + 1)} & places.keys()
-        return np.array([places[w] for w in found], dtype="int64"), np.array([token.count(w) for w in found], dtype="float64")
-
-    def count(content: str) -> np.ndarray:
-        row = np.zeros(len(words))
-        for token, times in Counter(content.split()).items():
-            at, n = held(token)
-            row[at] += times * n
-        return row
-
-    return count
+    """Top documents for every query of a table, by equality joins at any size."""
+    return _best(_keyword_join(docs, queries, key, text, query_key, query), query_key, F.desc("score"), key, k)
 
 
 def _keep_best(best, cost: np.ndarray, ids: np.ndarray, k: int):
@@ -127,11 +72,11 @@ def _keyword_join(docs, queries, key, text, query_key, query) -> DataFrame:
     token that does not hold it.
     """
     words = (
-        queries.select(query_key, F.explode(F.split(F.lower(query), r"\s+")).alias("palavra")).where("palavra <> ''")
+        queries.select(query_key, F.explode(F.split(F.lower(query), BLANKS)).alias("palavra")).where("palavra <> ''")
         .groupBy(query_key, "palavra").agg(F.count(F.lit(1)).alias("vezes"))
     )
     tokens = (
-        docs.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("token")).where("token <> ''")
+        docs.select(key, F.explode(F.split(F.lower(text), BLANKS)).alias("token")).where("token <> ''")
         .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     )
     lengths = words.agg(F.collect_set(F.length("palavra"))).scalar()

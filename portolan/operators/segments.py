@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ def small_operations(df: DataFrame, limit: float = 20.0) -> DataFrame:
     return totals.select("tipo_operacao", "total", share.alias("participacao")).where(F.col("participacao") < limit)
 
 
-def opportunities(df: DataFrame, limit: int = 15) -> DataFrame:
-    """Client, month and operation findings in that order, cut at the report's size."""
+def opportunities(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """All client, month and operation findings, in that order; ``limit`` keeps so many of each type."""
     clients = upsell(df).select(
         F.lit(1).alias("ordem"), F.col("cliente").alias("chave"), F.lit("upsell_cliente").alias("tipo"),
         F.lit("Alto").alias("potencial"),
@@ -68,18 +70,23 @@ def opportunities(df: DataFrame, limit: int = 15) -> DataFrame:
         F.lit(3).alias("ordem"), F.col("tipo_operacao").alias("chave"), F.lit("diversificacao_operacao").alias("tipo"),
         F.lit("Alto").alias("potencial"),
         F.concat(F.lit("Operação "), "tipo_operacao", F.lit(" representa apenas "), format_fixed("participacao", 1), F.lit("% do volume")).alias("descricao"))
-    return clients.unionByName(months).unionByName(operations).orderBy("ordem", "chave").limit(limit)
+    return _some_of_each([clients, months, operations], ["chave"], limit).orderBy("ordem", "chave")
+
+
+def _some_of_each(findings: list[DataFrame], order: list[str], limit: int | None) -> DataFrame:
+    kept = findings if limit is None else [f.orderBy(*order).limit(limit) for f in findings]
+    return reduce(DataFrame.unionByName, kept)
 
 
-def commercial_opportunities(df: DataFrame, limit: int = 10) -> DataFrame:
-    """Client and calendar-month findings, cut at the report's size."""
+def commercial_opportunities(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """All client and calendar-month findings; ``limit`` keeps so many of each type."""
     clients = upsell(df).select(
         F.lit(1).alias("ordem"), F.lit(0).alias("mes"), F.col("cliente").alias("chave"), F.lit("upsell").alias("tipo"),
         F.lit("Alto").alias("potencial"))
     months = low_calendar_months(df).select(
         F.lit(2).alias("ordem"), "mes", F.format_string("Mês %d", "mes").alias("chave"), F.lit("sazonalidade").alias("tipo"),
         F.lit("Médio").alias("potencial"))
-    return clients.unionByName(months).orderBy("ordem", "mes", "chave").limit(limit).drop("mes")
+    return _some_of_each([clients, months], ["mes", "chave"], limit).orderBy("ordem", "mes", "chave").drop("mes")
 
 
 def lifetime_value(df: DataFrame) -> DataFrame:
@@ -104,14 +111,14 @@ def mean_lifetime_value(df: DataFrame) -> DataFrame:
 
 
 def commercial_insights(df: DataFrame) -> DataFrame:
-    """Next forecast, seasonal peak, upsell findings in the report and mean duration, as rows."""
+    """Next forecast, seasonal peak, number of upsell findings and mean duration, as rows."""
     nxt = fc.forecast(df, 1).select(
         F.lit(1).alias("ordem"), F.lit("previsao").alias("tipo"), F.col("mes").alias("chave"),
         F.col("containers_previstos").cast("double").alias("valor"))
     peak = series.seasonality(df).where("extremo = 'pico'").select(
         F.lit(2).alias("ordem"), F.lit("pico_sazonal").alias("tipo"), F.col("mes").cast("string").alias("chave"),
         F.col("media_containers").cast("double").alias("valor"))
-    found = opportunities(df).where("tipo = 'upsell_cliente'").agg(F.count(F.lit(1)).cast("double").alias("valor")).where(
+    found = upsell(df).agg(F.count(F.lit(1)).cast("double").alias("valor")).where(
         "valor > 0").select(F.lit(3).alias("ordem"), F.lit("upsell").alias("tipo"), F.lit("").alias("chave"), "valor")
     duration = mean_lifetime_value(df).select(
         F.lit(4).alias("ordem"), F.lit("duracao_media").alias("tipo"), F.lit("").alias("chave"),

@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from portolan.operators.budget import delete_by_key, upsert
 
-NULL_MARK = "\\N"
-
-
 def row_hash(columns: Sequence[str]) -> Column:
-    """32 bits of the MD5 of a row, nulls marked."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_MARK)) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("bigint")
+    """60 bits of the MD5 of a row; each cell bears its length and nulls their own mark, so no two rows read alike."""
+    cells = [F.coalesce(F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c), F.lit("n")) for c in (F.col(f"`{c}`").cast("string") for c in columns)]
+    return F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("bigint")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

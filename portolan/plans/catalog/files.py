@@ -70,7 +70,7 @@ def csv_encodings(spark, d):
 @query("s6_whole_texts", "SELECT md5(text) AS md5, CAST(length(text) AS INTEGER) AS tamanho, count(*) AS copias FROM documents GROUP BY ALL")
 def whole_texts(spark, d):
     folder = work_folder(spark, "s6")
-    table(spark, d, "documents").select("text").repartition(32).write.option("lineSep", "\u001e").text(folder)
+    table(spark, d, "documents").select("text").write.option("lineSep", "\u001e").text(folder)
     files = tables.read_documents(spark, folder)
     texts = files.select(F.explode(F.split(F.rtrim("texto", F.lit("\u001e")), "\u001e")).alias("text"))
     return texts.groupBy(F.md5("text").alias("md5"), F.length("text").alias("tamanho")).agg(F.count(F.lit(1)).alias("copias"))
@@ -83,7 +83,7 @@ CHATS = "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PAR
 def json_documents(spark, d):
     folder = work_folder(spark, "s7")
     sinks.export_json(chats.as_chats(table(spark, d, "conversations")), folder)
-    rows = tables.read_table(spark, folder, "json", schema=chats.SCHEMA)
+    rows = tables.read_json(spark, folder, chats.SCHEMA, one_per_line=True)
     return rows.select("id", F.size("messages").cast("bigint").alias("mensagens"))
 
 
@@ -112,10 +112,8 @@ def admission(spark, d):
 def chat_files(spark, d):
     folder = work_folder(spark, "s11")
     messages = table(spark, d, "conversations")
-    chats.as_chats(messages).repartition(16).write.json(folder)
-    back = spark.read.schema(chats.SCHEMA).json(folder)
-    return back.select(F.col("id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select(
-        "conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", F.col("m.content").alias("text"))
+    chats.as_chats(messages).write.json(folder)
+    return chats.read_chats(spark, folder, one_per_line=True).select("conv_id", "turn", "role", "text")
 
 
 @query("s12_processed_set", """

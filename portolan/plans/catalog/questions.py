@@ -104,7 +104,7 @@ def entity_match(spark, d):
     return questions.match_entities(_questions(spark, d), _clients(spark, d), "id", "pergunta")
 
 
-CATEGORY = """CASE WHEN contains(strip_accents(lower(pergunta)), 'importacao') THEN 'importacao' WHEN contains(strip_accents(lower(pergunta)), 'exportacao') THEN 'exportacao' END"""
+CATEGORY = """CASE WHEN regexp_matches(strip_accents(lower(pergunta)), '\\bimporta') THEN 'importacao' WHEN regexp_matches(strip_accents(lower(pergunta)), '\\bexporta') THEN 'exportacao' END"""
 
 
 @query("n5_operation", f"WITH {QUESTIONS} SELECT id, {CATEGORY} AS categoria FROM qs")

@@ -73,7 +73,7 @@ def keyword_search(spark, d):
     return search.keyword_search(table(spark, d, "documents"), QUERY, 10).select("doc_id", "score")
 
 
-MANY = """qw AS (SELECT item_id, unnest(regexp_split_to_array(trim(lower(text)), '\\s+')) AS w FROM benchmark),
+MANY = """qw AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+')) AS w FROM benchmark),
 wc AS (SELECT item_id, w, count(*) AS k FROM qw WHERE w <> '' GROUP BY ALL),
 dw AS (SELECT DISTINCT w FROM wc),
 oc AS (SELECT doc_id, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS n FROM documents JOIN dw ON contains(lower(text), w)),
@@ -81,9 +81,11 @@ kw AS (SELECT item_id AS query_id, doc_id, CAST(sum(n * k) AS BIGINT) AS score F
 kr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS posicao FROM kw)"""
 
 
-def _keyword_hits(spark, d, k):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.keyword_search_many(table(spark, d, "documents"), queries, k)
+def _keyword_hits(spark, d, k, blanks=("", "")):
+    """blanks: what a space becomes in queries and in documents."""
+    docs = table(spark, d, "documents").withColumn("text", F.translate("text", " " * len(blanks[1]), blanks[1]))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.translate("text", " " * len(blanks[0]), blanks[0]).alias("query"))
+    return search.keyword_search_many(docs, queries, k)
 
 
 @query("x6_keyword_search_many", f"WITH {MANY} SELECT query_id, doc_id, score, posicao FROM kr WHERE posicao <= 5")
@@ -91,6 +93,12 @@ def keyword_search_many(spark, d):
     return _keyword_hits(spark, d, 5)
 
 
+@query("x6_keyword_search_many_blanks", f"WITH {MANY} SELECT query_id, doc_id, score, posicao FROM kr WHERE posicao <= 5")
+def keyword_search_many_blanks(spark, d):
+    """Unicode spaces part words as the ASCII space does."""
+    return _keyword_hits(spark, d, 5, ("\u2003", "\u00a0"))
+
+
 def _first_vector(vectors):
     """The vector with the smallest id, as a scalar."""
     return vectors.agg(F.min_by("embedding", "vec_id")).scalar()

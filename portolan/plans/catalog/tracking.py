@@ -26,16 +26,19 @@ NEW = """nv AS (SELECT event_id, user_id, event_type, CASE WHEN event_type = 'er
  WHERE NOT (event_type = 'view' AND value < 1)), nw AS (SELECT * FROM nv UNION ALL SELECT * FROM nv WHERE event_type = 'click' AND value > 20)"""
 
 
+ROW_MD5 = "md5(" + " || ".join(f"coalesce('s' || length({c}::VARCHAR) || ':' || {c}, 'n')" for c in ("event_id", "user_id", "event_type", "props")) + ")"
+
+
 def _hash_sql(source):
     return f"""SELECT event_type AS source, count(*) AS record_count,
- CAST(sum(CAST('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type || '|' || coalesce(props, '\\N')), 1, 8) AS BIGINT)) AS VARCHAR) AS soma FROM {source} GROUP BY 1"""
+ CAST(sum(CAST('0x' || substr({ROW_MD5}, 1, 15) AS BIGINT)) AS VARCHAR) AS soma FROM {source} GROUP BY 1"""
 
 
 MD5_SQL = "md5(record_count || '_event_id,user_id,event_type,props_' || soma)"
 
 
-@query("t1_fingerprint", """
-SELECT count(*) AS record_count, CAST(sum(CAST('0x' || substr(md5(event_id || '|' || user_id || '|' || event_type || '|' || props), 1, 8) AS BIGINT)) AS VARCHAR) AS soma FROM events""")
+@query("t1_fingerprint", f"""
+SELECT count(*) AS record_count, CAST(sum(CAST('0x' || substr({ROW_MD5}, 1, 15) AS BIGINT)) AS VARCHAR) AS soma FROM events""")
 def fingerprint(spark, d):
     return tracking.fingerprint(table(spark, d, "events"), COLUMNS)
 

@@ -24,11 +24,14 @@ def _months(spark, d, *more):
 
 
 def _gappy(spark, d):
-    """A series with empty months: only the lines of one client group."""
-    return _months(spark, d, "l_suppkey").where((F.col("l_suppkey") == 3) & (F.col("ano_mes") % 100).isin(1, 2, 5, 6, 9))
+    """A series with empty months: all lines, those of seven months moved to an earlier one."""
+    rows = _months(spark, d)
+    return rows.withColumn("ano_mes", (F.col("ano_mes") - F.col("ano_mes") % 100 + F.element_at(F.array(*map(F.lit, MOVED)), (F.col("ano_mes") % 100).cast("int"))).cast(rows.schema["ano_mes"].dataType))
 
 
-GAPPY = "g AS (SELECT * FROM m WHERE l_suppkey = 3 AND ano_mes % 100 IN (1, 2, 5, 6, 9))"
+# The month that each month's lines are moved to.
+MOVED = (1, 2, 1, 2, 5, 6, 5, 6, 9, 9, 9, 9)
+GAPPY = f"g AS (SELECT * REPLACE (ano_mes - ano_mes % 100 + {list(MOVED)}[ano_mes % 100] AS ano_mes) FROM m)"
 
 
 @query("w1_month_features", """
@@ -246,7 +249,7 @@ WITH @m, {MONTH}, {CLIENTS}, {UPSELL}, {LOW}, {SHARES},
 al AS (SELECT 1 AS ordem, cliente AS chave, 'upsell_cliente' AS tipo, 'Alto' AS potencial, 'Cliente frequente (' || num_operacoes || ' ops) com volume baixo' AS descricao FROM u
  UNION ALL SELECT 2, periodo, 'sazonalidade', 'Médio', 'Mês com volume ' || CAST(round_even(total, 0) AS BIGINT) || ' (70% abaixo da média)' FROM w
  UNION ALL SELECT 3, tipo_operacao, 'diversificacao_operacao', 'Alto', 'Operação ' || tipo_operacao || ' representa apenas ' || printf('%.1f', participacao) || '% do volume' FROM so WHERE participacao < 20)
-SELECT * FROM al ORDER BY ordem, chave LIMIT 15""")
+SELECT * FROM al""")
 def opportunities(spark, d):
     return segments.opportunities(_months(spark, d, "cliente", "tipo_operacao"))
 
@@ -255,7 +258,7 @@ def opportunities(spark, d):
 WITH @m, cc AS (SELECT cliente, sum(CASE WHEN mes = 8 THEN qtd_container / 2 ELSE qtd_container END) AS total, count(*) AS n FROM m GROUP BY 1), {CALENDAR},
 al AS (SELECT 1 AS ordem, cliente AS chave, 'upsell' AS tipo, 'Alto' AS potencial, 0 AS k FROM cc WHERE n >= 5 AND total < (SELECT median(total) FROM cc)
  UNION ALL SELECT 2, 'Mês ' || mes, 'sazonalidade', 'Médio', mes FROM lc)
-SELECT ordem, chave, tipo, potencial FROM al ORDER BY ordem, k, chave LIMIT 10""")
+SELECT ordem, chave, tipo, potencial FROM al""")
 def commercial_opportunities(spark, d):
     return segments.commercial_opportunities(_calendar(spark, d, "cliente"))
 
@@ -280,7 +283,7 @@ def mean_lifetime_value(spark, d):
 WITH @m, {MONTH}, {FORECAST}, {SEASON}, {CLIENTS}, {UPSELL}, {CLV}, {MEAN_CLV}
 SELECT 1 AS ordem, 'previsao' AS tipo, mes AS chave, CAST(containers_previstos AS DOUBLE) AS valor FROM fc WHERE passo = 1
 UNION ALL SELECT 2, 'pico_sazonal', CAST(mes AS VARCHAR), CAST(media_containers AS DOUBLE) FROM s WHERE pk = 1
-UNION ALL SELECT 3, 'upsell', '', CAST(least(count(*), 15) AS DOUBLE) FROM u HAVING count(*) > 0
+UNION ALL SELECT 3, 'upsell', '', CAST(count(*) AS DOUBLE) FROM u HAVING count(*) > 0
 UNION ALL SELECT 4, 'duracao_media', '', duracao_media FROM mc""")
 def commercial_insights(spark, d):
     return segments.commercial_insights(_months(spark, d, "cliente", "tipo_operacao"))
@@ -385,20 +388,19 @@ def default_goals(spark, d):
 @query("b3_default_operations", """
 WITH @m SELECT o AS tipo_operacao, CAST(0 AS BIGINT) AS meta_containers, CAST(0 AS DOUBLE) AS meta_receita, coalesce(t, 0) AS realizado
 FROM (SELECT unnest(['importacao', 'exportacao', 'cabotagem']) AS o) LEFT JOIN
- (SELECT tipo_operacao, sum(qtd_container) AS t FROM m WHERE tipo_operacao <> 'cabotagem' GROUP BY 1) ON o = tipo_operacao""")
+ (SELECT tipo_operacao, sum(qtd_container) AS t FROM m GROUP BY 1) ON o = tipo_operacao""")
 def default_operations(spark, d):
-    rows = movements(spark, d, "tipo_operacao", "qtd_container").where("tipo_operacao <> 'cabotagem'")
-    return budget.default_operation_goals(rows)
+    return budget.default_operation_goals(movements(spark, d, "tipo_operacao", "qtd_container"))
 
 
 @query("b4_client_goals", """
 WITH @m, g AS (SELECT c_name AS cliente, floor(abs(c_acctbal) / 10) AS meta FROM customer),
-r AS (SELECT cliente, sum(qtd_container) AS realizado FROM m WHERE ano = 1998 GROUP BY 1)
+r AS (SELECT cliente, sum(qtd_container) AS realizado FROM m GROUP BY 1)
 SELECT cliente, meta, coalesce(realizado, 0) AS realizado, coalesce(realizado * 100.0 / nullif(meta, 0), 0) AS percentual FROM g LEFT JOIN r USING (cliente)""")
 def client_goals(spark, d):
     goals = table(spark, d, "customer").select(
         F.col("c_name").alias("cliente"), F.floor(F.abs("c_acctbal") / 10).cast("double").alias("meta"))
-    actual = sum_by(movements(spark, d, "cliente", "qtd_container", start="1998-01-01", end="1999-01-01"), "cliente")
+    actual = sum_by(movements(spark, d, "cliente", "qtd_container"), "cliente")
     return budget.budget_vs_actual(goals, actual.withColumnRenamed("total", "realizado"), ["cliente"])
 
 

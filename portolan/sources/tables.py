@@ -70,9 +70,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", text.alias("texto"))
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Whole JSON documents, one per file or array element."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None, one_per_line: bool = False) -> DataFrame:
+    """Whole JSON documents, one per file or array element, or one per line."""
+    reader = spark.read.option("multiLine", not one_per_line)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
