@@ -49,9 +49,27 @@ def any_column_contains(columns: Sequence[str], needle: str) -> Column:
     return any_of(contains_text(c, needle) for c in columns)
 
 
+# The date that year, month and period columns are taken from.
+DATE_COLUMN = "data_embarque"
+
+
+def date_bounds(columns: Sequence[str], first: int, last: int) -> Column:
+    """Dates from the first to the last month (as 199803), where the table has the date column: a bound that scans can prune by."""
+    if DATE_COLUMN not in columns:
+        return F.lit(True)
+    begin = datetime.date(first // 100, first % 100, 1)
+    end = datetime.date(last // 100 + last % 100 // 12, last % 100 % 12 + 1, 1)
+    return (F.col(DATE_COLUMN) >= F.lit(begin)) & (F.col(DATE_COLUMN) < F.lit(end))
+
+
 def filter_condition(columns: Sequence[str], f: FilterSet, operation: str = "tipo_operacao") -> Column:
-    """One predicate for a filter set, over the columns the table has."""
+    """One predicate for a filter set, over the columns the table has; periods also bound the date column."""
     conditions = [F.lit(True)]
+    if f.ano:
+        months = (f.mes, f.mes) if f.mes else (1, 12)
+        conditions.append(date_bounds(columns, *[f.ano * 100 + m for m in months]))
+    if f.data_inicio and f.data_fim:
+        conditions.append(date_bounds(columns, f.data_inicio, f.data_fim))
     if f.categoria:
         conditions.append(operation_equals(operation, f.categoria))
     if f.cliente:
@@ -77,7 +95,10 @@ def apply_filters(df: DataFrame, f: FilterSet, operation: str = "tipo_operacao")
 
 
 def filter_by_period(df: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
-    """Closed date range on the first date column, else on year and month."""
+    """Closed date range on the first date column, else on year and month.
+
+    A table with year and month beside the date takes the date, which scans can prune by.
+    """
     for field in df.schema.fields:
         if "data" in field.name.lower() and isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return df.where(F.col(field.name).between(F.lit(start), F.lit(end)))
@@ -96,7 +117,7 @@ def year_column(columns: Sequence[str]) -> Column:
 
 
 def filter_year(df: DataFrame, year: int) -> DataFrame:
-    return df.where(year_column(df.columns) == year)
+    return df.where((year_column(df.columns) == year) & date_bounds(df.columns, year * 100 + 1, year * 100 + 12))
 
 
 def month_year_text(c: Column | str, month: int, year: int) -> Column:
@@ -162,5 +183,6 @@ def year_value_census(df: DataFrame, column: str, year: int, top: int = 5) -> Da
 
 def filter_year_or_fallback(df: DataFrame, wanted: int, fallback: int) -> DataFrame:
     """The wanted year when it has rows, else the fallback year."""
-    present = df.agg(F.max(F.when(F.col("ano") == wanted, F.lit(wanted))).alias("ano")).scalar()
-    return df.where(F.col("ano").isin(wanted, fallback) & (F.col("ano") == F.coalesce(present, F.lit(fallback))))
+    either = df.where(date_bounds(df.columns, wanted * 100 + 1, wanted * 100 + 12) | date_bounds(df.columns, fallback * 100 + 1, fallback * 100 + 12))
+    present = filter_year(df, wanted).agg(F.max("ano").alias("ano")).scalar()
+    return either.where(F.col("ano").isin(wanted, fallback) & (F.col("ano") == F.coalesce(present, F.lit(fallback))))

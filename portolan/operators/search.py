@@ -128,6 +128,22 @@ def vector_search(vectors: DataFrame, query: Column, k: int = 5, metric: str = "
     return hits.withColumn("similarity", similarity("score"))
 
 
+def _near_distances(rows: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Squared distances of the k nearest rows of each query by difference; infinite for the rest.
+
+    A product of matrices finds them: its rounding error is bounded by the sizes of the vectors, and
+    all rows within twice that bound of the k-th are measured again.
+    """
+    sizes, wanted = (rows**2).sum(1), (queries**2).sum(1)
+    rough = sizes[:, None] + wanted[None, :] - 2 * (rows @ queries.T)
+    error = 8 * rows.shape[1] * np.finfo(float).eps * (sizes.max() + wanted)
+    edge = np.partition(rough, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1] + 2 * error
+    i, j = np.nonzero(rough <= edge)
+    out = np.full(rough.shape, np.inf)
+    out[i, j] = ((rows[i] - queries[j]) ** 2).sum(1)
+    return out
+
+
 def _block_hits(vectors: DataFrame, ids: list, matrix: np.ndarray, query_type: str, k: int, metric: str, key: str, vector: str,
                 query_key: str) -> DataFrame:
     sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -143,10 +159,11 @@ def _block_hits(vectors: DataFrame, ids: list, matrix: np.ndarray, query_type: s
             if metric == "inner":
                 cost = -(rows @ queries.T)
             else:
-                cost = (rows**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2 * (rows @ queries.T)
+                cost = _near_distances(rows, queries, k)
             best = _keep_best(best, cost, pdf[key].to_numpy(), k)
         if best is not None:
-            yield _best_rows(best, names, query_key, key)
+            found = _best_rows(best, names, query_key, key)
+            yield found[np.isfinite(found["custo"])]
 
     return vectors.select(key, vector).mapInPandas(
         top_of_partition, f"{query_key} {query_type}, {key} {key_type}, custo double")

@@ -55,16 +55,15 @@ def scan_directory(spark, d):
 ACCENTED = "upper(translate(p_name, 'aeiou', 'ãéîõü'))"
 
 
-@query("s5_csv_encodings", f"SELECT 'UTF-8' AS codificacao, p_partkey, {ACCENTED} AS nome FROM part UNION ALL SELECT 'ISO-8859-1', p_partkey, {ACCENTED} FROM part")
+@query("s5_csv_encodings", f"SELECT p_partkey, {ACCENTED} AS nome FROM part")
 def csv_encodings(spark, d):
+    """One folder of files in two encodings; each file is read in its own."""
     folder = work_folder(spark, "s5")
     parts = table(spark, d, "part").select("p_partkey", F.upper(F.translate("p_name", "aeiou", "ãéîõü")).alias("nome"))
-    frames = []
-    for encoding in ("UTF-8", "ISO-8859-1"):
-        parts.write.option("header", True).option("encoding", encoding).csv(f"{folder}/{encoding}")
-        back = tables.read_csv_any_encoding(spark, f"{folder}/{encoding}")
-        frames.append(back.select(F.lit(encoding).alias("codificacao"), F.col("p_partkey").cast("bigint").alias("p_partkey"), "nome"))
-    return frames[0].unionByName(frames[1])
+    for rest, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        parts.where(F.col("p_partkey") % 2 == rest).write.mode("append").option("header", True).option("encoding", encoding).csv(folder)
+    back = tables.read_csv_any_encoding(spark, folder)
+    return back.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "nome")
 
 
 @query("s6_whole_texts", "SELECT md5(text) AS md5, CAST(length(text) AS INTEGER) AS tamanho, count(*) AS copias FROM documents GROUP BY ALL")
@@ -90,10 +89,28 @@ def json_documents(spark, d):
 FILES = "fl(nome) AS (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLE_NAMES) + ")"
 
 
-@query("s8_file_registry", f"WITH {FILES} SELECT nome, '.parquet' AS extensao, 'application/octet-stream' AS mime, true AS preenchido FROM fl")
+def _stored_files(spark, d):
+    """Files of text rows, one per source of the documents, and what was written to them."""
+    folder = work_folder(spark, "s8")
+    docs = table(spark, d, "documents")
+    docs.select("source", "doc_id", "lang", "n_chars").write.partitionBy("source").option("header", True).csv(folder)
+    return folder
+
+
+ROWS_SQL = "SELECT source, count(*) AS linhas, CAST(sum(n_chars) AS BIGINT) AS caracteres FROM documents GROUP BY 1"
+
+
+@query("s8_file_registry", f"SELECT source, '.csv' AS extensao, 'text/csv' AS mime, true AS preenchido, linhas, caracteres FROM ({ROWS_SQL})")
 def file_registry(spark, d):
-    return tables.file_registry(spark, d, "*.parquet").select(
-        "nome", "extensao", "mime", ((F.col("length") > 0) & F.col("modificationTime").isNotNull()).alias("preenchido"))
+    """The registry of the files written, with the rows that each holds."""
+    folder = _stored_files(spark, d)
+    files = tables.file_registry(spark, f"{folder}/*", "*.csv").select(
+        F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "nome", "extensao", "mime", ((F.col("length") > 0) & F.col("modificationTime").isNotNull()).alias("preenchido"))
+    rows = spark.read.schema("doc_id BIGINT, lang STRING, n_chars BIGINT").option("header", True).csv(f"{folder}/*").select(
+        F.col("_metadata.file_name").alias("nome"), F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/", 1).alias("source"), "n_chars")
+    held = rows.groupBy("source", "nome").agg(F.count(F.lit(1)).alias("linhas"), F.sum("n_chars").alias("caracteres"))
+    return files.join(held, ["source", "nome"]).groupBy("source", "extensao", "mime").agg(
+        F.bool_and("preenchido").alias("preenchido"), F.sum("linhas").alias("linhas"), F.sum("caracteres").alias("caracteres"))
 
 
 @query("s8_processing_status")

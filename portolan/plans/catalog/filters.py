@@ -21,7 +21,7 @@ WITH @m SELECT armador, sum(qtd_container) AS total_containers FROM m
 WHERE porto_descarga = '{PORT}' AND ano = {YEAR} GROUP BY armador
 ORDER BY total_containers DESC, armador LIMIT 5""")
 def carriers_at_port(spark, d):
-    rows = movements(spark, d, "armador", "porto_descarga", "qtd_container", start=f"{YEAR}-01-01", end=f"{YEAR + 1}-01-01")
+    rows = flt.filter_year(movements(spark, d, "armador", "porto_descarga", "qtd_container", "ano", "data_embarque"), YEAR)
     return ranking.carriers_at_port(flt.filter_port(rows, PORT).where(F.col("porto_descarga") == PORT), 5)
 
 
@@ -43,8 +43,7 @@ WITH @m SELECT {KEYS_SQL} FROM m WHERE tipo_operacao = 'importacao'
  AND ano = {YEAR} AND ano_mes BETWEEN 199802 AND 199811""")
 def filter_set(spark, d):
     f = flt.FilterSet(categoria="Importação", porto="nation_5", ano=YEAR, data_inicio=199802, data_fim=199811)
-    rows = movements(spark, d, *KEYS, "tipo_operacao", "porto_embarque", "porto_descarga", "ano", "ano_mes",
-                     start=f"{YEAR}-01-01", end=f"{YEAR + 1}-01-01")
+    rows = movements(spark, d, *KEYS, "tipo_operacao", "porto_embarque", "porto_descarga", "ano", "ano_mes", "data_embarque")
     return flt.apply_filters(rows, f).select(*KEYS)
 
 
@@ -77,13 +76,13 @@ def carrier(spark, d):
 
 @query("f6_year_month", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano = 1999 AND mes = 3")
 def year_month(spark, d):
-    rows = movements(spark, d, *KEYS, "ano", "mes")
+    rows = movements(spark, d, *KEYS, "ano", "mes", "data_embarque")
     return flt.apply_filters(rows, flt.FilterSet(ano=1999, mes=3)).select(*KEYS)
 
 
 @query("f7_period_range", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano_mes BETWEEN 199711 AND 199802")
 def period_range(spark, d):
-    rows = movements(spark, d, *KEYS, "ano_mes")
+    rows = movements(spark, d, *KEYS, "ano_mes", "data_embarque")
     return flt.apply_filters(rows, flt.FilterSet(data_inicio=199711, data_fim=199802)).select(*KEYS)
 
 
@@ -199,6 +198,6 @@ def year_values(spark, d):
 WITH @m SELECT mes, sum(qtd_container) AS total, count(*) AS operacoes FROM m
 WHERE ano = (SELECT CASE WHEN count(*) FILTER (ano = 2025) > 0 THEN 2025 ELSE 1999 END FROM m) GROUP BY mes""")
 def year_fallback(spark, d):
-    rows = movements(spark, d, "ano", "mes", "qtd_container")
+    rows = movements(spark, d, "ano", "mes", "qtd_container", "data_embarque")
     return flt.filter_year_or_fallback(rows, 2025, 1999).groupBy("mes").agg(
         F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("operacoes"))

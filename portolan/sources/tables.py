@@ -52,14 +52,22 @@ def column_catalog(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, **options) -> DataFrame:
-    """CSV in the first encoding that decodes every value; the last one is taken unchecked."""
-    for encoding in encodings[:-1]:
-        frame = read_table(spark, path, "csv", encoding=encoding, **options)
-        broken = reduce(lambda a, b: a | b, [F.contains(F.col(f"`{c}`"), F.lit("�")) for c in frame.columns])
-        header_ok = not any("�" in c for c in frame.columns)
-        if header_ok and frame.where(broken).limit(1).isEmpty():
-            return frame
-    return read_table(spark, path, "csv", encoding=encodings[-1], **options)
+    """CSV files, each in its own encoding: the first one when all its bytes are valid in it, else the second.
+
+    The first must be UTF-8, the only one of them that can fail. One pass reads lines as bytes and tells
+    the files apart; a folder of one kind stays one read.
+    """
+    if encodings[0].upper() != "UTF-8":
+        return read_table(spark, path, "csv", encoding=encodings[0], **options)
+    lines = spark.read.text(path)  # the bytes as they are
+    files = lines.groupBy(F.col("_metadata.file_path").alias("arquivo")).agg(F.min(F.is_valid_utf8("value")).alias("valido"))
+    kinds = {True: [], False: []}
+    for row in files.collect():  # the names of the files, as any listing holds
+        kinds[row["valido"]].append(row["arquivo"])
+    if not kinds[False] or not kinds[True]:
+        return read_table(spark, path, "csv", encoding=encodings[0 if kinds[True] or not kinds[False] else 1], **options)
+    first, second = (spark.read.options(header=True, inferSchema=False, encoding=e, **options).csv(kinds[k]) for e, k in ((encodings[0], True), (encodings[1], False)))
+    return first.unionByName(second, allowMissingColumns=True)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

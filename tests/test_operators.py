@@ -268,3 +268,57 @@ def test_titles_and_log_lines(spark):
     lines = ["2025-01-01 10:00:00 - INFO - ACCESS: ana - LER - a - b", "2025-01-01 10:00:01 - WARNING - ACCESS_DENIED: rui - LER - x", "ruído"]
     got = logs.parse_lines(spark.createDataFrame([(v,) for v in lines], "value string")).orderBy("momento").collect()
     assert [(r["usuario"], r["recurso"], r["permitido"]) for r in got] == [("ana", "a - b", True), ("rui", "x", False)]
+
+
+def test_same_text_in_other_cells_has_another_fingerprint(spark):
+    from portolan.operators import tracking
+
+    def soma(*row):
+        return tracking.fingerprint(spark.createDataFrame([row], "a string, b string")).first()["soma"]
+
+    assert len({soma("x|y", "z"), soma("x", "y|z"), soma("n", "z"), soma(None, "z"), soma("\\N", "z")}) == 5
+
+
+def test_questions_with_plurals_and_a_shared_year(spark):
+    from portolan.operators import questions
+
+    rows = [("Qual foi o volume total de importações em março de 2025",), ("Compare as exportações entre janeiro e fevereiro de 2025",)]
+    df = spark.createDataFrame(rows, "q string").select(
+        questions.category_of(F.col("q")).alias("c"), questions.comparison_period(F.col("q")).alias("p"))
+    a, b = df.collect()
+    assert (a.c, b.c) == ("importacao", "exportacao")
+    assert (str(b.p.inicio), str(b.p.fim)) == ("2025-01-01", "2025-02-01")
+
+
+def test_near_distances_are_exact():
+    import numpy as np
+
+    from portolan.operators.search import _near_distances
+
+    rng = np.random.default_rng(0)
+    base = rng.normal(0, 1e4, 64)
+    rows = np.vstack([base + rng.normal(0, 1e-5 * (n + 1), 64) for n in range(40)])
+    exact = ((rows - base) ** 2).sum(1)
+    found = _near_distances(rows, base[None, :], 5)[:, 0]
+    assert (np.argsort(found, kind="stable")[:5] == np.argsort(exact, kind="stable")[:5]).all()
+    assert (found[np.isfinite(found)] == exact[np.isfinite(found)]).all()
+
+
+def test_findings_are_not_cut(spark):
+    from portolan.operators import segments
+
+    rows = [(f"c{i:03d}", 199801, 1.0, "importacao") for i in range(30) for _ in range(6)] + [("big", 199801, 1e6, "importacao")] * 40 + [(f"d{i}", 199801, 1e4, "importacao") for i in range(40)]
+    df = spark.createDataFrame(rows, "cliente string, ano_mes int, qtd_container double, tipo_operacao string")
+    assert segments.opportunities(df).where("tipo = 'upsell_cliente'").count() == segments.upsell(df).count() > 15
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from portolan.session import shared_folder
+
+    here = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(here)

@@ -42,3 +42,9 @@ def test_every_movement_lookup_is_optional(spark):
     from portolan.plans.movements import movements
 
     assert "Join" not in plan(movements(spark, SF, "ano_mes", "qtd_container"))
+
+
+@pytest.mark.parametrize("name", ["k5_carriers_at_port", "f1_filter_set", "f6_year_month", "f7_period_range", "f19_year_fallback"])
+def test_periods_prune_the_scan(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "GreaterThanOrEqual(l_shipdate" in text and "LessThan(l_shipdat" in text
