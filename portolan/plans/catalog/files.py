@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.plans.movements import movements, table
@@ -31,9 +34,12 @@ TABLE_NAMES = ("benchmark", "conversations", "customer", "documents", "embedding
 
 
 @query("s2_probe_schemas", " UNION ALL ".join(
-    f"SELECT '{t}' AS source, CAST(row_number() OVER () - 1 AS INTEGER) AS posicao, column_name AS coluna FROM (DESCRIBE SELECT * FROM {t})" for t in TABLE_NAMES))
+    f"SELECT '{t}' AS source, CAST(row_number() OVER () - 1 AS INTEGER) AS posicao, column_name AS coluna, (SELECT count(*) FROM {t}) AS linhas FROM (DESCRIBE SELECT * FROM {t})" for t in TABLE_NAMES))
 def probe_schemas(spark, d):
-    return tables.column_catalog(spark, {t: f"{d}/{t}.parquet" for t in TABLE_NAMES})
+    """The columns of every source, and its rows."""
+    paths = {t: f"{d}/{t}.parquet" for t in TABLE_NAMES}
+    rows = reduce(DataFrame.union, [tables.read_table(spark, p).agg(F.lit(t).alias("source"), F.count(F.lit(1)).alias("linhas")) for t, p in paths.items()])
+    return tables.column_catalog(spark, paths).join(rows, "source").select("source", "posicao", "coluna", "linhas")
 
 
 @query("s3_all_text", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_acctbal AS saldo FROM customer")
@@ -86,9 +92,6 @@ def json_documents(spark, d):
     return rows.select("id", F.size("messages").cast("bigint").alias("mensagens"))
 
 
-FILES = "fl(nome) AS (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLE_NAMES) + ")"
-
-
 def _stored_files(spark, d):
     """Files of text rows, one per source of the documents, and what was written to them."""
     folder = work_folder(spark, "s8")
@@ -103,26 +106,35 @@ ROWS_SQL = "SELECT source, count(*) AS linhas, CAST(sum(n_chars) AS BIGINT) AS c
 @query("s8_file_registry", f"SELECT source, '.csv' AS extensao, 'text/csv' AS mime, true AS preenchido, linhas, caracteres FROM ({ROWS_SQL})")
 def file_registry(spark, d):
     """The registry of the files written, with the rows that each holds."""
+    return _registered(spark, d).groupBy("source", "extensao", "mime").agg(
+        F.bool_and((F.col("length") > 0) & F.col("modificationTime").isNotNull()).alias("preenchido"), F.sum("linhas").alias("linhas"), F.sum("caracteres").alias("caracteres"))
+
+
+def _registered(spark, d):
     folder = _stored_files(spark, d)
-    files = tables.file_registry(spark, f"{folder}/*", "*.csv").select(
-        F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "nome", "extensao", "mime", ((F.col("length") > 0) & F.col("modificationTime").isNotNull()).alias("preenchido"))
+    source = r"source=([^/]+)/"
+    files = tables.file_registry(spark, f"{folder}/*", "*.csv").withColumn("source", F.regexp_extract("path", source, 1))
     rows = spark.read.schema("doc_id BIGINT, lang STRING, n_chars BIGINT").option("header", True).csv(f"{folder}/*").select(
-        F.col("_metadata.file_name").alias("nome"), F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/", 1).alias("source"), "n_chars")
+        F.col("_metadata.file_name").alias("nome"), F.regexp_extract(F.col("_metadata.file_path"), source, 1).alias("source"), "n_chars")
     held = rows.groupBy("source", "nome").agg(F.count(F.lit(1)).alias("linhas"), F.sum("n_chars").alias("caracteres"))
-    return files.join(held, ["source", "nome"]).groupBy("source", "extensao", "mime").agg(
-        F.bool_and("preenchido").alias("preenchido"), F.sum("linhas").alias("linhas"), F.sum("caracteres").alias("caracteres"))
+    return files.join(held, ["source", "nome"])
 
 
-@query("s8_processing_status")
+@query("s8_processing_status", "SELECT '.csv' AS extensao, true AS preenchido, count(*) AS linhas FROM documents")
 def processing_status(spark, d):
-    return tables.processing_status(tables.file_registry(spark, d))
+    files = _registered(spark, d)
+    rows = files.groupBy("extensao").agg(F.sum("linhas").alias("linhas"))
+    status = tables.processing_status(files)
+    return status.join(rows, "extensao").select("extensao", ((F.col("arquivos") > 0) & (F.col("bytes") > 0) & F.col("ultimo").isNotNull()).alias("preenchido"), "linhas")
 
 
-@query("s9_admission", f"WITH {FILES} SELECT nome, false AS admitido, true AS com_parquet FROM fl")
+@query("s9_admission", f"SELECT source, true AS admitido, false AS sem_csv, linhas FROM ({ROWS_SQL})")
 def admission(spark, d):
-    files = tables.file_registry(spark, d, "*.parquet")
-    wider = tables.admissible(files, (*tables.ALLOWED_EXTENSIONS, ".parquet")).select("nome", F.col("admitido").alias("com_parquet"))
-    return tables.admissible(files).select("nome", "admitido").join(wider, "nome")
+    """Whether the files written may be taken in, by source, and the rows that come in with them."""
+    files = _registered(spark, d)
+    narrow = tuple(e for e in tables.ALLOWED_EXTENSIONS if e != ".csv")
+    both = tables.admissible(tables.admissible(files, narrow).withColumnRenamed("admitido", "sem_csv"))
+    return both.groupBy("source").agg(F.bool_and("admitido").alias("admitido"), F.bool_or("sem_csv").alias("sem_csv"), F.sum("linhas").alias("linhas"))
 
 
 @query("s11_chat_files", CHATS)
