@@ -18,13 +18,16 @@ KEY_COLUMNS = ("qtd_container", "cliente", "ano_mes")
 # Rank error of the bracket sketch is at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 
+# Parts of equal width that a bracket is cut into; at most so many rows per key and probability are broadcast.
+SLOTS = 1024
+
 
 def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str = "coluna", value: str = "valor") -> DataFrame:
     """Exact, linearly interpolated quantiles per key: rows (key, p, quantil).
 
     No task ever holds all distinct values of a key. A mergeable sketch brackets
-    each rank, values outside a bracket are only counted, and just the few distinct
-    values inside it are ordered. There is one bracket per key and probability; keys
+    each rank, values outside a bracket are only counted, values inside are counted
+    by slots, and just the slots that hold the rank are ordered. There is one bracket per key and probability; keys
     are column names, so their broadcast is bounded by the width of the table.
     """
     values = values.select(key, F.col(value).cast("double").alias("v")).where("v is not null")
@@ -47,9 +50,18 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         F.max(F.when(F.col("v") < F.col("a"), F.col("v"))).alias("before"),
         F.min(F.when(F.col("v") > F.col("z"), F.col("v"))).alias("after"),
     )
-    upto = Window.partitionBy(key, "p").orderBy("v")
-    inside = placed.where("v between a and z").withColumn("cum", F.sum("n").over(upto))
+    # The bracket's rows are summed by slots of equal width; only the slots that hold a wanted rank are ordered.
+    width = F.when(F.col("z") > F.col("a"), F.least(F.lit(SLOTS - 1), F.floor((F.col("v") - F.col("a")) / (F.col("z") - F.col("a")) * SLOTS))).otherwise(F.lit(0))
+    inside = placed.where("v between a and z").withColumn("slot", F.coalesce(width, F.lit(0)).cast("int"))
+    slots = inside.groupBy(key, "p", "rank", "slot").agg(F.sum("n").alias("c")).join(F.broadcast(outside.select(key, "p", "below")), [key, "p"], "left")
+    upto = Window.partitionBy(key, "p").orderBy("slot")
     below = F.coalesce("below", F.lit(0))
+    slots = slots.withColumn("base", F.sum("c").over(upto) - F.col("c")).withColumn("end", F.max("slot").over(Window.partitionBy(key, "p")))
+    holds = (F.col("base") + below <= F.ceil("rank")) & (F.col("base") + F.col("c") + below > F.floor("rank"))
+    # The outermost slots stay too: they stand for a rank just outside the bracket.
+    slots = slots.where(holds | (F.col("base") == 0) | (F.col("slot") == F.col("end"))).select(key, "p", "slot", "base")
+    inside = inside.join(F.broadcast(slots), [key, "p", "slot"])
+    inside = inside.withColumn("cum", F.col("base") + F.sum("n").over(Window.partitionBy(key, "p", "slot").orderBy("v")))
 
     def at(rank: Column) -> Column:
         """Value at a rank; the bracket is at most one row short on either side."""

@@ -124,10 +124,17 @@ def rate_limit(spark, d):
 
 @query("t6_rate_limit_stream", RATE)
 def rate_limit_stream(spark, d):
-    events = _stream(spark, d, "events")
+    """All events, from several files in mixed order, one file per batch; a later event lets the last ones be decided."""
     folder = work_folder(spark, "t6")
-    jobs.write_stream(jobs.rate_limit_stream(events, "user_id", "ts", "event_id", limit=2, window=86400),
-                      f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    events = table(spark, d, "events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+    days = events.agg(F.date_diff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] + 2
+    after = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("user_id", F.lit(-1).cast(events.schema["user_id"].dataType))
+    after.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(2 * days))).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.stream_table(spark, f"{folder}/in", events.schema, files_per_trigger=1)
+    decided = jobs.rate_limit_stream(stream, "user_id", "ts", "event_id", limit=2, window=86400, late=f"{days} days")
+    jobs.write_stream(decided, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return _plain_times(spark.read.parquet(f"{folder}/out"))
 
 

@@ -67,27 +67,46 @@ def audit_counts(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("permitido")).alias("permitidos"), F.count_if(~F.col("permitido")).alias("negados"))
 
 
-def rate_limit_stream(events: DataFrame, key: str, time: str, event_id: str, limit: int = 100, window: int = 60) -> DataFrame:
-    """Fixed-window rate limit over a stream; the state per key is its open window and count."""
+def rate_limit_stream(events: DataFrame, key: str, time: str, event_id: str, limit: int = 100, window: int = 60,
+                      late: str = WATERMARK) -> DataFrame:
+    """Fixed-window rate limit over a stream, decided in event-time order whatever the batches.
+
+    Events wait until the watermark, ``late`` behind the newest event, has passed them; then no earlier
+    one can come, and they are decided in order. The state per key is its open window, the count in it
+    and the waiting events; a key without any is dropped once its window is over. A task holds the
+    waiting events of a key, at most those of ``late``.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     span = window * 1_000_000
 
     def decide(name, frames, state: GroupState):
-        opened, seen = state.get if state.exists else (None, 0)
-        batch = pd.concat(list(frames)).sort_values(["t", "id"])
+        opened, seen, times, ids = state.get if state.exists else (None, 0, [], [])
+        parts = [pd.DataFrame({"t": list(times), "id": list(ids)}), *[f[["t", "id"]] for f in frames]]
+        waiting = pd.concat([f for f in parts if len(f)] or parts[:1]).sort_values(["t", "id"])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, waiting = waiting[waiting["t"] < passed], waiting[waiting["t"] >= passed]
         out = []
-        for moment, number in zip(batch["t"], batch["id"]):
+        for moment, number in zip(ready["t"].tolist(), ready["id"].tolist()):
             if opened is None or moment - opened > span:
                 opened, seen = int(moment), 0
             seen += 1
             out.append((name[0], number, int(moment), opened, seen, seen <= limit))
-        state.update((opened, seen))
-        yield pd.DataFrame(out, columns=[key, "id", "t", "aberta", "ordem", "accepted"])
-
-    rows = events.select(key, F.col(event_id).alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
+        if len(waiting):
+            state.update((opened, seen, [int(t) for t in waiting["t"]], waiting["id"].tolist()))
+            state.setTimeoutTimestamp(max(int(waiting["t"].iloc[0]) // 1000, passed // 1000) + 1)
+        elif opened is not None and passed <= opened + span:
+            state.update((opened, seen, [], []))
+            state.setTimeoutTimestamp((opened + span) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[key, "id", "t", "aberta", "ordem", "accepted"])
+
+    rows = events.select(key, F.col(event_id).alias("id"), F.col(time).cast("timestamp").alias("momento")).withWatermark("momento", late)
+    rows = rows.withColumn("t", F.unix_micros("momento"))
     decided = rows.groupBy(key).applyInPandasWithState(
         decide, f"{key} {kinds[key]}, id {kinds[event_id]}, t bigint, aberta bigint, ordem bigint, accepted boolean",
-        "aberta bigint, vistos bigint", "append", GroupStateTimeout.NoTimeout)
+        f"aberta bigint, vistos bigint, tempos array<bigint>, ids array<{kinds[event_id]}>", "append", GroupStateTimeout.EventTimeTimeout)
     return decided.select(
         key, F.col("id").alias(event_id), F.timestamp_micros("t").alias(time), F.timestamp_micros("aberta").alias("window_start"),
         F.col("ordem").alias("position"), "accepted")
