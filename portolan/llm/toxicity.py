@@ -4,8 +4,10 @@ Categories are predicted one after another by linear models over the words of a
 model also sees the probabilities of the earlier ones. While training, those probabilities come from
 models that had not seen the row (out of fold), so later models learn from what they will meet.
 
-Trained on at most `per_class` labelled rows of each combination of categories. Words are kept
-where they tell the categories apart by more than chance; the weights carry an L2 penalty.
+Features are words and the beginnings of words (3 to 6 bytes), so inflected and compound forms of a
+telling stem count too; each stands for its presence and for its share of the words. Trained on at
+most `per_class` labelled rows of each combination of categories. Terms are kept where their document
+frequency tells the categories apart by more than chance; the weights carry an L2 penalty.
 
 Defined results: null and empty texts have no words and get the score of no evidence; rows are
 scored one by one, so ties and repeated rows get equal scores; a category with one label value only
@@ -22,39 +24,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import PLAIN_WORDS, text_steps, words_of
+from portolan.llm.common import PLAIN_WORDS, mix, text_steps, words_of, written
 from portolan.llm.sampling import labelled_sample
 
 #: The chain's order. The tables label two: junk (no quality) first, then abuse.
 CATEGORIES = ("low_quality", "toxic")
-FOLDS, KEPT, LEAST_Z = 5, 2000, 4.0
+FOLDS, KEPT, LEAST_Z, LEAST_TEXTS = 5, 1500, 4.0, 5
+BEGINNINGS = (3, 4, 5, 6)
 
 
 @dataclass
 class Chain:
-    words: np.ndarray            # sorted hashes of the kept words
-    weights: list[np.ndarray]    # by category: words, earlier categories, shift
-
-
-def word_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word hashes of each text: (hashes, text of each)."""
-    _, _, hashes, first = words_of(data, offsets, PLAIN_WORDS)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], owner[new]
-
-
-def presence(words: np.ndarray, hashes: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """0 or 1 by text and kept word."""
-    out = np.zeros((docs, len(words)), np.float32)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        hit = words[at] == hashes
-        out[owner[hit], at[hit]] = 1
-    return out
+    terms: np.ndarray            # sorted hashes of the kept terms
+    weights: list[np.ndarray]    # by category: presence and share of each term, earlier categories, shift
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and their beginnings: (hashes, text of each, words of each text)."""
+    start, end, hashes, first = words_of(data, offsets, PLAIN_WORDS)
+    counts = np.diff(first)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    found, of = [hashes], [owner]
+    packed = np.zeros(len(start), np.uint64)
+    for size in range(1, max(BEGINNINGS) + 1):
+        longer = end - start > size
+        at = np.minimum(start + size - 1, len(data) - 1)
+        packed = packed << np.uint64(8) | (PLAIN_WORDS[data[at]] - np.uint16(1)).astype(np.uint64) if len(data) else packed
+        if size in BEGINNINGS:
+            found.append(mix(packed[longer] | np.uint64(size << 56)))
+            of.append(owner[longer])
+    return np.concatenate(found), np.concatenate(of), counts
+
+
+def values_of(terms: np.ndarray, hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Presence, then share in hundredths on a log scale, by text and kept term."""
+    docs, kept = len(counts), len(terms)
+    if not kept:
+        return np.zeros((docs, 0), np.float32)
+    at = np.minimum(np.searchsorted(terms, hashes), kept - 1)
+    hit = terms[at] == hashes
+    times = np.bincount(owner[hit] * kept + at[hit], minlength=docs * kept).reshape(docs, kept)
+    return np.concatenate([times > 0, np.log1p(100 * times / np.maximum(counts, 20)[:, None])], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,29 +76,30 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 200) -> np.ndarray:
+def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 150) -> np.ndarray:
     """Logistic regression with a shift, by accelerated gradient steps."""
-    rows = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    rows = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    y = y.astype(np.float32)
     if not 0 < y.mean() < 1:
         return np.concatenate([np.zeros(x.shape[1]), _logit(np.array([y.mean() if len(y) else 0.0]))])
-    bound = np.ones(rows.shape[1])
+    bound = np.ones(rows.shape[1], np.float32)
     for _ in range(12):
         bound = rows.T @ (rows @ bound)
         bound /= np.linalg.norm(bound)
-    step = 1 / (0.25 * np.linalg.norm(rows @ bound) ** 2 + penalty)
-    held = np.full(rows.shape[1], penalty)
+    step = np.float32(1 / (0.25 * np.linalg.norm(rows @ bound) ** 2 + penalty))
+    held = np.full(rows.shape[1], penalty, np.float32)
     held[-1] = 0
-    w = ahead = np.zeros(rows.shape[1])
+    w = ahead = np.zeros(rows.shape[1], np.float32)
     pace = 1.0
     for _ in range(rounds):
         new = ahead - step * (rows.T @ (_sigmoid(rows @ ahead) - y) + held * ahead)
         next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, w, pace = new + (pace - 1) / next_pace * (new - w), new, next_pace
+        ahead, w, pace = new + np.float32((pace - 1) / next_pace) * (new - w), new, next_pace
     return w
 
 
-def train(words: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """x: presence; labels: (rows, categories); fold: a fold number by row."""
+def train(terms: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
+    """x: term values; labels: (rows, categories); fold: a fold number by row."""
     weights, earlier = [], np.zeros((len(x), 0))
     for c in range(labels.shape[1]):
         rows = np.concatenate([x, earlier], axis=1)
@@ -98,7 +109,7 @@ def train(words: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray
             w = _fit_linear(rows[fold != f], labels[fold != f, c])
             unseen[fold == f] = rows[fold == f] @ w[:-1] + w[-1]
         earlier = np.concatenate([earlier, _logit(_sigmoid(unseen))[:, None]], axis=1)
-    return Chain(words, weights)
+    return Chain(terms, weights)
 
 
 def probabilities(chain: Chain, x: np.ndarray) -> np.ndarray:
@@ -110,47 +121,64 @@ def probabilities(chain: Chain, x: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def telling_words(hashes: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Words whose document frequency differs between the values of a category by more than chance."""
-    names, code = np.unique(hashes, return_inverse=True)
-    best = np.zeros(len(names))
-    for c in range(labels.shape[1]):
-        yes = labels[:, c] == 1
-        n1, n0 = yes.sum(), (~yes).sum()
-        if n1 and n0:
-            k1, k0 = np.bincount(code, yes[owner], len(names)), np.bincount(code, ~yes[owner], len(names))
-            both = (k1 + k0) / (n1 + n0)
-            best = np.maximum(best, np.abs(k1 / n1 - k0 / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12) * ((k1 + k0) >= 5))
-    order = np.argsort(-best, kind="stable")[:KEPT]
-    return np.sort(names[order[best[order] >= LEAST_Z]])
+def telling_terms(sample: DataFrame, categories: Sequence[str]) -> np.ndarray:
+    """Terms whose document frequency differs between the values of a category by more than chance: KEPT at most."""
+    n = len(categories)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.stack([np.asarray(batch.column(1 + k)) for k in range(n)]) == 1
+            for lo, hi, data, offsets in text_steps(batch.column(n + 1)):
+                hashes, owner, _ = terms_of(data, offsets)
+                order = np.lexsort((owner, hashes))
+                hashes, owner = hashes[order], owner[order]
+                new = np.ones(len(hashes), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, owner = hashes[new], owner[new]
+                if len(hashes):
+                    heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                    yes = [np.add.reduceat(labels[k, lo:hi][owner].astype(np.int64), heads) for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[heads].view(np.int64)), pa.array(np.diff(np.append(heads, len(hashes)))), *map(pa.array, yes)], names=["term", "texts", *[f"yes{k}" for k in range(n)]])
+
+    schema = ", ".join(["term long", "texts long", *[f"yes{k} long" for k in range(n)]])
+    sums = sample.mapInArrow(work, schema).groupBy("term").agg(F.sum("texts").alias("texts"), *[F.sum(f"yes{k}").alias(f"yes{k}") for k in range(n)]).where(F.col("texts") >= LEAST_TEXTS)
+    totals = sample.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(c).cast("long")).alias(c) for c in categories]).first()
+    z = F.lit(0.0)
+    for k, c in enumerate(categories):
+        ones, zeros = totals[c] or 0, totals["rows"] - (totals[c] or 0)
+        if ones and zeros:
+            both = F.col("texts") / float(totals["rows"])
+            gap = F.abs(F.col(f"yes{k}") / float(ones) - (F.col("texts") - F.col(f"yes{k}")) / float(zeros))
+            z = F.greatest(z, gap / F.sqrt(both * (1 - both) * (1 / ones + 1 / zeros) + 1e-12))
+    best = sums.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(KEPT).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, per_class: int = 1500) -> Chain:
     """labels: doc_id and one 0/1 column per category; rows with a null among them are left out."""
+    n = len(categories)
     known = labels.where(" AND ".join(f"{c} IN (0, 1)" for c in categories)).withColumn("combination", F.concat_ws("-", *categories))
     sample = labelled_sample(docs, known.select("doc_id", *categories, "combination"), "combination", per_class)
-    wanted = sample.select("doc_id", *categories, F.col("text").cast("string").alias("text"))
+    sample = written(sample.select(F.col("doc_id").cast("long"), *[F.col(c).cast("int").alias(c) for c in categories], F.col("text").cast("string").alias("text")), "labelled")
+    terms = telling_terms(sample, categories)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(categories)
             for lo, hi, data, offsets in text_steps(batch.column(n + 1)):
-                hashes, owner = word_sets(data, offsets)
-                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in range(n + 1)], lists], names=["doc_id", *categories, "words"])
-
-    types = {f.name: f.dataType.simpleString() for f in wanted.schema}
-    schema = ", ".join([f"doc_id {types['doc_id']}", *[f"{c} {types[c]}" for c in categories], "words array<long>"])
-    rows = wanted.mapInArrow(work, schema).withColumn("at", F.xxhash64("doc_id")).orderBy("at").collect()
+                values = values_of(terms, *terms_of(data, offsets))
+                some = [np.flatnonzero(row) for row in values]
+                yield pa.RecordBatch.from_arrays([
+                    *[batch.column(k).slice(lo, hi - lo) for k in range(n + 1)], pa.array(some, pa.list_(pa.int32())),
+                    pa.array([row[at] for row, at in zip(values, some)], pa.list_(pa.float32()))], names=["doc_id", *categories, "at", "value"])
+
+    schema = ", ".join(["doc_id long", *[f"{c} int" for c in categories], "at array<int>", "value array<float>"])
+    rows = sample.mapInArrow(work, schema).withColumn("order", F.xxhash64("doc_id")).orderBy("order").collect()
     if not rows:
-        return Chain(np.zeros(0, np.uint64), [np.array([-9.0])] + [np.array([0.0] * k + [-9.0]) for k in range(1, len(categories))])
-    y = np.array([[r[c] for c in categories] for r in rows], np.float64)
-    hashes = np.concatenate([np.array(r["words"], np.int64) for r in rows]).view(np.uint64)
-    owner = np.repeat(np.arange(len(rows)), [len(r["words"]) for r in rows])
-    words = telling_words(hashes, owner, y)
-    fold = np.array([r["at"] % FOLDS for r in rows])
-    return train(words, presence(words, hashes, owner, len(rows)).astype(np.float64), y, fold)
+        return Chain(np.zeros(0, np.uint64), [np.array([0.0] * k + [-9.0]) for k in range(n)])
+    x = np.zeros((len(rows), 2 * len(terms)), np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["at"]] = r["value"]
+    return train(terms, x, np.array([[r[c] for c in categories] for r in rows], np.float64), np.array([r["order"] % FOLDS for r in rows]))
 
 
 def scores(docs: DataFrame, chain: Chain, categories: Sequence[str] = CATEGORIES) -> DataFrame:
@@ -162,7 +190,7 @@ def scores(docs: DataFrame, chain: Chain, categories: Sequence[str] = CATEGORIES
         known = sent.value
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(1)):
-                found = probabilities(known, presence(known.words, *word_sets(data, offsets), hi - lo))
+                found = probabilities(known, values_of(known.terms, *terms_of(data, offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(p.astype(np.float64)) for p in found.T]], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, ", ".join([f"{names[0]} long", *[f"{n} double" for n in names[1:]]]))
