@@ -89,6 +89,7 @@ def occurrences(text: Column, word: Column) -> Column:
     return F.when(F.length(word) > 0, F.floor(removed / F.length(word))).otherwise(F.lit(0)).cast("bigint")
 
 
+# The hosts and link parameters below.
 def cloud_provider(url: Column | str) -> Column:
     """Class of a share link; the first matching rule wins."""
     u = F.lower(_col(url))

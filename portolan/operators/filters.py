@@ -150,6 +150,7 @@ def filter_port(df: DataFrame, port: str, loading_only: bool = False) -> DataFra
     return df.where(any_column_contains(pick(df.columns), port))
 
 
+# The six notations of a month in period texts.
 def month_notations(month: int, year: int) -> list[str]:
     name = MONTH_NAMES[month - 1]
     return [f"{year}-{month:02d}", f"{month:02d}/{year}", name, f"{name[:3]}/{year % 100:02d}",

@@ -56,6 +56,7 @@ def small_operations(df: DataFrame, limit: float = 20.0) -> DataFrame:
     return totals.select("tipo_operacao", "total", share.alias("participacao")).where(F.col("participacao") < limit)
 
 
+# The types, potentials and texts of the findings below.
 def opportunities(df: DataFrame, limit: int | None = None) -> DataFrame:
     """All client, month and operation findings, in that order; ``limit`` keeps so many of each type."""
     clients = upsell(df).select(
