@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +167,14 @@ def pattern_census(df: DataFrame, columns: Sequence[str], patterns: Sequence[str
     return counts.select(inline_rows(("coluna", "padrao", "registros"), rows)).where("registros > 0")
 
 
+def pattern_examples(df: DataFrame, columns: Sequence[str], patterns: Sequence[str], n: int = 5) -> DataFrame:
+    """The first n distinct values, in order, of each (column, text pattern)."""
+    long = df.select(inline_rows(("coluna", "valor"), [(F.lit(c), F.col(c).cast("string")) for c in columns])).distinct()
+    found = long.withColumn("padrao", F.explode(F.array(*[F.lit(p) for p in patterns]))).where(F.contains(F.lower("valor"), F.lower("padrao")))
+    order = F.row_number().over(Window.partitionBy("coluna", "padrao").orderBy("valor"))
+    return found.withColumn("nth", order).where(F.col("nth") <= n).select("coluna", "padrao", F.col("nth").alias("ordem"), "valor")
+
+
 def year_census(df: DataFrame, columns: Sequence[str], year: int) -> DataFrame:
     """Rows per column whose text holds the year."""
     return pattern_census(df, columns, [str(year)]).select("coluna", "registros")

@@ -227,3 +227,8 @@ def security_score(df: DataFrame) -> DataFrame:
     quality = quality_score(df)
     combined = (F.col("score") + F.when(valid, 100).otherwise(50)) / 2.0
     return quality.select(F.least(F.lit(100.0), combined).alias("security_score"), F.col("score"), valid.alias("valid"))
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The first rows in a stated order, as a preview beside the profile."""
+    return df.orderBy(*order).limit(n)

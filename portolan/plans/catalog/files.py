@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.plans import ingest
 from portolan.plans.movements import movements, table
 from portolan.plans.registry import query
 from portolan.session import work_folder
@@ -170,3 +171,33 @@ def csv_export(spark, d):
     folder = work_folder(spark, "s14")
     sinks.export_csv(table(spark, d, "documents").select("doc_id", "text", "lang"), f"{folder}/d.csv")
     return tables.read_table(spark, f"{folder}/d.csv", schema="doc_id BIGINT, text STRING, lang STRING", multiLine=True, escape='"')
+
+
+RAW_HEADERS = {"CONSIGNATARIO FINAL": "cliente", "QTDE CONTAINER": "qtd_container", "DATA EMBARQUE": "data_embarque"}
+
+
+def _raw(spark, d):
+    """Movements as a spreadsheet gives them: texts under other headers, dates day first, decimal commas, blanks."""
+    rows = movements(spark, d, "l_orderkey", "l_linenumber", "cliente", "data_embarque", "qtd_container")
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("chave"), F.concat(F.lit("  "), F.upper("cliente")).alias(" Consignatario Final "),
+        F.date_format("data_embarque", "d/M/yyyy").alias("Data Embarque"), F.translate(F.format_number("qtd_container", 2), ",.", ".,").alias("Qtde Container"),
+        F.lit(None).cast("string").alias("Unnamed: 5"))
+
+
+@query("s15_ingestion", """
+WITH @m SELECT ano_mes, sum(qtd_container) AS total, count(*) AS linhas, count(DISTINCT lower(cliente)) AS clientes FROM m GROUP BY ano_mes""")
+def ingestion(spark, d):
+    """Raw texts through the whole job, and what a reader of the processed set then finds."""
+    folder = work_folder(spark, "s15")
+    ingest.ingest(_raw(spark, d), RAW_HEADERS, "data_embarque", folder, "logistico")
+    return spark.read.parquet(folder).groupBy(F.col("ano_mes").cast("int").alias("ano_mes")).agg(
+        F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("linhas"), F.count_distinct("cliente").alias("clientes"))
+
+
+@query("s15_ingestion_integrity", """
+WITH @m SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS nulos_cliente, CAST(min(ano_mes) AS VARCHAR) AS periodo_min, CAST(max(ano_mes) AS VARCHAR) AS periodo_max,
+ count(DISTINCT cliente) AS unique_clients, true AS valid FROM m""")
+def ingestion_integrity(spark, d):
+    row = ingest.ingest(_raw(spark, d), RAW_HEADERS, "data_embarque", work_folder(spark, "s15"), "logistico")
+    return row.select("total_records", "nulos_cliente", "periodo_min", "periodo_max", "unique_clients", "valid")

@@ -175,6 +175,17 @@ def pattern_census(spark, d):
     return flt.pattern_census(rows, ["periodo", "data"], flt.month_notations(3, 1998))
 
 
+@query("f16_pattern_examples", f"""
+WITH @m, x AS (SELECT {_PERIOD_SQL} AS periodo, CAST(data_embarque AS VARCHAR) AS data FROM m),
+p AS (SELECT unnest(['1998-03','03/1998','março','mar/98','1998/03','03-1998']) AS padrao),
+e AS (SELECT DISTINCT 'periodo' AS coluna, padrao, periodo AS valor FROM x JOIN p ON contains(lower(periodo), padrao)
+ UNION ALL SELECT DISTINCT 'data', padrao, data FROM x JOIN p ON contains(lower(data), padrao))
+SELECT coluna, padrao, CAST(row_number() OVER (PARTITION BY coluna, padrao ORDER BY valor) AS INTEGER) AS ordem, valor FROM e QUALIFY ordem <= 5""")
+def pattern_examples(spark, d):
+    rows = movements(spark, d, "l_linenumber", "data_embarque").select(_period().alias("periodo"), F.col("data_embarque").alias("data"))
+    return flt.pattern_examples(rows, ["periodo", "data"], flt.month_notations(3, 1998))
+
+
 @query("f17_year_census", f"""
 WITH @m, x AS (SELECT {_PERIOD_SQL} AS periodo, CAST(data_embarque AS VARCHAR) AS data, CAST(l_orderkey AS VARCHAR) AS pedido FROM m)
 SELECT * FROM (SELECT 'periodo' AS coluna, count(*) FILTER (contains(periodo, '1998')) AS registros FROM x

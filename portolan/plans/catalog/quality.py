@@ -36,6 +36,12 @@ def shape(spark, d):
     return profile.table_shape(table(spark, d, "customer"))
 
 
+@query("a14_first_rows", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+def first_rows(spark, d):
+    clients = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return profile.first_rows(clients, [F.desc("c_acctbal"), "c_custkey"])
+
+
 def _profile_sql(column, kind, source):
     return f"""SELECT '{column}' AS coluna, '{kind}' AS tipo, count({column}) AS preenchidos, count(DISTINCT {column}) AS distintos,
  (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM {source} WHERE {column} IS NOT NULL ORDER BY v LIMIT 5)) AS exemplos
