@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,3 +146,41 @@ def answer(df: DataFrame, kind: str, filters: FilterSet, field: str = "armador",
     if kind == "tendencia":
         return series.trend_label(rows)
     raise ValueError(f"unknown analysis: {kind}")
+
+
+def asked_parts(filters: DataFrame, key: str) -> DataFrame:
+    """One row per total a question needs: (key, tipo_analise, parte, cliente, porto, categoria, ano, mes).
+
+    A comparison needs the totals of its first and last month; any other question needs one.
+    """
+    def part(name: str, year, month) -> Column:
+        return F.struct(F.lit(name).alias("parte"), year.cast("int").alias("ano"), month.cast("int").alias("mes"))
+
+    first, last = F.col("data_inicio"), F.col("data_fim")
+    parts = F.when(F.col("tipo_analise") == "comparacao", F.array(part("inicio", F.year(first), F.month(first)), part("fim", F.year(last), F.month(last)))).otherwise(
+        F.array(part("total", F.col("ano"), F.col("mes"))))
+    return filters.select(key, "tipo_analise", F.lower("cliente").alias("cliente"), F.lower("porto").alias("porto"), "categoria", F.explode(parts).alias("p")).select(
+        key, "tipo_analise", "p.parte", "cliente", "porto", "categoria", "p.ano", "p.mes")
+
+
+def answer_totals(filters: DataFrame, rows: DataFrame, key: str, quantity: str = "qtd_container") -> DataFrame:
+    """The totals of a whole table of questions: (key, tipo_analise, parte, total), 0 where nothing fits.
+
+    Movements are summed once by everything a question can name. Questions are then taken by which
+    filters they set, at most 32 kinds, and each kind meets its own sums by equality.
+    """
+    names = ("cliente", "porto", "categoria", "ano", "mes")
+    asked = asked_parts(filters, key)
+    ports = [F.lower(c) for c in ("porto_embarque", "porto_descarga") if c in rows.columns]
+    sums = rows.groupBy(F.lower("cliente").alias("cliente"), F.array_distinct(F.array(*ports)).alias("portos"), F.col("tipo_operacao").alias("categoria"), "ano", "mes").agg(F.sum(quantity).alias("q"))
+    kinds = asked.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
+    answers = []
+    for kind in kinds:
+        used = [n for n in names if kind[n]]
+        mine = asked.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() if n in used else F.col(n).isNull() for n in names]))
+        held = sums.withColumn("porto", F.explode("portos")) if "porto" in used else sums
+        totals = held.groupBy(*used).agg(F.sum("q").alias("total"))
+        met = mine.join(totals, used, "left") if used else mine.withColumn("total", totals.scalar())
+        answers.append(met.select(key, "tipo_analise", "parte", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total")))
+    empty = asked.where(F.lit(False)).select(key, "tipo_analise", "parte", F.lit(0.0).alias("total"))
+    return reduce(DataFrame.unionByName, answers, empty)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from portolan.operators import conversations, questions
 from portolan.operators.filters import FilterSet
 from portolan.operators.sets import distinct_values
-from portolan.plans.movements import movements, table
+from portolan.plans.movements import MOVEMENTS_SQL, movements, table
 from portolan.plans.registry import query
+from portolan.session import work_folder
 
 NAMES = [n for n in questions.MONTHS if len(n) > 3]
 SHORT = [n for n in questions.MONTHS if len(n) == 3]
@@ -184,6 +187,37 @@ def top_client_at_port(spark, d):
     return top_company(found, ["cliente", "exportador"])
 
 
+def _batch_sql():
+    """Totals by every set of filters, each by equality joins."""
+    names = ("cliente", "porto", "categoria", "ano", "mes")
+    parts = []
+    for kind in itertools.product((False, True), repeat=len(names)):
+        used = [n for n, on in zip(names, kind) if on]
+        want = " AND ".join(f"a.{n} IS {'NOT ' if n in used else ''}NULL" for n in names)
+        source = "mp" if "porto" in used else "mq"
+        group = f"SELECT {', '.join([*used, 'sum(q) AS t'])} FROM {source}" + (f" GROUP BY {', '.join(used)}" if used else "")
+        on = " AND ".join(f"a.{n} = g.{n}" for n in used) or "true"
+        parts.append(f"SELECT a.id, a.tipo_analise, a.parte, CAST(coalesce(g.t, 0) AS DOUBLE) AS total FROM ap a LEFT JOIN ({group}) g ON {on} WHERE {want}")
+    return " UNION ALL ".join(parts)
+
+
+@query("n7_batch", f"""
+WITH {QUESTIONS}, {DATED}, {PERIODS}, {ENTITIES}, {MOVEMENTS_SQL},
+fl AS (SELECT dt.id, tipo AS tipo_analise, ec.e AS cliente, ep.e AS porto, {CATEGORY} AS categoria, y, mo, inicio, fim FROM dt JOIN pe USING (id) LEFT JOIN ec USING (id) LEFT JOIN ep USING (id)),
+ap AS (SELECT id, tipo_analise, 'total' AS parte, cliente, porto, categoria, y AS ano, CASE WHEN y IS NOT NULL THEN mo END AS mes FROM fl WHERE tipo_analise IS DISTINCT FROM 'comparacao'
+ UNION ALL SELECT id, tipo_analise, 'inicio', cliente, porto, categoria, year(inicio), month(inicio) FROM fl WHERE tipo_analise = 'comparacao'
+ UNION ALL SELECT id, tipo_analise, 'fim', cliente, porto, categoria, year(fim), month(fim) FROM fl WHERE tipo_analise = 'comparacao'),
+mq AS (SELECT lower(cliente) AS cliente, tipo_operacao AS categoria, ano + 20 AS ano, mes, lower(porto_embarque) AS pe, lower(porto_descarga) AS pd, sum(qtd_container) AS q FROM m GROUP BY ALL),
+mp AS (SELECT cliente, categoria, ano, mes, pe AS porto, q FROM mq UNION ALL SELECT cliente, categoria, ano, mes, pd, q FROM mq WHERE pd <> pe)
+{_batch_sql()}""")
+def batch(spark, d):
+    """Every question of the table answered by its totals; the questions speak of years 20 later."""
+    rows = movements(spark, d, "cliente", "porto_embarque", "porto_descarga", "tipo_operacao", "ano", "mes", "qtd_container").withColumn("ano", F.col("ano") + 20)
+    folder = work_folder(spark, "n7")  # read once per kind of question
+    questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta").write.parquet(folder)
+    return questions.answer_totals(spark.read.parquet(folder), rows, "id")
+
+
 @query("n8_titles", """
 WITH f AS (SELECT conv_id, arg_min(role, turn) AS role, arg_min(text, turn) AS t FROM conversations GROUP BY 1)
 SELECT conv_id, CASE WHEN role = 'user' THEN CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END END AS titulo FROM f""")
