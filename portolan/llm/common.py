@@ -43,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES, step_docs: int = STEP_DOCS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into steps: (first row, end row, bytes, offsets into them); null is empty."""
     if column.null_count:
         column = column.fill_null("")
@@ -56,8 +56,8 @@ def text_steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < count:
-        end = int(np.searchsorted(offsets, offsets[row] + STEP_BYTES, "right")) - 1
-        end = min(max(end, row + 1), row + STEP_DOCS, count)
+        end = int(np.searchsorted(offsets, offsets[row] + step_bytes, "right")) - 1
+        end = min(max(end, row + 1), row + step_docs, count)
         yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 

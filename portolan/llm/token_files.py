@@ -36,9 +36,11 @@ from portolan.session import work_folder
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-#: Pieces that one worker remembers in each of its two generations.
-CACHE_PIECES = 400_000
-JOINED_BYTES = 1 << 18
+#: Pieces that one worker remembers, and new ones that are encoded in one call.
+CACHE_PIECES = 800_000
+JOINED_PIECES = 1 << 15
+#: Bytes and documents of one step.
+STEP_BYTES, STEP_DOCS = 1 << 22, 1 << 13
 
 SHARD_SCHEMA = ("part int, seq int, docs long, tokens long, width int, nulls long, lo long, hi long, ids binary, keys binary, index binary")
 PLACE_SCHEMA = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
@@ -53,35 +55,49 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.young: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.number: dict[bytes, int] = {}
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _remember(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was used most since the last time, once they are too many."""
+        if len(self.size) <= CACHE_PIECES:
+            return
+        kept = np.zeros(len(self.size), bool)
+        kept[np.argsort(-self.uses, kind="stable")[:CACHE_PIECES // 2]] = True
+        kept &= self.uses > 1
+        names = [name for name, keep in zip(self.number, kept.tolist()) if keep]
+        sizes, starts = self.size[kept], self.start[kept]
+        ids = self.ids[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        self.number = {}
+        self.start = self.size = self.uses = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self._remember(names, sizes, ids)
 
     def _encode_new(self, pieces: list[bytes]) -> None:
         """Encode pieces not seen before; plain ones are joined by line breaks and cut apart again by the break's id."""
-        joined, size, odd = [[]], 0, []
+        plain, odd = [], []
         for piece in pieces:
             text = piece.decode("utf-8", "replace")
             bare = text[1:] if text[0] == " " else text
-            if len(self.break_id) != 1 or not bare or bare.strip() != bare or "\n" in bare:
-                odd.append(piece)
-                continue
-            if size > JOINED_BYTES:
-                joined.append([])
-                size = 0
-            joined[-1].append((piece, text))
-            size += len(piece) + 1
-        for group in joined:
-            if group:
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(t for _, t in group)], add_special_tokens=False)[0].ids, np.uint32)
-                cuts = np.flatnonzero(ids == self.break_id[0])
-                assert len(cuts) == len(group) - 1
-                lo = 0
-                for (piece, _), hi in zip(group, [*cuts.tolist(), len(ids)]):
-                    self.young[piece] = ids[lo:hi].copy()
-                    lo = hi + 1
+            (plain if len(self.break_id) == 1 and bare and bare.strip() == bare and "\n" not in bare else odd).append((piece, text))
+        for lo in range(0, len(plain), JOINED_PIECES):
+            group = plain[lo:lo + JOINED_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([t for _, t in group])], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = ids == self.break_id[0]
+            edges = np.concatenate([[-1], np.flatnonzero(breaks), [len(ids)]])
+            assert len(edges) == len(group) + 1
+            self._remember([p for p, _ in group], np.diff(edges) - 1, ids[~breaks])
         if odd:
-            for piece, found in zip(odd, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in odd], add_special_tokens=False)):
-                self.young[piece] = np.array(found.ids, np.uint32)
+            found = [f.ids for f in self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)]
+            self._remember([p for p, _ in odd], np.array([len(f) for f in found]), np.array([i for f in found for i in f], np.uint32))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, first id of each document with the total last)."""
@@ -104,24 +120,16 @@ class PieceEncoder:
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(pieces) if len(edges) > 1 else pa.array([], pa.binary()).dictionary_encode()
         names = coded.dictionary.to_pylist()
-        missing = []
-        for name in names:
-            if name not in self.young:
-                if name in self.old:
-                    self.young[name] = self.old[name]
-                else:
-                    missing.append(name)
-        self._encode_new(missing)
-        found = [self.young[name] for name in names]
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(sizes) - sizes
-        which = np.asarray(coded.indices)
-        lengths = sizes[which]
+        missing = [name for name, at in zip(names, map(self.number.get, names)) if at is None]
+        if missing:
+            self._encode_new(missing)
+        slots = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        which = slots[np.asarray(coded.indices)]
+        self.uses[slots] += 1
+        lengths = self.size[which]
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(starts[which] - sums[:-1], lengths) + np.arange(sums[-1])] if len(which) else flat
+        ids = self.ids[np.repeat(self.start[which] - sums[:-1], lengths) + np.arange(sums[-1])] if len(which) else np.zeros(0, np.uint32)
+        self._forget()
         first = sums[np.searchsorted(edges, offsets)] if size else np.zeros(docs + 1, np.int64)
         counts = np.diff(first)
         out = np.full(len(ids) + docs, END_ID, np.uint32)
@@ -217,7 +225,7 @@ def shards(docs: DataFrame, vocabulary: str, shard_ids: int = SHARD_IDS) -> Data
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             key = np.asarray(batch.column(0).fill_null(0))
-            for lo, hi, data, offsets in text_steps(batch.column(2)):
+            for lo, hi, data, offsets in text_steps(batch.column(2), STEP_BYTES, STEP_DOCS):
                 got, first = coder.encode(data, offsets)
                 row_at = 0
                 while row_at < hi - lo:
