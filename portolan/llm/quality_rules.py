@@ -237,8 +237,7 @@ def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that pass, with their own columns. Labelled texts are measured first, then every row where it lies."""
-    given = labels_of(labels)
-    known = docs.select("doc_id", "text").join(given.select("label_id"), F.col("doc_id") == F.col("label_id"), "left_semi")
-    rules = _learn_from(statistics(known), labels)
-    return judge(statistics(docs), rules).where("kept").select("row.*")
+    """The rows that pass, with their own columns. Texts are measured twice, to learn and to judge, and never shuffled."""
+    measured = written(statistics(docs.select("doc_id", "text")).select("row.doc_id", *COUNTS, *[f for f in FEATURES if f not in COUNTS]), "rule-statistics")
+    rows = measured.select(F.struct("doc_id").alias("row"), *[c for c in measured.columns if c != "doc_id"])
+    return judge(statistics(docs), _learn_from(rows, labels)).where("kept").select("row.*")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.llm.common import BITMAP_BITS, written
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Each row as a struct, beside its id and a hash of its text."""
@@ -12,8 +14,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose (doc_id, tk) is not among the keys; a null id matches a null id."""
-    gone = keys.select(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk")).distinct()
-    here = keyed(docs)
-    kept = here.join(gone, here["id"].eqNullSafe(gone["gone_id"]) & (here["tk"] == gone["gone_tk"]), "left_anti")
-    return kept.select("row.*")
+    """Rows whose (doc_id, tk) is not among the keys; a null id matches a null id.
+
+    A bitmap of the keys, at most 1 MB whatever their number, lets rows that surely are not among
+    them pass where they lie; only the others, with their texts, are shuffled for the exact join.
+    """
+    gone = written(keys.select(F.col("doc_id").cast("long").alias("gone_id"), F.col("tk").alias("gone_tk")).distinct(), "gone")
+    marks = gone.select(_slot("gone_id", "gone_tk").alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(F.expr("bitmap_construct_agg(slot & 32767)").alias("bits"))
+    bits = marks.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits")))).scalar()  # 256 parts of 4 kB at most
+    here = keyed(docs).withColumn("slot", _slot("id", "tk"))
+    part = F.try_element_at(bits, F.shiftright("slot", 15))
+    value = F.conv(F.hex(F.substr(part, F.shiftright(F.col("slot").bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = F.coalesce(F.floor(value / F.pow(F.lit(2), F.col("slot").bitwiseAND(F.lit(7)))) % 2 == 1, F.lit(False))
+    clear = here.where(~marked).select("row.*")
+    rest = here.where(marked)
+    kept = rest.join(gone, rest["id"].eqNullSafe(gone["gone_id"]) & (rest["tk"] == gone["gone_tk"]), "left_anti")
+    return clear.unionByName(kept.select("row.*"))
+
+
+def _slot(doc_id: str, tk: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id, tk), 64 - BITMAP_BITS)
