@@ -61,12 +61,12 @@ def targets_of(cells: DataFrame, dimension: str, named: Mapping[str, float] | No
     if named:
         given = F.coalesce(reduce(lambda a, kv: a.when(F.col(dimension) == kv[0], F.lit(float(kv[1]))), named.items(), F.when(F.lit(False), F.lit(0.0))), F.lit(None).cast("double"))
         sums = sums.withColumn("given", given)
-        rest = sums.agg(F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given"), F.lit(0.0))).alias("rest"), F.sum(F.when(F.col("given").isNull(), F.col("t"))).alias("others"))
-        raw = sums.join(F.broadcast(rest)).select(dimension, F.coalesce("given", F.col("t") / F.col("others") * F.col("rest")).alias("raw"))  # one row
+        rest = F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given"), F.lit(0.0))).alias("rest")
+        left = sums.agg(F.struct(rest, F.sum(F.when(F.col("given").isNull(), F.col("t"))).alias("others"))).scalar()
+        raw = sums.select(dimension, F.coalesce("given", F.col("t") / left["others"] * left["rest"]).alias("raw"))
     else:
         raw = sums.select(dimension, F.pow("t", F.lit(flatten)).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.join(F.broadcast(total)).select(dimension, (F.col("raw") / F.col("total")).alias("target"))  # one row
+    return raw.select(dimension, (F.col("raw") / raw.agg(F.sum("raw")).scalar()).alias("target"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-6, most: int = 60, between: int = 5) -> DataFrame:
