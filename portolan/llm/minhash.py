@@ -11,8 +11,9 @@ texts of one band value end up either compared or connected, and no step emits a
 shared folder; links, components and sets never reach the driver.
 
 Defined results: a text without words (null, empty, blank) has no shingles and no links; fewer
-words than a shingle make one shingle of the whole text; rows with equal ids keep one row each;
-rows without an id take part, and their component is the smallest id that they reach, or null.
+words than a shingle make one shingle of the whole text; rows without an id take part, and their
+component is the smallest id that they reach, or null. Groups are told apart by their texts, so
+different texts under one id, or without an id, stay different.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.common import BLANK_WORDS, bitmap_test, grams, key_bitmap, mix, text_steps, words_of, written
-from portolan.llm.rows import keyed, without
+from portolan.llm.rows import keyed, one_per_key, without
 
 UNIVERSE_BITS = 20
 #: At a similarity of 0.8 a link is missed by every band with a chance of 5e-7.
@@ -266,25 +267,25 @@ def _merged(labels: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row of each component, the one of the smallest id, with its own columns; texts without words stay."""
+    """One row of each group of near-duplicates, one of its smallest id, with its own columns; texts without words stay."""
     found = written(near_duplicates(docs, size, similarity, bands, rows), "near")
-    left = without(docs, found.where("NOT kept").select("doc_id", "tk"))
-    again = found.where("kept AND digest IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("tk").alias("tk")).where("n > 1")
-    again = written(again.select("doc_id", "tk"), "again")
-    if again.isEmpty():
-        return left
-    # Rows that repeat a kept id: the first text of it stays, once.
-    rows_ = keyed(left)
-    twice = rows_.join(again.select(F.col("doc_id").alias("again_id"), F.col("tk").alias("again_tk")), rows_["id"].eqNullSafe(F.col("again_id")), "left")
-    single = twice.where("again_tk IS NULL").select("row.*")
-    chosen = twice.where("tk = again_tk").groupBy("id").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(chosen)
+    firsts = found.where("kept AND digest IS NOT NULL").groupBy("label", "doc_id", "tk").agg(F.count(F.lit(1)).alias("n"))
+    chosen = firsts.groupBy("label").agg(F.sum("n").alias("n"), F.min(F.struct("tk", "doc_id")).alias("one")).where("n > 1")
+    chosen = written(chosen.select("label", F.col("one.doc_id").alias("doc_id"), F.col("one.tk").alias("tk")), "chosen")
+    gone = found.where("NOT kept").select("doc_id", "tk")
+    if chosen.isEmpty():
+        return without(docs, gone)
+    # Groups with several rows of their smallest id: all of these go, and one comes back.
+    several = firsts.join(chosen.select("label"), "label", "left_semi").select("doc_id", "tk")
+    return without(docs, gone.union(several)).unionByName(one_per_key(docs, chosen.select("doc_id", "tk")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row: doc_id, tk (a hash of the text), n_shingles, component_id, digest, kept.
+    """For each row: doc_id, tk (a hash of the text), n_shingles, component_id, digest, label, kept.
 
     docs: columns doc_id and text. size: words in a shingle. similarity: hundredths of the union.
+    label: the group of near-duplicates, null without words; several groups may share a component_id
+    when ids repeat or are null.
     """
     signed = written(signed_rows(docs, size, bands, rows), "signed")
     classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
@@ -300,15 +301,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80, bands:
     labels = group_classes(members, sets, similarity)
     named = classes.select("digest", "cid", "first")
     if labels is None:
-        named = named.withColumn("component_id", F.col("first"))
+        named = named.select("digest", F.col("first").alias("component_id"), F.col("cid").alias("label"))
     else:
         grouped = written(named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "grouped")
         smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
         named = grouped.join(smallest, "label")
-    named = written(named.select("digest", "component_id"), "named")
+    named = written(named.select("digest", "component_id", "label"), "named")
     # Rows without words have no digest: they pass by the join, or its missing keys would meet in one task.
-    columns = ("doc_id", "tk", "n_shingles", "component_id", "digest")
+    columns = ("doc_id", "tk", "n_shingles", "component_id", "digest", "label")
     met = signed.where(F.col("digest").isNotNull()).join(named, "digest", "left").select(*columns)
-    unmet = signed.where(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id")).select(*columns)
+    unmet = signed.where(F.col("digest").isNull()).withColumns({"component_id": F.col("doc_id"), "label": F.lit(None).cast("long")}).select(*columns)
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull())
     return met.union(unmet).withColumn("kept", same)

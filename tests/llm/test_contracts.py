@@ -79,6 +79,20 @@ def test_one_of_each(spark, edge, texts):
     assert want <= set(got) and got.count(2) == 0 and got.count(1) == 1 and {5, 6, 7} <= set(got)
 
 
+def test_one_of_each_keeps_different_texts_under_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = a.replace("a39", "other")
+    docs = [(1, a), (1, near), (1, b), (2, b), (3, a), (None, c), (None, c), (None, c + " more"), (None, d), (None, b), (None, None), (None, ""), (None, "!"), (4, None), (4, None)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, source string").repartition(3)
+    kept = minhash.one_of_each(frame, size=2)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == frame.columns
+    # One of each group: a with its near copy, b under its smallest id, c with its near copy, d, "!".
+    assert sum(x in got for x in [(1, a), (1, near)]) == 1 and [x for x in got if x[1] == b] == [(1, b)]
+    assert sum(x[1] in (c, c + " more") for x in got) == 1 and got.count((None, d)) == 1 and got.count((None, "!")) == 1
+    assert got.count((None, None)) == 1 and got.count((None, "")) == 1 and got.count((4, None)) == 2 and len(got) == 9
+
+
 def test_clean_keeps_columns(spark, edge, texts):
     docs = spark.read.parquet(f"{edge}/documents.parquet")
     kept = winnow.clean(docs, spark.read.parquet(f"{edge}/benchmark.parquet"))
