@@ -49,27 +49,27 @@ def any_column_contains(columns: Sequence[str], needle: str) -> Column:
     return any_of(contains_text(c, needle) for c in columns)
 
 
-# The date that year, month and period columns are taken from.
-DATE_COLUMN = "data_embarque"
-
-
-def date_bounds(columns: Sequence[str], first: int, last: int) -> Column:
-    """Dates from the first to the last month (as 199803), where the table has the date column: a bound that scans can prune by."""
-    if DATE_COLUMN not in columns:
+def date_bounds(dates: str | None, first: int, last: int) -> Column:
+    """Dates of a column from the first to the last month (as 199803): a bound that scans can prune by; None bounds nothing."""
+    if dates is None:
         return F.lit(True)
     begin = datetime.date(first // 100, first % 100, 1)
     end = datetime.date(last // 100 + last % 100 // 12, last % 100 % 12 + 1, 1)
-    return (F.col(DATE_COLUMN) >= F.lit(begin)) & (F.col(DATE_COLUMN) < F.lit(end))
+    return (F.col(dates) >= F.lit(begin)) & (F.col(dates) < F.lit(end))
 
 
-def filter_condition(columns: Sequence[str], f: FilterSet, operation: str = "tipo_operacao") -> Column:
-    """One predicate for a filter set, over the columns the table has; periods also bound the date column."""
+def filter_condition(columns: Sequence[str], f: FilterSet, operation: str = "tipo_operacao", dates: str | None = None) -> Column:
+    """One predicate for a filter set, over the columns the table has.
+
+    dates: the date column that year, month and period were taken from, where they were; periods then
+    bound it too.
+    """
     conditions = [F.lit(True)]
     if f.ano:
         months = (f.mes, f.mes) if f.mes else (1, 12)
-        conditions.append(date_bounds(columns, *[f.ano * 100 + m for m in months]))
+        conditions.append(date_bounds(dates, *[f.ano * 100 + m for m in months]))
     if f.data_inicio and f.data_fim:
-        conditions.append(date_bounds(columns, f.data_inicio, f.data_fim))
+        conditions.append(date_bounds(dates, f.data_inicio, f.data_fim))
     if f.categoria:
         conditions.append(operation_equals(operation, f.categoria))
     if f.cliente:
@@ -90,8 +90,8 @@ def filter_condition(columns: Sequence[str], f: FilterSet, operation: str = "tip
     return result
 
 
-def apply_filters(df: DataFrame, f: FilterSet, operation: str = "tipo_operacao") -> DataFrame:
-    return df.where(filter_condition(df.columns, f, operation))
+def apply_filters(df: DataFrame, f: FilterSet, operation: str = "tipo_operacao", dates: str | None = None) -> DataFrame:
+    return df.where(filter_condition(df.columns, f, operation, dates))
 
 
 def filter_by_period(df: DataFrame, start: datetime.date, end: datetime.date) -> DataFrame:
@@ -116,8 +116,9 @@ def year_column(columns: Sequence[str]) -> Column:
     return F.coalesce(*[F.year(parse_period(c)) for c in periods]) if periods else F.lit(None).cast("int")
 
 
-def filter_year(df: DataFrame, year: int) -> DataFrame:
-    return df.where((year_column(df.columns) == year) & date_bounds(df.columns, year * 100 + 1, year * 100 + 12))
+def filter_year(df: DataFrame, year: int, dates: str | None = None) -> DataFrame:
+    """Rows of a year. dates: the date column that the year was taken from, where it was; it is bounded too."""
+    return df.where((year_column(df.columns) == year) & date_bounds(dates, year * 100 + 1, year * 100 + 12))
 
 
 def month_year_text(c: Column | str, month: int, year: int) -> Column:
@@ -190,8 +191,8 @@ def year_value_census(df: DataFrame, column: str, year: int, top: int = 5) -> Da
     )
 
 
-def filter_year_or_fallback(df: DataFrame, wanted: int, fallback: int) -> DataFrame:
-    """The wanted year when it has rows, else the fallback year."""
-    either = df.where(date_bounds(df.columns, wanted * 100 + 1, wanted * 100 + 12) | date_bounds(df.columns, fallback * 100 + 1, fallback * 100 + 12))
-    present = filter_year(df, wanted).agg(F.max("ano").alias("ano")).scalar()
+def filter_year_or_fallback(df: DataFrame, wanted: int, fallback: int, dates: str | None = None) -> DataFrame:
+    """The wanted year when it has rows, else the fallback year. dates: as in filter_year."""
+    either = df.where(date_bounds(dates, wanted * 100 + 1, wanted * 100 + 12) | date_bounds(dates, fallback * 100 + 1, fallback * 100 + 12))
+    present = filter_year(df, wanted, dates).agg(F.max("ano").alias("ano")).scalar()
     return either.where(F.col("ano").isin(wanted, fallback) & (F.col("ano") == F.coalesce(present, F.lit(fallback))))

@@ -21,7 +21,7 @@ WITH @m SELECT armador, sum(qtd_container) AS total_containers FROM m
 WHERE porto_descarga = '{PORT}' AND ano = {YEAR} GROUP BY armador
 ORDER BY total_containers DESC, armador LIMIT 5""")
 def carriers_at_port(spark, d):
-    rows = flt.filter_year(movements(spark, d, "armador", "porto_descarga", "qtd_container", "ano", "data_embarque"), YEAR)
+    rows = flt.filter_year(movements(spark, d, "armador", "porto_descarga", "qtd_container", "ano", "data_embarque"), YEAR, "data_embarque")
     return ranking.carriers_at_port(flt.filter_port(rows, PORT).where(F.col("porto_descarga") == PORT), 5)
 
 
@@ -44,7 +44,7 @@ WITH @m SELECT {KEYS_SQL} FROM m WHERE tipo_operacao = 'importacao'
 def filter_set(spark, d):
     f = flt.FilterSet(categoria="Importação", porto="nation_5", ano=YEAR, data_inicio=199802, data_fim=199811)
     rows = movements(spark, d, *KEYS, "tipo_operacao", "porto_embarque", "porto_descarga", "ano", "ano_mes", "data_embarque")
-    return flt.apply_filters(rows, f).select(*KEYS)
+    return flt.apply_filters(rows, f, dates="data_embarque").select(*KEYS)
 
 
 @query("f2_operation", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE tipo_operacao = 'exportacao'")
@@ -77,13 +77,13 @@ def carrier(spark, d):
 @query("f6_year_month", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano = 1999 AND mes = 3")
 def year_month(spark, d):
     rows = movements(spark, d, *KEYS, "ano", "mes", "data_embarque")
-    return flt.apply_filters(rows, flt.FilterSet(ano=1999, mes=3)).select(*KEYS)
+    return flt.apply_filters(rows, flt.FilterSet(ano=1999, mes=3), dates="data_embarque").select(*KEYS)
 
 
 @query("f7_period_range", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano_mes BETWEEN 199711 AND 199802")
 def period_range(spark, d):
     rows = movements(spark, d, *KEYS, "ano_mes", "data_embarque")
-    return flt.apply_filters(rows, flt.FilterSet(data_inicio=199711, data_fim=199802)).select(*KEYS)
+    return flt.apply_filters(rows, flt.FilterSet(data_inicio=199711, data_fim=199802), dates="data_embarque").select(*KEYS)
 
 
 @query("f8_period_fallback", f"""
@@ -128,7 +128,7 @@ _PERIOD_SQL = """CASE l_linenumber % 4 WHEN 0 THEN strftime(data_embarque, '%m/%
 @query("f11_year_from_period", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano = 1997")
 def year_from_period(spark, d):
     rows = movements(spark, d, *KEYS, "data_embarque").withColumn("periodo", _period())
-    return flt.filter_year(rows, 1997).select(*KEYS)
+    return flt.filter_year(rows, 1997, "data_embarque").select(*KEYS)
 
 
 @query("f12_month_year_text", f"WITH @m SELECT {KEYS_SQL} FROM m WHERE ano = 1998 AND mes = 3")
@@ -210,5 +210,5 @@ WITH @m SELECT mes, sum(qtd_container) AS total, count(*) AS operacoes FROM m
 WHERE ano = (SELECT CASE WHEN count(*) FILTER (ano = 2025) > 0 THEN 2025 ELSE 1999 END FROM m) GROUP BY mes""")
 def year_fallback(spark, d):
     rows = movements(spark, d, "ano", "mes", "qtd_container", "data_embarque")
-    return flt.filter_year_or_fallback(rows, 2025, 1999).groupBy("mes").agg(
+    return flt.filter_year_or_fallback(rows, 2025, 1999, "data_embarque").groupBy("mes").agg(
         F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("operacoes"))

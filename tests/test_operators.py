@@ -244,6 +244,17 @@ def test_date_format_choice(spark):
     assert [str(r[0]) for r in cleaning.parse_dates(df).select("ETA").collect()] == ["2024-02-01", "None"]
 
 
+@pytest.mark.parametrize("kind", ["date", "string"])
+def test_period_filters_read_the_period_columns(spark, kind):
+    """Dates may be missing, unparsed or of another month than the period."""
+    days = [None, "1998-03-05", "2001-01-01"] + ["05/03/1998"] * (kind == "string")
+    df = spark.createDataFrame([(1998, 3, 199803, d) for d in days], "ano int, mes int, ano_mes int, dia string").select(
+        "ano", "mes", "ano_mes", F.col("dia").cast(kind).alias("data_embarque"))
+    for f in (filters.FilterSet(ano=1998), filters.FilterSet(ano=1998, mes=3), filters.FilterSet(data_inicio=199802, data_fim=199804)):
+        assert filters.apply_filters(df, f).count() == len(days)
+    assert filters.filter_year(df, 1998).count() == filters.filter_year_or_fallback(df, 2025, 1998).count() == len(days)
+
+
 def test_filters_ignore_accents_and_nulls(spark):
     df = spark.createDataFrame([("importacao", "A"), ("Importação", None)], "tipo_operacao string, cliente string")
     assert filters.apply_filters(df, filters.FilterSet(categoria="IMPORTAÇÃO")).count() == 2
