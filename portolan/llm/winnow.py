@@ -9,7 +9,8 @@ Before the join, a bitmap of fixed size drops document hashes that no item has;
 benchmark outgrows it, more hashes go into the join and the result stays the same.
 
 Defined results: a null text has no words; items without words are left out; items with equal
-ids count once; documents with the same words are examined once and each row gets the result;
+ids count once; items without an id count as hits but are not named in item_ids; documents with
+the same words are examined once and each row gets the result;
 an empty benchmark leaves every document clean.
 """
 
@@ -126,7 +127,7 @@ def _same_ahead(a: str, b: str) -> Column:
 
 def hit_runs(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): rows (id, tk, n_words, digest); runs (digest, start, end, item_id) in words."""
-    items = written(prints(_keyed(benchmark, "item_id"), span, k, None, None).where("id IS NOT NULL").select("id", F.explode("prints").alias("p")).select("id", "p.*"), "item-prints")
+    items = written(prints(_keyed(benchmark, "item_id"), span, k, None, None).select("id", F.explode("prints").alias("p")).select("id", "p.*"), "item-prints")
     lengths = sorted(r[0] for r in items.where(F.col("size") < span).select("size").distinct().collect())
     rows = written(prints(_keyed(docs, "doc_id"), span, k, lengths, key_bitmap(items, "fp")), "prints")
     once = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("prints").alias("prints"))

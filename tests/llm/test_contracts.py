@@ -101,6 +101,15 @@ def test_clean_keeps_columns(spark, edge, texts):
     assert {r.doc_id for r in kept.collect() if r.doc_id} == {i for i, _ in texts[0] if i} - bad
 
 
+def test_items_without_an_id_are_hits(spark):
+    long, other = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, "x " + long), (2, other), (3, "short item here"), (4, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, long), (7, other), (None, other), (None, "short item")], "item_id long, text string")
+    got = rows(winnow.contamination(docs, items), "doc_id", "n_hit", "item_ids", "contaminated")
+    assert got == [(1, 30, [], True), (2, 30, ["7"], True), (3, 2, [], True), (4, 0, [], False)]
+    assert [r.doc_id for r in winnow.clean(docs, items).collect()] == [4]
+
+
 def test_token_files(spark, edge, texts, tmp_path):
     from tokenizers import Tokenizer
 
