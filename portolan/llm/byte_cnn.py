@@ -5,8 +5,8 @@ the whole text (a chunk is two neighbouring halves), then the chunk values are p
 (largest, mean, smallest) and combined into one probability. Filters and weights are trained by
 gradient descent, the gradient passing through the pooled places.
 
-Trained on at most `per_class` labelled rows of each class; of a longer training text at most
-`train_halves` halves, spread evenly, are looked at. Scoring reads every byte.
+Trained on at most `per_class` labelled rows of each class, whose whole texts go to the driver.
+Training and scoring read every byte.
 
 Defined results: null and empty texts get the score of no evidence; rows are scored one by one, so
 ties and repeated rows get equal scores; without labelled rows of both classes every score is the
@@ -80,6 +80,25 @@ def pooled_halves(net: Network, codes: np.ndarray, places: np.ndarray, end: int)
     return out
 
 
+def pooled_places(net: Network, codes: np.ndarray, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest answer of each filter in each half chunk, and the first place that gives it."""
+    k = len(net.bias)
+    out, where = np.empty((len(places), k), np.float32), np.empty((len(places), k), np.int64)
+    lo = 0
+    while lo < len(places):
+        to = max(lo + 1, int(np.searchsorted(places, places[lo] + STEP)))
+        begin, stop = int(places[lo]), int(places[to]) if to < len(places) else end
+        found = answers(net, codes, begin, stop)
+        heads = places[lo:to] - begin
+        out[lo:to] = np.maximum.reduceat(found, heads, axis=0)
+        half = np.repeat(np.arange(lo, to), np.diff(np.concatenate([heads, [stop - begin]])))
+        at, f = np.nonzero(found == out[half])
+        lead = np.unique(half[at] * k + f, return_index=True)[1]
+        where[lo:to] = (at[lead] + begin).reshape(to - lo, k)
+        lo = to
+    return out, where
+
+
 def chunk_values(net: Network, halves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of two neighbouring halves (one for a text of one half): (values, first chunk of each text with the total last)."""
     sizes = np.diff(first)
@@ -106,27 +125,21 @@ def probability(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-(rows @ net.weights + net.shift[0]).astype(np.float64)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float, steps: int = 700, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, train_halves: int = 24, seed: int = 0) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, share: float, steps: int = 700, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Network:
     """Fit filters and weights. share: the share of label 1 outside the sample, which the score is shifted to."""
     rng = np.random.default_rng(seed)
     taps = rng.normal(0, 0.3, (WIDTH, 257, FILTERS)).astype(np.float32)
     taps[:, PAD] = 0
     net = Network(taps, np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 3 * FILTERS).astype(np.float32), np.zeros(1, np.float32))
-    cut = []
-    for text in texts:
-        halves = -(-len(text) // HALF)
-        if halves > train_halves:
-            runs = np.linspace(0, halves - 4, train_halves // 4).astype(int)
-            text = b"".join(text[r * HALF:(r + 4) * HALF] for r in runs)
-        cut.append(np.frombuffer(text, np.uint8))
+    whole = [np.frombuffer(text, np.uint8) for text in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    epochs, step = max(1, -(-steps * batch // len(cut))), 0
+    epochs, step = max(1, -(-steps * batch // len(whole))), 0
     for epoch in range(epochs):
-        order = rng.permutation(len(cut))
+        order = rng.permutation(len(whole))
         for lo in range(0, len(order), batch):
             ids = order[lo:lo + batch]
-            offsets = np.concatenate([[0], np.cumsum([len(cut[i]) for i in ids])])
-            grads = _gradients(net, np.concatenate([cut[i] for i in ids]), offsets, labels[ids])
+            offsets = np.concatenate([[0], np.cumsum([len(whole[i]) for i in ids])])
+            grads = _gradients(net, np.concatenate([whole[i] for i in ids]), offsets, labels[ids])
             step += 1
             pace = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)
             for p, g, (m, v) in zip(net.parameters(), grads, moments):
@@ -143,8 +156,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, steps: int = 700
 def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
     codes, starts = padded(data, offsets)
     places, first = halves_of(starts)
-    all_answers = answers(net, codes, 0, int(starts[-1]))
-    tops = np.maximum.reduceat(all_answers, places, axis=0)
+    tops, at = pooled_places(net, codes, places, int(starts[-1]))
     values, begin = chunk_values(net, tops, first)
     rows = features(values, begin)
     p = 1 / (1 + np.exp(-(rows @ net.weights + net.shift[0])))
@@ -160,15 +172,9 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, labels: np.n
     source = np.where(tops[right] > tops[left], right[:, None], left[:, None])
     d_half = np.zeros_like(tops)
     np.add.at(d_half, (source, np.arange(k)[None, :]), d_chunk)
-    half_of = np.repeat(np.arange(len(places)), np.diff(np.concatenate([places, [starts[-1]]])))
-    hit = all_answers == tops[half_of]
-    at, f = np.nonzero(hit)
-    lead = np.unique(half_of[at] * k + f, return_index=True)[1]
-    at, f = at[lead], f[lead]
-    weight = d_half[half_of[at], f]
     d_taps = np.zeros_like(net.taps)
     for w in range(WIDTH):
-        d_taps[w] = np.bincount(codes[at + w] * k + f, weight, 257 * k).reshape(257, k)
+        d_taps[w] = np.bincount((codes[at + w] * k + np.arange(k)).ravel(), d_half.ravel(), 257 * k).reshape(257, k)
     assert len(half_counts) == len(labels)
     return [d_taps, d_chunk.sum(0), rows.T @ error, np.array([error.sum()], np.float32)]
 
@@ -183,21 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Network:
         shift = np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3))], np.float32)
         return Network(np.zeros((WIDTH, 257, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS, np.float32), shift)
     sample = labelled_sample(docs, learn, "quality", per_class)
-    # Rows of one order, whatever the layout of the tables; of a long text only what training looks at leaves the cluster.
-    rows = sample.select("quality", F.xxhash64("doc_id").alias("at"), _train_part("text").alias("text")).orderBy("at").collect()
+    # Rows of one order, whatever the layout of the tables.
+    rows = sample.select("quality", F.xxhash64("doc_id").alias("at"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).orderBy("at").collect()
     texts = [bytes(r["text"]) for r in rows]
     return train(texts, np.array([r["quality"] for r in rows], np.float32), counts[1] / total)
 
 
-def _train_part(text: str, halves: int = 24):
-    """The bytes of a text, or four-half runs spread evenly over a longer one."""
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    run, runs = 4 * HALF, halves // 4
-    span = F.length(data) - run
-    spread = F.concat(*[F.substring(data, (span * F.lit(i) / F.lit(runs - 1)).cast("int") + 1, F.lit(run)) for i in range(runs)])
-    return F.when(F.length(data) <= halves * HALF, data).otherwise(spread)
-
-
 def scores(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(net)

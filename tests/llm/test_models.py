@@ -34,6 +34,26 @@ def test_quality_is_right_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in got) >= 0.93 * len(got)
 
 
+def test_long_training_texts_are_read_whole():
+    """Texts that differ at one place only, wherever it lies."""
+    import numpy as np
+
+    from portolan.llm import byte_cnn
+
+    rng = np.random.default_rng(7)
+    labels = np.arange(40) % 2
+    texts = []
+    for label in labels:
+        text = bytearray((b"lorem ipsum dolor sit amet " * 400)[:9_216])
+        at = int(rng.integers(900, 1_100))  # between the runs of the former cut
+        if label:
+            text[at:at + 300] = b"#!" * 150
+        texts.append(bytes(text))
+    net = byte_cnn.train(texts[:20], labels[:20].astype(np.float32), 0.5, steps=60, batch=20)
+    p = byte_cnn.probability(net, np.frombuffer(b"".join(texts[20:]), np.uint8), np.arange(21) * 9_216)
+    assert ((p >= 0.5) == labels[20:]).all()
+
+
 def test_toxic_rows_are_found_and_clean_ones_left_alone(spark):
     got = catalog.QUERIES["op5_toxicity_chain"](spark, SF).withColumnRenamed("toxic", "found").join(read(spark, SF, "labels"), "doc_id").collect()
     toxic = [r.found for r in got if r.toxic]
