@@ -5,12 +5,14 @@ the whole text (a chunk is two neighbouring halves), then the chunk values are p
 (largest, mean, smallest) and combined into one probability. Filters and weights are trained by
 gradient descent, the gradient passing through the pooled places.
 
-Trained on at most `per_class` labelled rows of each class, whose whole texts go to the driver.
+Trained on at most `per_class` labelled rows of each class and `sample_bytes` of their text, which
+go to the driver whole; of rows in order of a hash, those that no longer fit are passed over.
 Training and scoring read every byte.
 
 Defined results: null and empty texts get the score of no evidence; rows are scored one by one, so
-ties and repeated rows get equal scores; without labelled rows of both classes every score is the
-share of label 1 among them, or 0.5; an empty table gives no rows.
+ties and repeated rows get equal scores; an id with two different labels is not learned from, nor is
+a label without a document; if the labelled documents found do not bear both labels, every score is
+the share of label 1 among them, or 0.5 without any; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import held_out, text_steps
-from portolan.llm.sampling import labelled_sample
+from portolan.llm.common import held_out, text_steps, written
+from portolan.llm.sampling import agreed, labelled_sample
 
 WIDTH, FILTERS, HALF = 6, 16, 192
 PAD = 256
@@ -179,20 +181,29 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, labels: np.n
     return [d_taps, d_chunk.sum(0), rows.T @ error, np.array([error.sum()], np.float32)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Network:
+def constant(share: float) -> Network:
+    """The network that gives every text one score."""
+    edge = min(max(share, 1e-9), 1 - 1e-9)
+    return Network(np.zeros((WIDTH, 257, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS, np.float32), np.array([np.log(edge / (1 - edge))], np.float32))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes: int = 1 << 28) -> Network:
     """Train on a bounded sample of labelled rows that are not held out."""
-    learn = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    learn = agreed(labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality"))
     counts = {r[0]: r[1] for r in learn.groupBy("quality").count().collect()}
-    total = sum(counts.values())
-    if len(counts) < 2:
-        share = counts.get(1, 0) / total if total else 0.5
-        shift = np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3))], np.float32)
-        return Network(np.zeros((WIDTH, 257, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS, np.float32), shift)
     sample = labelled_sample(docs, learn, "quality", per_class)
     # Rows of one order, whatever the layout of the tables.
-    rows = sample.select("quality", F.xxhash64("doc_id").alias("at"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).orderBy("at").collect()
-    texts = [bytes(r["text"]) for r in rows]
-    return train(texts, np.array([r["quality"] for r in rows], np.float32), counts[1] / total)
+    sample = written(sample.select("quality", F.xxhash64("doc_id").alias("at"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")), "labelled")
+    left, wanted = sample_bytes, []
+    for at, size in sample.select("at", F.octet_length("text")).orderBy("at").collect():
+        if size <= left:
+            left -= size
+            wanted.append(at)
+    rows = sample.where(F.col("at").isin(wanted)).orderBy("at").collect() if wanted else []
+    found = np.array([r["quality"] for r in rows], np.float32)
+    if not 0 < found.sum() < len(found):
+        return constant(float(found.mean()) if len(found) else 0.5)
+    return train([bytes(r["text"]) for r in rows], found, counts[1] / sum(counts.values()))
 
 
 def scores(docs: DataFrame, net: Network) -> DataFrame:

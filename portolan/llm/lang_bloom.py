@@ -6,13 +6,14 @@ the AND of those places gives all languages that contain the n-gram in one look-
 decided by counting, per language, its n-grams with that bit set, after taking out the false
 positives that the fill of the language's bit plane leads one to expect.
 
-N-grams are counted on a bounded sample: at most `per_language` rows of each language. More than
-64 languages take more planes of 64 bits.
+N-grams are counted on a bounded sample: at most `per_language` rows of each language, each with its
+own text, equal rows once. More than 64 languages take more planes of 64 bits.
 
 Defined results: `und` for a null text or one without a letter; rows are decided one by one, so
 ties and repeated rows get equal results, and between equal languages the first by name wins; a
-text without any known n-gram gets the commonest learned language with score 0; without learned
-languages everything is `und`; an empty table gives no rows.
+text without any known n-gram gets the commonest learned language with score 0; a language whose
+sampled texts have no n-gram is not learned; without learned languages everything is `und`; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.common import held_out, mix, text_steps
-from portolan.llm.sampling import labelled_sample
+from portolan.llm.sampling import row_sample
 
 SIZES = (3, 4)
 TABLE_BITS, PLACES = 18, 3
@@ -68,6 +69,7 @@ def places(keys: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def build(sets: dict[str, np.ndarray], common: str | None) -> Filter:
+    """The filter of sets of n-grams by language; common is one of them."""
     languages = sorted(sets)
     masks = np.zeros((-(-len(languages) // 64), 1 << TABLE_BITS), np.uint64)
     chance = np.zeros(len(languages))
@@ -98,8 +100,8 @@ def coverage(filter_: Filter, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def fit(docs: DataFrame, per_language: int = 400) -> Filter:
     """Learn n-gram sets from rows with a language that are not held out."""
-    labels = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    sample = labelled_sample(docs, labels, "lang", per_language)
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    sample = row_sample(known, "lang", per_language)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +113,12 @@ def fit(docs: DataFrame, per_language: int = 400) -> Filter:
                         found, counts = np.unique(keys[languages[lo:hi][of] == language], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([language] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
-    grams = sample.select("lang", F.col("text").cast("string")).mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n AS n, gram))), 1, {KEPT})").alias("kept"), F.sum("n").alias("all"))
     rows = best.select("lang", "kept.gram").collect()
-    counts = labels.groupBy("lang").count().orderBy(F.desc("count"), "lang").first()
-    return build({r["lang"]: np.array(r["gram"], np.int64).view(np.uint64) for r in rows}, counts[0] if rows else None)
+    sets = {r["lang"]: np.array(r["gram"], np.int64).view(np.uint64) for r in rows}
+    common = known.where(F.col("lang").isin(list(sets))).groupBy("lang").count().orderBy(F.desc("count"), "lang").first() if sets else None
+    return build(sets, common[0] if common else None)
 
 
 def predictions(docs: DataFrame, filter_: Filter) -> DataFrame:

@@ -10,8 +10,10 @@ most `per_class` labelled rows of each combination of categories. Terms are kept
 frequency tells the categories apart by more than chance; the weights carry an L2 penalty.
 
 Defined results: null and empty texts have no words and get the score of no evidence; rows are
-scored one by one, so ties and repeated rows get equal scores; a category with one label value only
-gets its share; an empty table gives no rows.
+scored one by one, so ties and repeated rows get equal scores; an id whose rows disagree on a label is
+not learned from, nor is a label without a document; a category with one label value only gets its
+share; an empty table gives no rows. Probabilities are those of the sample, in which rare
+combinations weigh more than in the corpus; the threshold is set for them.
 """
 
 from __future__ import annotations

@@ -115,3 +115,98 @@ def test_pipeline_stages_against_brute_force(spark, small):
         now = spark.createDataFrame(now.collect(), docs.schema)
         now_before = now
     assert corpus_pipeline.run(spark, small).count() == len(before)
+
+
+# --- samples and odd labels ----------------------------------------------------------------------
+
+
+def _label_tables(spark, docs, labels):
+    return (spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+PROSE = [(i, f"the river and the hill {i} are here", "en") for i in range(40)]
+ODD_LABELS = {
+    "no labels": (PROSE, [], 0.5),
+    "no documents": ([], [(i, i % 2, 0) for i in range(40)], None),
+    "labels that meet no document": (PROSE, [(i + 1000, i % 2, 0) for i in range(80)], 0.5),
+    "one class found": (PROSE, [(i, 1, 0) for i in range(40)] + [(i + 1000, 0, 1) for i in range(40)], 1.0),
+    "one class": (PROSE, [(i, 0, 0) for i in range(40)], 0.0),
+    "only disagreeing labels": (PROSE, [(i, q, q) for i in range(40) for q in (0, 1)], 0.5),
+    "null labels and ids": (PROSE, [(None, 1, 0), (3, None, None), (None, None, None)], 0.5),
+    "texts that are null or empty": ([(i, [None, ""][i % 2], "en") for i in range(40)], [(i, i % 3 == 0, 0) for i in range(40)], None),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD_LABELS))
+def test_odd_labels(spark, name):
+    from portolan.llm import byte_cnn, quality_rules, toxicity
+
+    docs, labels, score = ODD_LABELS[name]
+    frames = _label_tables(spark, docs, [(i, None if q is None else int(q), t) for i, q, t in labels])
+    got = byte_cnn.classify(*frames).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
+    if score is not None:
+        assert all(abs(r.score - score) < 1e-6 for r in got)
+    chained = toxicity.toxic_rows(*frames).collect()
+    assert len(chained) == len(docs) and all(0 <= r.p_toxic <= 1 for r in chained)
+    assert quality_rules.score_table(*frames).count() == len(docs)
+
+
+ODD_LANGUAGES = {
+    "commonest language without text": ([(i, [None, "", " 12 "][i % 3], "xx") for i in range(60)] + [(100 + i, "der Fluss und der Berg", "de") for i in range(9)], {"de"}),
+    "no language": ([(i, "the river", None) for i in range(9)], set()),
+    "no text at all": ([(i, None, "en") for i in range(9)], set()),
+    "one id under two languages": ([(1, t, lang) for t, lang in [("the river and the hill", "en"), ("der Fluss und der Berg", "de")] * 5], {"en", "de"}),
+    "ids that are null": ([(None, "the river and the hill", "en"), (None, "der Fluss und der Berg", "de")], {"en", "de"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD_LANGUAGES))
+def test_odd_languages(spark, name):
+    from portolan.llm import lang_bloom
+
+    docs, learned = ODD_LANGUAGES[name]
+    got = lang_bloom.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(docs) and {r.lang_pred for r in got} - {"und"} <= learned
+    if len(learned) == 2:
+        # Each text was learned under its own language, so it is told by it.
+        right = dict((text, lang) for _, text, lang in docs)
+        found = lang_bloom.predictions(spark.createDataFrame([(k, t) for k, t in enumerate(right)], "doc_id long, text string"), lang_bloom.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))).collect()
+        assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == list(right.values())
+
+
+def test_sample_is_that_of_the_smallest_hashes_whatever_the_layout(spark):
+    from pyspark.sql import functions as F
+
+    from portolan.llm import sampling
+
+    rows = spark.range(0, 20_000).select("id", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") % 10 < 9, "hot").alias("kind"))
+    for layout in (rows.repartition(7), rows.coalesce(1)):
+        got = sampling.smallest_hashes(layout, "kind", 300, ["id"])
+        best = rows.withColumn("h", F.conv(F.hex(F.xxhash64(F.lit(0), "id")), 16, 10).cast("decimal(20,0)")).collect()
+        want = set()
+        for kind in ("rare", "hot", None):
+            want |= {r.id for r in sorted((r for r in best if r.kind == kind), key=lambda r: r.h)[:300]}
+        assert {r.id for r in got.collect()} == want and len(want) == 900
+    assert sampling.smallest_hashes(rows.limit(0), "kind", 5, ["id"]).count() == 0
+
+
+def test_no_task_ranks_a_whole_class(spark):
+    """Rows that reach the ranking: the sample and the rest of one slot of the hash."""
+    from pyspark.sql import functions as F
+
+    from portolan.llm import sampling
+
+    rows = spark.range(0, 200_000).select("id", F.lit("hot").alias("kind"))
+    hashed = rows.withColumn("slot", F.shiftrightunsigned(F.xxhash64(F.lit(0), "id"), 64 - sampling.SLOT_BITS))
+    last = sampling.smallest_hashes(rows, "kind", 1500, ["id"]).join(hashed, "id").agg(F.max("slot")).first()[0]
+    assert hashed.where(F.col("slot") <= last).count() <= 1500 + 2 * 200_000 / (1 << sampling.SLOT_BITS)
+
+
+def test_labelled_sample_counts_an_id_once(spark):
+    from portolan.llm import sampling
+
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = sorted((r.doc_id, r.quality, r.text) for r in sampling.labelled_sample(docs, labels, "quality", 10).collect())
+    assert [(i, q) for i, q, _ in got] == [(1, 1), (2, 0)] and got[0][2] in ("a", "b") and got[1][2] is None
