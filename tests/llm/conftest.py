@@ -37,7 +37,52 @@ def texts():
     return _texts()
 
 
-def _write(spark, folder, docs, items, labels):
+def _talks():
+    """(conv_id, turn, role, text): shared beginnings, turns of one number, nulls, repeats, a hot text, a long one, no own turns."""
+    rng = random.Random(11)
+    rows = []
+    for c in [*range(40), 995, 996, 1003, -7, -5]:
+        for t in range(rng.choice([1, 2, 3, 4, 8, 12])):
+            rows.append((c, t, rng.choice(["user", "assistant"]), "hello" if t == 0 else f"turn {rng.randint(0, 2)} é"))
+    rows += [(6, None, "system", "first of all"), (6, 1, "user", "same number"), (7, 0, "user", "hello"), (7, 0, "user", "hello"), (8, 3, None, None), (9, 2, "a", "bc"), (12, 2, "ab", "c")]
+    rows += [(None, 0, "user", "nobody's"), (1001, 0, "user", "x" * 100_000)] + [(1002, t, "user", "again") for t in range(70)] + [(1004, t, "user", "again") for t in range(70)]
+    return rows + [(c, t, "user", f"common {t}") for c in range(2000, 2300, 5) for t in range(2)]
+
+
+def _vectors():
+    """(vec_id, embedding): repeats, nulls, entries that are null or not finite, other lengths, negative and large values."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1 + k) + (0.3 * k if i % 2 else 0) for k in range(20)]) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(30)] + [(None, rows[1][1]), (200, None), (201, [None] + rows[2][1][1:]), (202, [float("nan")] * 20)]
+    return rows + [(203, [float("inf")] + [0.0] * 19), (204, []), (205, [1.0, 2.0]), (206, [-0.001] * 20), (0, rows[3][1])]
+
+
+def _urls():
+    odd = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x?q=/en/#top", "http://example.com", "http://example.com?/en/", "http://example.com#/en/", "http://example.com/EN/", "http://ÉX.com/",
+           "http://a.www.example.com/en/", "http://notexample.com/en/1", "http://example.com/en/", "http://x.net/es/1", "http://net/fr/2", "http://xnet/fr/2", "http://a.b.net/de/3", "ftp://a://b/c", "http://com/", "http://a.org/" + "x" * 50_000, "http://o.org/a\nb?c"]
+    rows = list(enumerate(odd)) + [(50 + i, f"https://site{i % 7}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'es', 'fr', 'de')[i % 4]}/{i}") for i in range(120)]
+    return rows + [(3, rows[60][1]), (None, rows[61][1])]
+
+
+@pytest.fixture(scope="session")
+def talks():
+    return _talks()
+
+
+@pytest.fixture(scope="session")
+def vectors():
+    return _vectors()
+
+
+@pytest.fixture(scope="session")
+def urls():
+    return _urls()
+
+
+def _write(spark, folder, docs, items, labels, talks=(), vectors=(), urls=()):
+    spark.createDataFrame([(*r, "other", "other") for r in talks], "conv_id long, turn long, role string, text string, path string, depth string").coalesce(3).write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(*r, None, "other") for r in vectors], "vec_id long, embedding array<float>, label int, x string").coalesce(3).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(*r, None, "other", "other") for r in urls], "page_id long, url string, html string, host string, rule string").coalesce(3).write.parquet(f"{folder}/pages.parquet")
     rows = [(i, t, "de" if i in (12,) else None if i in (9, 5) else "en", f"s{(i or 0) % 3}" if i != 8 else None, len(t or ""), *["other"] * 6) for i, t in docs]
     spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -48,7 +93,7 @@ def _write(spark, folder, docs, items, labels):
 @pytest.fixture(scope="session")
 def edge(spark, texts, tmp_path_factory):
     labels = [(i, int(i not in (16, 17)), int(i == 12)) for i, _ in texts[0] if i is not None] + [(None, 1, 0), (8, None, None)]
-    return _write(spark, tmp_path_factory.mktemp("edge"), *texts, labels)
+    return _write(spark, tmp_path_factory.mktemp("edge"), *texts, labels, _talks(), _vectors(), _urls())
 
 
 @pytest.fixture(scope="session")

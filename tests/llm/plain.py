@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANK_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN_WORDS = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -110,3 +113,64 @@ def token_rows(texts, tokenizer):
         out.append((doc, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def trie(rows):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every prefix."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            own[conv].append(((turn is not None, turn or 0, tie), (role, text)))
+    own = {c: [t for _, t in sorted(turns)] for c, turns in own.items()}
+    members = collections.defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built = own.get(c - int(math.fmod(c, 5)), [])[:h] + turns[h:]
+        for d in range(len(built) + 1):
+            members[tuple(built[:d])].append((c, d == len(built)))
+    children, total = collections.Counter(p[:-1] for p in members if p), collections.defaultdict(lambda: [0, 0])
+    for p, convs in members.items():
+        for d in range(len(p) + 1):
+            total[p[:d]][0] += p not in children
+            total[p[:d]][1] += (len(convs) - 1) * len(p[-1][1].encode()) if p else 0
+    least = {p: min(c for c, _ in convs) for p, convs in members.items()}
+    return [(least[p], len(p), least[p[:-1]] if p else None, len(convs), children[p], *total[p],
+             hashlib.sha256(",".join(str(c) for c in sorted(c for c, end in convs if end)).encode()).hexdigest()) for p, convs in members.items()]
+
+
+def grid_vectors(rows, length):
+    """(vec_id, integer coordinates) of the usable vectors of one length."""
+    return [(i, [math.floor(64 * c) + 1_000_000 for c in v]) for i, v in rows if v is not None and len(v) == length and all(c is not None and math.isfinite(c) for c in v)]
+
+
+def host_and_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    found = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+    return found[1].translate(LOWER), found[2]
+
+
+def rule_of(host, path, rules):
+    """(rule, verdict) of the longest rule that fits."""
+    fits = [(len(h + p), len(h), h + p, verdict) for h, p, verdict in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[2:] if fits else (None, None)
+
+
+def url_slots(host, path, slots):
+    found = set()
+    for kind, text in (("host", host), ("path", path)):
+        marked = "^" + re.sub("[1-9]", "0", text) + "$"
+        for n in (3, 4):
+            for k in range(len(marked) - n + 1):
+                h = 42
+                for part in (kind, *marked[k:k + n]):
+                    h = xxhash.xxh64_intdigest(part.encode(), seed=h)
+                found.add(h % slots)
+    return found
+
+
+def url_score(host, path, weights):
+    at = url_slots(host, path, len(weights) - 1)
+    return 1 / (1 + math.exp(-(weights[-1] + (sum(weights[k] for k in at) / math.sqrt(len(at)) if at else 0))))
