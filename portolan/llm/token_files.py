@@ -9,8 +9,9 @@ of that bit) with a 32-bit fingerprint per number, which turns foreign keys away
 the table, so a task that runs again leaves one copy, on any storage that Spark can write.
 
 Texts are encoded by cutting them where the vocabulary's own pre-tokenizer always cuts (before a
-space, and around a line break, between two visible characters); equal pieces are encoded once
-and kept in a cache of bounded size.
+space, and around a line break, between two visible characters; after a letter, before a stop);
+equal pieces are encoded once and kept in a cache of bounded size. A vocabulary with another
+pre-tokenizer, a normalizer, or an added token that these cuts could divide gets whole texts.
 
 Defined results: a null or empty text has the end id alone; rows without an id come first and are
 read in order, since they have no key; repeated ids are stored side by side and found together;
@@ -19,6 +20,7 @@ an empty table gives an empty file.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -46,6 +48,14 @@ SHARD_SCHEMA = ("part int, seq int, docs long, tokens long, width int, nulls lon
 PLACE_SCHEMA = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
 
 
+#: Kinds of bytes: visible ASCII; ASCII letters; stops that end a run of letters.
+VISIBLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
+LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+STOP = np.array([chr(b) in ".,;:!?)" for b in range(256)])
+#: The second byte of a Latin-1 letter, whose first byte is 0xC3.
+LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+
+
 class PieceEncoder:
     """Ids of texts by way of distinct pieces, the same as encoding each text whole."""
 
@@ -54,16 +64,21 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        described = json.loads(vocabulary)
+        before = described.get("pre_tokenizer") or {}
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        added = "".join(t["content"] for t in described.get("added_tokens") or [])
+        self.cuts = (described.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+                     and len(self.break_id) == 1 and not any(c.isspace() or ord(c) < 256 and STOP[ord(c)] for c in added))
         self.number: dict[bytes, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.uses, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _remember(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
         self.number.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int32)])
         self.ids = np.concatenate([self.ids, ids])
 
     def _forget(self) -> None:
@@ -74,67 +89,100 @@ class PieceEncoder:
         kept[np.argsort(-self.uses, kind="stable")[:CACHE_PIECES // 2]] = True
         kept &= self.uses > 1
         names = [name for name, keep in zip(self.number, kept.tolist()) if keep]
-        sizes, starts = self.size[kept], self.start[kept]
+        sizes, starts = self.size[kept].astype(np.int64), self.start[kept]
         ids = self.ids[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
         self.number = {}
-        self.start = self.size = self.uses = np.zeros(0, np.int64)
+        self.start, self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
         self._remember(names, sizes, ids)
 
-    def _encode_new(self, pieces: list[bytes]) -> None:
-        """Encode pieces not seen before; plain ones are joined by line breaks and cut apart again by the break's id."""
-        plain, odd = [], []
-        for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            bare = text[1:] if text[0] == " " else text
-            (plain if len(self.break_id) == 1 and bare and bare.strip() == bare and "\n" not in bare else odd).append((piece, text))
-        for lo in range(0, len(plain), JOINED_PIECES):
-            group = plain[lo:lo + JOINED_PIECES]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([t for _, t in group])], add_special_tokens=False)[0].ids, np.uint32)
-            breaks = ids == self.break_id[0]
-            edges = np.concatenate([[-1], np.flatnonzero(breaks), [len(ids)]])
+    def _encode_odd(self, pieces: list[bytes]) -> None:
+        found = [f.ids for f in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        self._remember(pieces, np.array([len(f) for f in found], np.int64), np.array([i for f in found for i in f], np.uint32))
+
+    def _encode_new(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode pieces not seen before, and return their numbers.
+
+        Pieces that begin (after one space) and end with a visible character and hold no line break are
+        joined by line breaks, encoded in one call and cut apart again by the break's id.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        begin += (data[begin] == 0x20) & (sizes > 1)
+        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+        head, tail, second = data[begin], data[end - 1], data[np.maximum(end - 2, 0)]
+        plain = (VISIBLE[head] | (head == 0xC3)) & (VISIBLE[tail] | LATIN[tail] & (second == 0xC3)) & (breaks[end] == breaks[begin])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = len(self.size) + np.arange(len(pieces))
+        joined = [pieces[k] for k in order.tolist()]
+        count = int(plain.sum())
+        for lo in range(0, count, JOINED_PIECES):
+            group = joined[lo:min(lo + JOINED_PIECES, count)]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(group).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            inner = ids != self.break_id[0]
+            edges = np.concatenate([[-1], np.flatnonzero(~inner), [len(ids)]])
             assert len(edges) == len(group) + 1
-            self._remember([p for p, _ in group], np.diff(edges) - 1, ids[~breaks])
-        if odd:
-            found = [f.ids for f in self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)]
-            self._remember([p for p, _ in odd], np.array([len(f) for f in found]), np.array([i for f in found for i in f], np.uint32))
+            self._remember(group, np.diff(edges) - 1, ids[inner])
+        if count < len(joined):
+            self._encode_odd(joined[count:])
+        return numbers
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First bytes of pieces, with the end of the data last."""
+        size = len(data)
+        cut = np.zeros(size + 1, bool)
+        cut[offsets] = True
+        if self.cuts and size > 2:
+            def before(at: np.ndarray) -> np.ndarray:
+                return VISIBLE[data[at - 1]] | (data[at - 2] == 0xC3) & (data[at - 1] >= 0x80) & (at > 1)
+
+            def after(at: np.ndarray) -> np.ndarray:
+                return VISIBLE[data[at + 1]] | (data[at + 1] == 0xC3)
+
+            at = np.flatnonzero(data[1:-1] == 0x20) + 1
+            cut[at[before(at) & after(at)]] = True
+            at = np.flatnonzero(data[1:-1] == 0x0A) + 1
+            at = at[before(at) & after(at)]
+            cut[at] = True
+            cut[at + 1] = True
+            at = np.flatnonzero(STOP[data[1:]]) + 1
+            cut[at[LETTER[data[at - 1]] | (data[at - 2] == 0xC3) & LATIN[data[at - 1]] & (at > 1)]] = True
+        cut[size] = True
+        return np.flatnonzero(cut)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents with their end ids, first id of each document with the total last)."""
         docs, size = len(offsets) - 1, len(data)
-        cut = np.zeros(size + 1, bool)
-        if size:
-            seen = (data >= 0x21) & (data <= 0x7E)
-            before, after = np.zeros(size, bool), np.zeros(size, bool)
-            before[1:] = seen[:-1]
-            before[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)
-            after[:-1] = seen[1:] | (data[1:] == 0xC3)
-            between = before & after
-            cut[:-1] = (data == 0x20) & between
-            breaks = np.flatnonzero((data == 0x0A) & between)
-            cut[breaks] = True
-            cut[breaks + 1] = True
-        cut[offsets] = True
-        cut[size] = True
-        edges = np.flatnonzero(cut)
-        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pc.dictionary_encode(pieces) if len(edges) > 1 else pa.array([], pa.binary()).dictionary_encode()
+        if not size:
+            return np.full(docs, END_ID, np.uint32), np.arange(docs + 1)
+        edges = self._cuts(data, offsets)
+        wide = size >= 1 << 31
+        pieces = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64 if wide else np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pc.dictionary_encode(pieces)
         names = coded.dictionary.to_pylist()
-        missing = [name for name, at in zip(names, map(self.number.get, names)) if at is None]
-        if missing:
-            self._encode_new(missing)
-        slots = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        get = self.number.get
+        slots = np.fromiter((get(name, -1) for name in names), np.int64, len(names))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            slots[missing] = self._encode_new([names[k] for k in missing.tolist()])
         which = slots[np.asarray(coded.indices)]
         self.uses[slots] += 1
         lengths = self.size[which]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.start[which] - sums[:-1], lengths) + np.arange(sums[-1])] if len(which) else np.zeros(0, np.uint32)
+        sums = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        at = np.repeat(self.start[which] - sums[:-1], lengths)
+        at += np.arange(sums[-1])
+        ids = self.ids[at]
         self._forget()
-        first = sums[np.searchsorted(edges, offsets)] if size else np.zeros(docs + 1, np.int64)
-        counts = np.diff(first)
-        out = np.full(len(ids) + docs, END_ID, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(docs), counts)] = ids
-        return out, first + np.arange(docs + 1)
+        first = sums[np.searchsorted(edges, offsets)] + np.arange(docs + 1)
+        out = np.empty(len(ids) + docs, np.uint32)
+        text = np.ones(len(out), bool)
+        text[first[1:] - 1] = False
+        out[text] = ids
+        out[~text] = END_ID
+        return out, first
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -150,16 +198,23 @@ def encoder(vocabulary: str) -> PieceEncoder:
 
 
 def build_index(keys: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The index of one shard: keys (sorted, repeats allowed) of its last records, and the first id of each record with the total last."""
+    """The index of one shard: keys (sorted, repeats allowed) of its last records, and the first id of each record with the total last.
+
+    Each level is stored as 64-bit words and the number of keys before each word, so a look-up tests
+    one bit and counts within one word.
+    """
     unique, record, count = np.unique(keys, return_index=True, return_counts=True)
     record = record + len(offsets) - 1 - len(keys)
     hashed = mix(unique.astype(np.int64).view(np.uint64) + np.uint64(1))
-    left, levels, numbers, base = np.arange(len(unique)), [], np.zeros(len(unique), np.int64), 0
+    left, words, before, sizes, numbers, base = np.arange(len(unique)), [], [], [], np.zeros(len(unique), np.int64), 0
     while len(left):
         size = max(64, -(-len(left) * 3 // 128) * 64)
-        at = (mix(hashed[left] ^ np.uint64(len(levels))) % np.uint64(size)).astype(np.int64)
+        at = (mix(hashed[left] ^ np.uint64(len(sizes))) % np.uint64(size)).astype(np.int64)
         alone = np.bincount(at, minlength=size) == 1
-        levels.append(np.packbits(alone, bitorder="little"))
+        level = np.packbits(alone, bitorder="little").view("<u8")
+        words.append(level)
+        before.append(base + np.cumsum(np.bitwise_count(level), dtype=np.uint32) - np.bitwise_count(level))
+        sizes.append(len(level))
         own = alone[at]
         ranks = np.cumsum(alone) - 1
         numbers[left[own]] = base + ranks[at[own]]
@@ -167,35 +222,39 @@ def build_index(keys: np.ndarray, offsets: np.ndarray) -> bytes:
         left = left[~own]
     place = np.empty((len(unique), 3), np.uint32)
     place[numbers] = np.stack([(hashed >> np.uint64(32)).astype(np.uint32), record.astype(np.uint32), count.astype(np.uint32)], axis=1)
-    head = np.array([len(unique), len(offsets) - 1, len(levels), *[len(x) for x in levels]], np.int64)
-    return b"".join([head.tobytes(), *[x.tobytes() for x in levels], place.tobytes(), np.asarray(offsets, np.int64).tobytes()])
+    head = np.array([len(unique), len(offsets) - 1, len(sizes), *sizes], "<i8")
+    return b"".join([head.tobytes(), np.asarray(offsets, "<i8").tobytes(), *[w.tobytes() for w in words], *[x.astype("<u4").tobytes() for x in before], place.tobytes()])
 
 
 class Index:
-    """Reads an index: which records a key has and where their ids lie."""
+    """Reads an index in place: which records a key has and where their ids lie."""
 
     def __init__(self, data: bytes):
-        n, records, levels = np.frombuffer(data, np.int64, 3).tolist()
-        sizes = np.frombuffer(data, np.int64, levels, 24).tolist()
+        n, records, levels = np.frombuffer(data, "<i8", 3).tolist()
+        sizes = np.frombuffer(data, "<i8", levels, 24).tolist()
         at = 24 + 8 * levels
-        self.levels = []
-        base = 0
+        self.offsets = np.frombuffer(data, "<i8", records + 1, at)
+        at += 8 * (records + 1)
+        self.words = []
+        for size in sizes:
+            self.words.append(np.frombuffer(data, "<u8", size, at))
+            at += 8 * size
+        self.before = []
         for size in sizes:
-            bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little").view(bool)
-            self.levels.append((bits, base + np.cumsum(bits) - 1))
-            base += int(bits.sum())
-            at += size
+            self.before.append(np.frombuffer(data, "<u4", size, at))
+            at += 4 * size
         self.place = np.frombuffer(data, np.uint32, 3 * n, at).reshape(n, 3)
-        self.offsets = np.frombuffer(data, np.int64, records + 1, at + 12 * n)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first record, number of records) of each key; no records for a key that is not here."""
         hashed = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(1))
         number, left = np.full(len(keys), -1), np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(self.levels):
-            at = (mix(hashed[left] ^ np.uint64(level)) % np.uint64(len(bits))).astype(np.int64)
-            own = bits[at]
-            number[left[own]] = ranks[at[own]]
+        for level, (words, before) in enumerate(zip(self.words, self.before)):
+            at = mix(hashed[left] ^ np.uint64(level)) % np.uint64(64 * len(words))
+            word, bit = words[at >> np.uint64(6)], np.uint64(1) << (at & np.uint64(63))
+            own = (word & bit) != 0
+            rank = before[at >> np.uint64(6)] + np.bitwise_count(word & (bit - np.uint64(1)))
+            number[left[own]] = rank[own]
             left = left[~own]
         ok = number >= 0
         ok[ok] = self.place[number[ok], 0] == (hashed[ok] >> np.uint64(32)).astype(np.uint32)

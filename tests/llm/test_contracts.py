@@ -129,6 +129,47 @@ def test_token_files(spark, edge, texts, tmp_path):
     assert all(r.ids == [*whole.encode(text[r.doc_id], add_special_tokens=False).ids, 2] for r in found)
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """Random strings of what the cuts look at: stops, Latin-1 letters and signs, blanks of all kinds, the special token."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "a", "word", "Straße", "é", "à", "×", "÷", "ÿ", "日本", "д", "1", "23", ".", ",", ";", ":", "!", "?", ")", "(", "'", "'s", "n't", "<|endoftext|>", "|>", "_", "\x00", "\x85", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(8000)]
+    with open(token_files.default_vocabulary(), encoding="utf-8") as file:
+        coder = token_files.PieceEncoder(file.read())
+    whole = Tokenizer.from_file(token_files.default_vocabulary())
+    data = [t.encode() for t in texts]
+    for lo in range(0, len(texts), 1000):
+        part = data[lo:lo + 1000]
+        ids, first = coder.encode(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in part])]))
+        for k in range(len(part)):
+            assert ids[first[k]:first[k + 1]].tolist() == [*whole.encode(texts[lo + k], add_special_tokens=False).ids, token_files.END_ID], texts[lo + k]
+    assert coder.cuts
+
+
+def test_other_pre_tokenizers_get_whole_texts():
+    import json
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    with open(token_files.default_vocabulary(), encoding="utf-8") as file:
+        described = json.load(file)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+                   {"added_tokens": [{**described["added_tokens"][0], "content": "a. b"}]}):
+        vocabulary = json.dumps({**described, **change})
+        coder, whole = token_files.PieceEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+        texts = ["One a. b two, three.\nfour", "", "x"]
+        data = [t.encode() for t in texts]
+        ids, first = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+        assert not coder.cuts
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+
+
 def test_perfect_hash_turns_foreign_keys_away():
     import numpy as np
 
