@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from portolan.functions.text import occurrences
 # Constant of the reciprocal-rank sum.
 RANK_CONSTANT = 60
 
-# Query vectors sent to the tasks at a time; larger sets go block by block.
-QUERY_BLOCK = 4096
+# Vectors and queries of one tile, and how many of them meet in one product.
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 14
+ROW_STEP, TILE_STEP = 1 << 13, 1 << 9
 
 # The same set of blanks for Python and for Spark: ASCII blanks and separators, and Unicode spaces.
 SPLIT = "\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,20 +51,6 @@ def keyword_search_many(docs: DataFrame, queries: DataFrame, k: int = 5, key: st
     return _best(_keyword_join(docs, queries, key, text, query_key, query), query_key, F.desc("score"), key, k)
 
 
-def _keep_best(best, cost: np.ndarray, ids: np.ndarray, k: int):
-    """The k cheapest rows per column of the rows kept so far and a new block of them."""
-    ids = np.repeat(ids[:, None], cost.shape[1], 1)
-    if best is not None:
-        cost, ids = np.vstack([best[0], cost]), np.vstack([best[1], ids])
-    order = np.lexsort((ids, cost), axis=0)[:k]
-    return np.take_along_axis(cost, order, 0), np.take_along_axis(ids, order, 0)
-
-
-def _best_rows(best, names: list, query_key: str, key: str) -> pd.DataFrame:
-    cost, ids = best
-    return pd.DataFrame({query_key: np.repeat(np.array(names), len(cost)), key: ids.T.reshape(-1), "custo": cost.T.reshape(-1)})
-
-
 def _keyword_join(docs, queries, key, text, query_key, query) -> DataFrame:
     """Scores of all matching pairs, by equality joins alone.
 
@@ -128,73 +116,112 @@ def vector_search(vectors: DataFrame, query: Column, k: int = 5, metric: str = "
     return hits.withColumn("similarity", similarity("score"))
 
 
-def _near_distances(rows: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
-    """Squared distances of the k nearest rows of each query by difference; infinite for the rest.
+def usable_vector(vector: Column) -> Column:
+    """Whether a vector is there and holds nothing null."""
+    return F.coalesce(~F.exists(vector, lambda x: x.isNull()), F.lit(False)) & (F.size(vector) > 0)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+
+def _costs(rows: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cost) of every pair that may be among the k cheapest of its query.
 
-    A product of matrices finds them: its rounding error is bounded by the sizes of the vectors, and
-    all rows within twice that bound of the k-th are measured again.
+    A product of matrices finds them. For distances its rounding error is bounded by the sizes of the
+    vectors; all pairs within twice that bound of the k-th are measured again by difference.
     """
-    sizes, wanted = (rows**2).sum(1), (queries**2).sum(1)
-    rough = sizes[:, None] + wanted[None, :] - 2 * (rows @ queries.T)
-    error = 8 * rows.shape[1] * np.finfo(float).eps * (sizes.max() + wanted)
-    edge = np.partition(rough, min(k, len(rows)) - 1, axis=0)[min(k, len(rows)) - 1] + 2 * error
-    i, j = np.nonzero(rough <= edge)
-    out = np.full(rough.shape, np.inf)
-    out[i, j] = ((rows[i] - queries[j]) ** 2).sum(1)
-    return out
-
-
-def _block_hits(vectors: DataFrame, ids: list, matrix: np.ndarray, query_type: str, k: int, metric: str, key: str, vector: str,
-                query_key: str) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-    key_type = vectors.schema[key].dataType.simpleString()
-
-    def top_of_partition(frames):
-        names, queries = sent.value
-        best = None
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            rows = np.vstack(pdf[vector].to_numpy()).astype("float64")
-            if metric == "inner":
-                cost = -(rows @ queries.T)
-            else:
-                cost = _near_distances(rows, queries, k)
-            best = _keep_best(best, cost, pdf[key].to_numpy(), k)
-        if best is not None:
-            found = _best_rows(best, names, query_key, key)
-            yield found[np.isfinite(found["custo"])]
-
-    return vectors.select(key, vector).mapInPandas(
-        top_of_partition, f"{query_key} {query_type}, {key} {key_type}, custo double")
+    product = rows @ queries.T
+    if metric == "inner":
+        rough, slack = -product, 0.0
+    else:
+        sizes, wanted = (rows**2).sum(1), (queries**2).sum(1)
+        rough = sizes[:, None] + wanted[None, :] - 2 * product
+        slack = 16 * rows.shape[1] * np.finfo(float).eps * (sizes.max() + wanted)
+    last = min(k, len(rows)) - 1
+    i, j = np.nonzero(rough <= np.partition(rough, last, axis=0)[last] + slack)
+    return i, j, rough[i, j] if metric == "inner" else ((rows[i] - queries[j]) ** 2).sum(1)
+
+
+def _cheapest(row: np.ndarray, query: np.ndarray, cost: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k cheapest entries of each query; equal costs go by the rank of the row's key."""
+    order = np.lexsort((rank[row], cost, query))
+    ordered = query[order]
+    first = np.searchsorted(ordered, ordered)
+    return order[np.arange(len(order)) - first < k]
+
+
+def _tile_hits(k: int, metric: str, names: tuple[str, str]):
+    """Best hits inside one tile: a bounded number of vectors against a bounded number of queries."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(vectors) or not len(queries):
+            return pa.table({names[0]: queries["nome"].slice(0, 0), names[1]: vectors["chave"].slice(0, 0), "custo": pa.array([], pa.float64())})
+        rows, wanted = _matrix(vectors["vetor"]), _matrix(queries["vetor"])
+        rank = np.empty(len(rows), "int64")
+        rank[pc.sort_indices(vectors["chave"], null_placement="at_start").to_numpy()] = np.arange(len(rows))
+        found = []
+        for q in range(0, len(wanted), TILE_STEP):
+            best = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+            for r in range(0, len(rows), ROW_STEP):
+                i, j, cost = _costs(rows[r:r + ROW_STEP], wanted[q:q + TILE_STEP], k, metric)
+                best = tuple(np.concatenate([x, y]) for x, y in zip(best, (i + r, j, cost)))
+                kept = _cheapest(*best, rank, k)
+                best = tuple(x[kept] for x in best)
+            found.append((best[0], best[1] + q, best[2]))
+        row, query, cost = (np.concatenate(x) for x in zip(*found))
+        return pa.table({names[0]: queries["nome"].take(pa.array(query)), names[1]: vectors["chave"].take(pa.array(row)), "custo": cost})
+
+    return run
+
+
+def _dealt(rows: DataFrame, group: Sequence[str], size: int, number: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of a part of their group, parts of `size` rows or so; and how many parts each group has.
+
+    Rows are dealt out in turn as they lie, so a group of any size, or equal rows, fill parts alike.
+    """
+    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+    sizes = counts.select(*[F.col(g).alias(f"_{g}") for g in group], "n")
+    met = rows.join(sizes, reduce(lambda a, b: a & b, [F.col(g) == F.col(f"_{g}") for g in group]))
+    return met.withColumn(number, F.pmod(F.monotonically_increasing_id(), F.col("n")).cast("int")).select(*rows.columns, number), counts
 
 
-def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", key: str = "vec_id",
-                       vector: str = "embedding", query_key: str = "query_id", query: str = "query",
-                       block: int = QUERY_BLOCK) -> DataFrame:
-    """Top vectors for every query vector.
+def tile_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, key: str, query_key: str) -> DataFrame:
+    """Best k per query, of vectors (celula, chave, vetor) and queries (celula, nome, vetor) of one cell.
 
-    Tasks multiply their vectors with a block of queries and send on only k rows per
-    query. The block is bounded; a larger query set runs as several blocks.
+    Vectors and queries of a cell are dealt into parts of bounded size. A tile is one part of each; the
+    tasks hold one tile and send on k rows per query. Vectors travel once per part of queries, queries
+    once per part of vectors; nothing passes through the driver.
     """
-    kind = queries.schema[query_key].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // block))
-    bucket = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-    hits = None
-    for number in range(blocks):
-        rows = queries.where(bucket == number).select(query_key, query).orderBy(query_key).collect()
-        if not rows:
-            continue
-        matrix = np.array([r[query] for r in rows], dtype="float64")
-        part = _block_hits(vectors, [r[query_key] for r in rows], matrix, kind, k, metric, key, vector, query_key)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = vectors.sparkSession.createDataFrame([], f"{query_key} {kind}, {key} {vectors.schema[key].dataType.simpleString()}, custo double")
+    group = ["celula", "tamanho"]
+    vectors, queries = (f.where(usable_vector(F.col("vetor"))).withColumn("tamanho", F.size("vetor")) for f in (vectors, queries))
+    kinds = {"q": queries.schema["nome"].dataType.simpleString(), "v": vectors.schema["chave"].dataType.simpleString()}
+    vectors, vector_parts = _dealt(vectors, group, VECTOR_BLOCK, "parte")
+    queries, query_parts = _dealt(queries, group, QUERY_BLOCK, "bloco")
+    # Each side is repeated for the parts of the other; a side whose cell the other lacks goes.
+    rows = vectors.join(query_parts, group).withColumn("bloco", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*group, "parte", "bloco", "chave", "vetor")
+    wanted = queries.join(vector_parts, group).withColumn("parte", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*group, "parte", "bloco", "nome", "vetor")
+    tile = [*group, "parte", "bloco"]
+    hits = rows.groupBy(*tile).cogroup(wanted.groupBy(*tile)).applyInArrow(
+        _tile_hits(k, metric, (query_key, key)), f"{query_key} {kinds['q']}, {key} {kinds['v']}, custo double")
     best = _best(hits, query_key, F.asc("custo"), key, k)
     if metric == "inner":
         return best.select(query_key, key, (-F.col("custo")).alias("score"), "posicao")
-    distance = F.greatest(F.col("custo"), F.lit(0.0))
-    return best.select(query_key, key, distance.alias("score"), similarity(distance).alias("similarity"), "posicao")
+    return best.select(query_key, key, F.col("custo").alias("score"), similarity("custo").alias("similarity"), "posicao")
+
+
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", key: str = "vec_id",
+                       vector: str = "embedding", query_key: str = "query_id", query: str = "query") -> DataFrame:
+    """Top vectors for every query vector, exact.
+
+    Vectors that are null or hold a null are no hits and ask for none; vectors of another length than
+    the query's are no hits. Equal scores go by the key, a null key first.
+    """
+    whole = F.lit(0).alias("celula")
+    return tile_search(vectors.select(whole, F.col(key).alias("chave"), F.col(vector).alias("vetor")),
+                       queries.select(whole, F.col(query_key).alias("nome"), F.col(query).alias("vetor")), k, metric, key, query_key)
 
 
 def fuse_rankings(rankings: Sequence[DataFrame], k: int = 5, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:

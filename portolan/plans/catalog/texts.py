@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portolan.operators import documents, numbering, search
+from portolan.operators import cells, documents, numbering, search
 from portolan.plans.movements import movements, table
 from portolan.plans.registry import query
+from portolan.session import work_folder
 
 QUERY = "the thon and than"
 
@@ -163,6 +164,39 @@ def l2_many(spark, d):
     return hits.select("query_id", "vec_id", F.bround("score", 6).alias("score"), F.bround("similarity", 6).alias("similarity"), "posicao")
 
 
+CELLS, PROBES = 32, 20
+# The nearest cells of vectors and of queries; every vector is filed, the queries are those whose id 50 divides.
+FILED = f"""ce AS (SELECT CAST(row_number() OVER (ORDER BY md5(vec_id::VARCHAR), embedding) - 1 AS INTEGER) AS celula, CAST(embedding AS DOUBLE[]) AS c FROM embeddings QUALIFY celula < {CELLS}),
+nr AS (SELECT vec_id, embedding, celula, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(CAST(embedding AS DOUBLE[]), c), celula) AS perto FROM embeddings, ce),
+fi AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, celula FROM nr WHERE perto = 1),
+ak AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, celula FROM nr WHERE perto <= {PROBES} AND vec_id % 50 = 0),
+ap AS (SELECT query_id, vec_id, pow(list_distance(e, v), 2) AS s FROM ak JOIN fi USING (celula)),
+ah AS (SELECT query_id, vec_id, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) AS INTEGER) AS posicao FROM ap QUALIFY posicao <= 5)"""
+
+
+def _cell_hits(spark, d, rounds=0):
+    """Hits by cells, and the exact ones, of the same queries."""
+    vectors = table(spark, d, "embeddings")
+    centres = cells.fit(vectors, CELLS, rounds)
+    folder = work_folder(spark, "x8")
+    cells.build_index(vectors, centres, folder)
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return cells.search(spark.read.parquet(folder), centres, queries, PROBES), search.vector_search_many(vectors, queries)
+
+
+@query("x8_cells", f"WITH {FILED} SELECT query_id, vec_id, round_even(s, 6) AS score, posicao FROM ah")
+def cell_search(spark, d):
+    return _cell_hits(spark, d)[0].select("query_id", "vec_id", F.bround("score", 6).alias("score"), "posicao")
+
+
+@query("x8_cells_recall", f"""
+WITH {FILED}, eq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+ex AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_distance(CAST(embedding AS DOUBLE[]), v), vec_id) AS INTEGER) AS posicao FROM embeddings, eq QUALIFY posicao <= 5)
+SELECT count(ah.vec_id) AS acertos, count(*) AS total, count(ah.vec_id)::DOUBLE / count(*) AS recall FROM ex LEFT JOIN ah USING (query_id, vec_id)""")
+def cell_recall(spark, d):
+    return cells.recall(*_cell_hits(spark, d))
+
+
 @query("x7_label_centroids", """
 WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
 c AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL), q AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM c GROUP BY label),

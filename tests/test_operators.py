@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portolan.operators import (
-    aggregates, budget, cleaning, conversations, documents, filters, forecast, numbering, profile, questions, ranking,
+    aggregates, budget, cells, cleaning, conversations, documents, filters, forecast, numbering, profile, questions, ranking,
     ratelimit, schema, search, segments, series, tracking,
 )
 from portolan.sources import logs
@@ -183,14 +183,70 @@ def test_keyword_search_ways_agree(spark):
     assert {(r[0], r[1], r[2]) for r in joined.collect()} == want
 
 
-def test_vector_search_in_blocks(spark):
-    rng = np.random.default_rng(0)
-    base, asked = rng.normal(size=(80, 6)), rng.normal(size=(9, 6))
+def _vectors(spark, seed=0, rows=80, asked=9):
+    rng = np.random.default_rng(seed)
+    base, wanted = rng.normal(size=(rows, 6)), rng.normal(size=(asked, 6))
+    base[5] = base[3]  # equal distances go by the id
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(base)], "vec_id int, embedding array<double>")
-    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id int, query array<double>")
-    got = search.vector_search_many(v, q, 3, block=4)
-    dist = ((base[None] - asked[:, None]) ** 2).sum(-1)
-    assert {(r["query_id"], r["vec_id"]) for r in got.collect()} == {(i, j) for i in range(9) for j in np.argsort(dist[i])[:3]}
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(wanted)], "query_id int, query array<double>")
+    return base, wanted, v, q
+
+
+@pytest.mark.parametrize(("block", "asked"), [(1 << 17, 1 << 14), (7, 2), (1, 1)])
+@pytest.mark.parametrize("metric", ["l2", "inner"])
+def test_vector_search_in_tiles(spark, monkeypatch, block, asked, metric):
+    monkeypatch.setattr(search, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(search, "QUERY_BLOCK", asked)
+    base, wanted, v, q = _vectors(spark)
+    got = search.vector_search_many(v.repartition(3), q, 3, metric).collect()
+    cost = ((base[None] - wanted[:, None]) ** 2).sum(-1) if metric == "l2" else -(wanted @ base.T)
+    assert sorted((r["query_id"], r["vec_id"], r["posicao"]) for r in got) == sorted(
+        (i, int(j), p + 1) for i in range(9) for p, j in enumerate(np.lexsort((np.arange(80), cost[i]))[:3]))
+    assert all(abs(r["score"] - (cost if metric == "l2" else -cost)[r["query_id"], r["vec_id"]]) < 1e-9 for r in got)
+
+
+def test_vector_search_over_odd_vectors(spark):
+    """Nulls, nulls inside, empty vectors and other lengths are no hits and ask for none; a null key comes first among equals."""
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, []), (5, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (6, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [None, 1.0]), ("d", []), ("e", [1.0]), ("f", [0.0, 0.0, 1.0])], "query_id string, query array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"], r["posicao"]) for r in search.vector_search_many(v, q, 2).orderBy("query_id", "posicao").collect()]
+    assert got == [("a", None, 0.0, 1), ("a", 1, 0.0, 2), ("f", 5, 2.0, 1)]
+    assert search.vector_search_many(v.limit(0), q).count() == 0 and search.vector_search_many(v, q.limit(0)).count() == 0
+
+
+def test_vector_search_stays_off_the_driver(spark):
+    _, _, v, q = _vectors(spark)
+    plan = search.vector_search_many(v, q)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("rounds", [0, 5])
+def test_cells_find_most_of_the_nearest(spark, tmp_path, rounds):
+    """Queries are every 50th vector; recall at the registered numbers of cells and probes, and 1 with all cells looked into."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = search.vector_search_many(vectors, queries).cache()
+    centres = cells.fit(vectors, 32, rounds)
+    cells.build_index(vectors, centres, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() == vectors.count()
+    assert cells.recall(cells.search(index, centres, queries, 20), exact).first()["recall"] >= 0.9
+    every = cells.search(index, centres, queries, 32).select(*exact.columns)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_cells_of_odd_vectors(spark, monkeypatch):
+    """One hot vector fills a cell many times over; odd vectors are left out; no vectors give no cells."""
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 8)
+    rows = [(i, [1.0, 1.0]) for i in range(60)] + [(100 + i, [float(i), -1.0]) for i in range(10)] + [(200, None), (201, [1.0]), (202, [None, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    q = v.where("vec_id IN (0, 103, 200)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centres = cells.fit(v, 4, 2)
+    index = cells.assign(v, centres)
+    assert centres.shape == (4, 2) and index.count() == 70
+    got = [(r["query_id"], r["vec_id"]) for r in cells.search(index, centres, q, 4, k=3).orderBy("query_id", "posicao").collect()]
+    assert got[:3] == [(0, 0), (0, 1), (0, 2)] and got[3] == (103, 103) and len(got) == 6
+    assert cells.fit(v.limit(0), 4).shape == (0, 0)
 
 
 def test_entity_match(spark):
