@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.functions.numbers import percent_change
 from portolan.functions.text import any_of, fold_accents, normalize_text
 from portolan.operators import aggregates as agg
 from portolan.operators import ranking, series
@@ -27,6 +28,11 @@ MONTHS = {
     "jul": 7, "ago": 8, "set": 9, "out": 10, "nov": 11, "dez": 12,
 }
 
+# What a question can filter by, and what an answer is broken down by.
+FILTERED = ("cliente", "porto", "categoria", "ano", "mes")
+DETAILS = {"ranking": "nome", "tendencia": "periodo", "comparacao": "tipo"}
+CUBE = (*FILTERED, *DETAILS.values())
+
 YEAR = r"\b(20[0-9]{2})\b"
 
 
@@ -184,3 +190,127 @@ def answer_totals(filters: DataFrame, rows: DataFrame, key: str, quantity: str =
         answers.append(met.select(key, "tipo_analise", "parte", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total")))
     empty = asked.where(F.lit(False)).select(key, "tipo_analise", "parte", F.lit(0.0).alias("total"))
     return reduce(DataFrame.unionByName, answers, empty)
+
+
+def _grouping(detail: str | None = None) -> Column:
+    """The grouping id of the cube rows that answer a question: a bit per column that it leaves open."""
+    bits = F.lit(0)
+    for place, name in enumerate(reversed(CUBE)):
+        left_open = F.lit(name != detail) if name in DETAILS.values() else F.col(name).isNull()
+        bits = bits + F.when(left_open, 1 << place).otherwise(0)
+    return bits.cast("long")
+
+
+def _cube(sums: DataFrame, sets: set[tuple[str, ...]]) -> DataFrame:
+    """Sums by every grouping set that is asked for. A movement counts under both its ports, so sets with a port are taken apart."""
+    cubes = []
+    for by_port in (False, True):
+        mine = sorted(s for s in sets if ("porto" in s) == by_port)
+        if mine:
+            held = sums.withColumn("porto", F.explode("portos") if by_port else F.lit(None).cast("string"))
+            cubes.append(held.groupingSets([[F.col(c) for c in s] for s in mine], *CUBE).agg(F.grouping_id(*CUBE).cast("long").alias("grupo"), F.sum("q").alias("total")))
+    return reduce(DataFrame.unionByName, cubes)
+
+
+def _by_cell(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join rows with a group and its filters; a filter left open meets one left open."""
+    there = right.select(*[F.col(c).alias(f"_{c}") if c in ("grupo", *FILTERED) else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FILTERED], F.col("grupo") == F.col("_grupo"))
+    met = left.join(there, same, how)
+    return met if how == "left_semi" else met.drop("_grupo", *[f"_{c}" for c in FILTERED])
+
+
+def answers(filters: DataFrame, rows: DataFrame, key: str, field: str = "armador", n: int = 5, quantity: str = "qtd_container") -> DataFrame:
+    """Every question of a table answered by its intent: (key, tipo_analise, posicao, chave, anterior, total, variacao, percentual, media, rotulo).
+
+    * total: one row, ``total``; 0 where nothing fits.
+    * comparacao: the first (``anterior``) and the last month (``total``) with the change in percent, first
+      overall (``geral``), then by operation where either is above 0; no rows without two months.
+    * ranking: the n largest of ``field`` with their joint share of the whole (``percentual``).
+    * tendencia: the last three months that have rows, the change from each to the next, their mean and its label.
+
+    Movements are summed by all that a question can name, then by the grouping sets that questions of
+    an intent ask for. Rankings and trends are cut to n and three rows per cell of that cube, and
+    questions meet their cells by equality. `filters` is read several times; give a written table.
+    """
+    # A comparison asks for two months in place of a year and a month.
+    of_month = F.col("tipo_analise") == "comparacao"
+    months = F.when(of_month & F.col("data_inicio").isNotNull() & F.col("data_fim").isNotNull(), F.array("data_inicio", "data_fim")).otherwise(F.array(F.lit(None).cast("date")))
+    asked = filters.select(key, "tipo_analise", F.lower("cliente").alias("cliente"), F.lower("porto").alias("porto"), "categoria", "ano", "mes", F.posexplode(months).alias("lado", "dia"))
+    asked = asked.where(~of_month | F.col("dia").isNotNull()).select(
+        key, "tipo_analise", "lado", "cliente", "porto", "categoria",
+        F.when(of_month, F.year("dia")).otherwise(F.col("ano")).cast("int").alias("ano"), F.when(of_month, F.month("dia")).otherwise(F.col("mes")).cast("int").alias("mes"))
+    ports = [F.lower(c) for c in ("porto_embarque", "porto_descarga") if c in rows.columns]
+    sums = rows.groupBy(F.lower("cliente").alias("cliente"), F.array_distinct(F.array(*ports)).alias("portos"), F.col("tipo_operacao").alias("categoria"), "ano", "mes", F.col(field).alias("nome")).agg(F.sum(quantity).alias("q"))
+    sums = sums.withColumns({"periodo": F.col("ano") * 100 + F.col("mes"), "tipo": F.col("categoria")})
+    # At most 32 sets of filters by intent, whatever the number of questions.
+    sets: dict[str, set[tuple[str, ...]]] = {}
+    for kind in asked.select("tipo_analise", *[F.col(c).isNotNull().alias(c) for c in FILTERED]).distinct().collect():
+        used, detail = tuple(c for c in FILTERED if kind[c]), DETAILS.get(kind["tipo_analise"])
+        mine = sets.setdefault(kind["tipo_analise"], set())
+        mine |= {used, (*used, detail)} if detail else {used}
+    build = {"total": _totals, "ranking": _rankings, "tendencia": _trends, "comparacao": _comparisons}
+    parts = [build[kind](asked, _cube(sums, mine), key, n) for kind, mine in sorted(sets.items()) if kind in build]
+    return reduce(DataFrame.unionByName, parts) if parts else _answer(asked.where(F.lit(False)), key)
+
+
+_TYPES = {"posicao": "int", "chave": "string", "anterior": "double", "total": "double", "variacao": "double", "percentual": "double", "media": "double", "rotulo": "string"}
+
+
+def _answer(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """Answer rows with the columns given, null for the rest."""
+    return rows.select(key, "tipo_analise", *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in _TYPES.items()])
+
+
+def _met(asked: DataFrame, kind: str, cells: DataFrame, how: str, detail: str | None = None) -> DataFrame:
+    """Questions of one intent beside the columns of their cells."""
+    return _by_cell(asked.where(F.col("tipo_analise") == kind).withColumn("grupo", _grouping(detail)), cells, how).drop("grupo")
+
+
+def _cells(asked: DataFrame, kind: str, cube: DataFrame, detail: str | None = None) -> DataFrame:
+    """Cube rows of the cells that questions of one intent ask for."""
+    wanted = asked.where(F.col("tipo_analise") == kind).withColumn("grupo", _grouping(detail)).select("grupo", *FILTERED).distinct()
+    return _by_cell(cube, wanted, "left_semi").select("grupo", *FILTERED, *([detail] if detail else []), "total")
+
+
+def _totals(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+    met = _met(asked, "total", _cells(asked, "total", cube), "left")
+    return _answer(met, key, posicao=F.lit(1), chave=F.lit("total"), total=F.coalesce("total", F.lit(0.0)))
+
+
+def _rankings(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+    cell = ["grupo", *FILTERED]
+    order = Window.partitionBy(*cell).orderBy(F.desc("total"), "nome")
+    top = _cells(asked, "ranking", cube.where("nome IS NOT NULL"), "nome").withColumn("posicao", F.row_number().over(order)).where(F.col("posicao") <= n)
+    top = top.withColumn("juntos", F.sum("total").over(Window.partitionBy(*cell)))  # of n rows at most
+    whole = _cells(asked, "ranking", cube).withColumnRenamed("total", "geral")
+    met = _met(_met(asked, "ranking", whole, "inner"), "ranking", top, "inner", "nome")
+    return _answer(met, key, posicao=F.col("posicao"), chave=F.col("nome"), total=F.col("total"), percentual=F.when(F.col("geral") > 0, F.col("juntos") * 100.0 / F.col("geral")))
+
+
+def _trends(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+    cell = ["grupo", *FILTERED]
+    newest = Window.partitionBy(*cell).orderBy(F.desc("periodo"))
+    last = _cells(asked, "tendencia", cube.where("periodo IS NOT NULL"), "periodo").withColumn("atras", F.row_number().over(newest)).where("atras <= 3")
+    over = Window.partitionBy(*cell).orderBy("periodo")
+    last = last.withColumns({"posicao": F.row_number().over(over), "anterior": F.lag("total").over(over)})
+    last = last.withColumn("variacao", F.when(F.col("anterior") > 0, percent_change(F.col("total"), F.col("anterior"))))
+    last = last.withColumn("media", F.avg("variacao").over(Window.partitionBy(*cell)))
+    met = _met(asked, "tendencia", last, "inner", "periodo")
+    names = {c: F.col(c) for c in ("posicao", "anterior", "total", "variacao", "media")}
+    return _answer(met, key, chave=F.col("periodo").cast("string"), rotulo=series.trend_name(F.col("media")), **names)
+
+
+def _comparisons(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+    overall = _met(asked, "comparacao", _cells(asked, "comparacao", cube), "left").withColumn("tipo", F.lit(None).cast("string"))
+    by_type = _met(asked, "comparacao", _cells(asked, "comparacao", cube.where("tipo IS NOT NULL"), "tipo"), "inner", "tipo")
+
+    def side(number: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("lado") == number, F.col("total"))), F.lit(0.0))
+
+    both = overall.unionByName(by_type).groupBy(key, "tipo_analise", "tipo").agg(side(0).alias("um"), side(1).alias("dois"))
+    kept = both.where("tipo IS NULL OR um > 0 OR dois > 0")
+    one, two = F.col("um"), F.col("dois")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("tipo").asc_nulls_first()))
+    return _answer(kept.withColumn("posicao", place), key, posicao=F.col("posicao"), chave=F.coalesce("tipo", F.lit("geral")), anterior=one, total=two,
+                   variacao=F.when(one > 0, percent_change(two, one)).when(two == 0, 0.0))

@@ -85,6 +85,15 @@ def recent_direction(df: DataFrame, value: str = "qtd_container") -> DataFrame:
     )
 
 
+def trend_name(mean: Column) -> Column:
+    """Label of a mean change in percent."""
+    return (
+        F.when(mean > 5, "CRESCIMENTO SIGNIFICATIVO").when(mean > 0, "CRESCIMENTO MODERADO")
+        .when(mean < -5, "QUEDA SIGNIFICATIVA").when(mean < 0, "QUEDA MODERADA")
+        .when(mean == 0, "ESTÁVEL")
+    )
+
+
 def trend_label(df: DataFrame) -> DataFrame:
     """Label from the mean change between the last three months, by the container cascade."""
     totals = df.groupBy("ano_mes").agg(container_total(df.columns).cast("double").alias("total"))
@@ -93,12 +102,7 @@ def trend_label(df: DataFrame) -> DataFrame:
     changes = last.select("ano_mes", "total", before.alias("anterior")).withColumn(
         "variacao", F.when(F.col("anterior") > 0, percent_change(F.col("total"), F.col("anterior"))))
     mean = F.avg("variacao")
-    label = (
-        F.when(mean > 5, "CRESCIMENTO SIGNIFICATIVO").when(mean > 0, "CRESCIMENTO MODERADO")
-        .when(mean < -5, "QUEDA SIGNIFICATIVA").when(mean < 0, "QUEDA MODERADA")
-        .when(mean == 0, "ESTÁVEL")
-    )
-    return changes.agg(label.alias("tendencia"), F.bround(mean, 6).alias("variacao_media"))
+    return changes.agg(trend_name(mean).alias("tendencia"), F.bround(mean, 6).alias("variacao_media"))
 
 
 def compare_periods(df: DataFrame, first: int, second: int, category: str = "tipo_operacao") -> DataFrame:

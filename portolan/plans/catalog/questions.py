@@ -218,6 +218,48 @@ def batch(spark, d):
     return questions.answer_totals(spark.read.parquet(folder), rows, "id")
 
 
+def _cube_sql(name, detail):
+    """Sums by any set of filters, and by one more column; a movement counts under both its ports, or under none if ports are left open."""
+    group = f"porto, CUBE (cliente, categoria, ano, mes){f', {detail}' if detail else ''}"
+    return f"{name} AS (SELECT cliente, porto, categoria, ano, mes, {f'{detail} AS detalhe, ' if detail else ''}GROUPING(cliente, categoria, ano, mes) AS g, sum(q) AS t FROM mx GROUP BY {group})"
+
+
+MEETS = "ON a.g = c.g AND a.cliente IS NOT DISTINCT FROM c.cliente AND a.porto IS NOT DISTINCT FROM c.porto AND a.categoria IS NOT DISTINCT FROM c.categoria AND a.ano IS NOT DISTINCT FROM c.ano AND a.mes IS NOT DISTINCT FROM c.mes"
+
+
+@query("n7_batch_answers", f"""
+WITH {QUESTIONS}, {DATED}, {PERIODS}, {ENTITIES}, {MOVEMENTS_SQL},
+fl AS (SELECT dt.id, tipo AS tipo_analise, lower(ec.e) AS cliente, lower(ep.e) AS porto, {CATEGORY} AS categoria, y, mo, inicio, fim FROM dt JOIN pe USING (id) LEFT JOIN ec USING (id) LEFT JOIN ep USING (id)),
+aq AS (SELECT id, tipo_analise, 0 AS lado, cliente, porto, categoria, y AS ano, CASE WHEN y IS NOT NULL THEN mo END AS mes FROM fl WHERE tipo_analise IS DISTINCT FROM 'comparacao'
+ UNION ALL SELECT id, tipo_analise, lado, cliente, porto, categoria, year(dia), month(dia) FROM (SELECT *, unnest([0, 1]) AS lado, unnest([inicio, fim]) AS dia FROM fl WHERE tipo_analise = 'comparacao' AND inicio IS NOT NULL AND fim IS NOT NULL)),
+a AS MATERIALIZED (SELECT *, (cliente IS NULL)::INT * 8 + (categoria IS NULL)::INT * 4 + (ano IS NULL)::INT * 2 + (mes IS NULL)::INT AS g FROM aq),
+mq AS (SELECT lower(cliente) AS cliente, tipo_operacao AS categoria, ano + 20 AS ano, mes, armador AS nome, lower(porto_embarque) AS pe, lower(porto_descarga) AS pd, sum(qtd_container) AS q FROM m GROUP BY ALL),
+mx AS MATERIALIZED (SELECT cliente, x.porto, categoria, ano, mes, nome, ano * 100 + mes AS periodo, categoria AS tipo, q FROM (SELECT *, unnest(list_distinct([pe, pd])) AS porto FROM mq) x
+ UNION ALL SELECT cliente, NULL, categoria, ano, mes, nome, ano * 100 + mes, categoria, q FROM mq),
+{_cube_sql('cg', None)}, {_cube_sql('cn', 'nome')}, {_cube_sql('cp', 'periodo')}, {_cube_sql('ct', 'tipo')},
+rk AS (SELECT a.id, c.detalhe AS nome, c.t, row_number() OVER (PARTITION BY a.id ORDER BY c.t DESC, c.detalhe) AS p FROM a JOIN cn c {MEETS} WHERE tipo_analise = 'ranking' QUALIFY p <= 5),
+rg AS (SELECT a.id, c.t FROM a JOIN cg c {MEETS} WHERE tipo_analise = 'ranking'),
+tr AS (SELECT a.id, c.detalhe AS periodo, c.t FROM a JOIN cp c {MEETS} WHERE tipo_analise = 'tendencia' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY c.detalhe DESC) <= 3),
+tv AS (SELECT *, row_number() OVER w AS p, lag(t) OVER w AS anterior FROM tr WINDOW w AS (PARTITION BY id ORDER BY periodo)),
+tw AS (SELECT *, CASE WHEN anterior > 0 THEN (t - anterior) * 100.0 / anterior END AS variacao FROM tv), tm AS (SELECT *, avg(variacao) OVER (PARTITION BY id) AS media FROM tw),
+cx AS (SELECT a.id, NULL AS tipo, lado, c.t FROM a LEFT JOIN cg c {MEETS} WHERE tipo_analise = 'comparacao' UNION ALL SELECT a.id, c.detalhe, lado, c.t FROM a JOIN ct c {MEETS} WHERE tipo_analise = 'comparacao'),
+cy AS (SELECT id, tipo, coalesce(sum(t) FILTER (lado = 0), 0) AS um, coalesce(sum(t) FILTER (lado = 1), 0) AS dois FROM cx GROUP BY id, tipo)
+SELECT a.id, tipo_analise, 1 AS posicao, 'total' AS chave, NULL::DOUBLE AS anterior, CAST(coalesce(c.t, 0) AS DOUBLE) AS total, NULL::DOUBLE AS variacao, NULL::DOUBLE AS percentual, NULL::DOUBLE AS media, NULL::VARCHAR AS rotulo
+ FROM a LEFT JOIN cg c {MEETS} WHERE tipo_analise = 'total'
+UNION ALL SELECT rk.id, 'ranking', CAST(p AS INTEGER), nome, NULL, CAST(rk.t AS DOUBLE), NULL, round_even(CAST(CASE WHEN rg.t > 0 THEN sum(rk.t) OVER (PARTITION BY rk.id) * 100.0 / rg.t END AS DOUBLE), 6), NULL, NULL FROM rk JOIN rg USING (id)
+UNION ALL SELECT id, 'tendencia', CAST(p AS INTEGER), CAST(periodo AS VARCHAR), CAST(anterior AS DOUBLE), CAST(t AS DOUBLE), round_even(CAST(variacao AS DOUBLE), 6), NULL, round_even(CAST(media AS DOUBLE), 6),
+ CASE WHEN media > 5 THEN 'CRESCIMENTO SIGNIFICATIVO' WHEN media > 0 THEN 'CRESCIMENTO MODERADO' WHEN media < -5 THEN 'QUEDA SIGNIFICATIVA' WHEN media < 0 THEN 'QUEDA MODERADA' WHEN media = 0 THEN 'ESTÁVEL' END FROM tm
+UNION ALL SELECT id, 'comparacao', CAST(row_number() OVER (PARTITION BY id ORDER BY tipo NULLS FIRST) AS INTEGER), coalesce(tipo, 'geral'), CAST(um AS DOUBLE), CAST(dois AS DOUBLE),
+ round_even(CAST(CASE WHEN um > 0 THEN (dois - um) * 100.0 / um WHEN dois = 0 THEN 0 END AS DOUBLE), 6), NULL, NULL, NULL FROM cy WHERE tipo IS NULL OR um > 0 OR dois > 0""")
+def batch_answers(spark, d):
+    """Every question of the table answered by its intent; the questions speak of years 20 later."""
+    rows = movements(spark, d, "cliente", "armador", "porto_embarque", "porto_descarga", "tipo_operacao", "ano", "mes", "qtd_container").withColumn("ano", F.col("ano") + 20)
+    folder = work_folder(spark, "n7")
+    questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta").write.parquet(folder)
+    found = questions.answers(spark.read.parquet(folder), rows, "id")
+    return found.withColumns({c: F.bround(c, 6) for c in ("variacao", "percentual", "media")})
+
+
 @query("n8_titles", """
 WITH f AS (SELECT conv_id, arg_min(role, turn) AS role, arg_min(text, turn) AS t FROM conversations GROUP BY 1)
 SELECT conv_id, CASE WHEN role = 'user' THEN CASE WHEN length(t) > 50 THEN left(t, 50) || '...' ELSE t END END AS titulo FROM f""")

@@ -389,3 +389,30 @@ def test_a_shared_folder_is_asked_for_on_a_cluster():
     here = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(here)
+
+
+def test_answers_of_a_question_table(spark):
+    rows = spark.createDataFrame([
+        ("Ana", "P1", "P2", "importacao", 2024, 1, "N", 10.0), ("Ana", "P1", "P1", "exportacao", 2024, 2, "M", 5.0), ("Bia", "P2", "P1", "importacao", 2024, 2, "M", 7.0),
+        ("Bia", "P2", "P2", "importacao", 2024, 3, None, 3.0), ("Bia", "P2", "P2", "importacao", 2023, 12, "O", 0.0)],
+        "cliente string, porto_embarque string, porto_descarga string, tipo_operacao string, ano int, mes int, armador string, qtd_container double")
+    asked = spark.createDataFrame([
+        (1, "total", "ana", None, None, None, None, None, None), (2, "total", None, "p1", None, 2024, None, None, None), (3, "total", "zoe", None, None, None, None, None, None),
+        (4, "ranking", None, None, None, 2024, None, None, None), (5, "ranking", "zoe", None, None, None, None, None, None), (6, "tendencia", None, None, None, None, None, None, None),
+        (7, "comparacao", None, None, None, None, None, "2024-01-01", "2024-02-01"), (8, "comparacao", None, None, None, None, None, None, "2024-02-01"), (9, "comparacao", "zoe", None, None, None, None, "2024-01-01", "2024-02-01"),
+        (10, "outra", None, None, None, None, None, None, None)],
+        "id int, tipo_analise string, cliente string, porto string, categoria string, ano int, mes int, data_inicio string, data_fim string")
+    asked = asked.withColumns({c: F.col(c).cast("date") for c in ("data_inicio", "data_fim")})
+    got = {}
+    for r in questions.answers(asked, rows, "id", n=2).collect():
+        got.setdefault(r["id"], []).append((r["posicao"], r["chave"], r["anterior"], r["total"], r["variacao"], r["percentual"], r["media"], r["rotulo"]))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got[1] == [(1, "total", None, 15.0, None, None, None, None)] and got[2][0][3] == 22.0 and got[3][0][3] == 0.0
+    # Carriers M 12 and N 10 of 25; rows without a carrier count in the whole.
+    assert got[4] == [(1, "M", None, 12.0, None, 88.0, None, None), (2, "N", None, 10.0, None, 88.0, None, None)]
+    assert [x[1:5] for x in got[6]] == [("202401", None, 10.0, None), ("202402", 10.0, 12.0, 20.0), ("202403", 12.0, 3.0, -75.0)]
+    assert {x[6:] for x in got[6]} == {(-27.5, "QUEDA SIGNIFICATIVA")}
+    assert [x[:5] for x in got[7]] == [(1, "geral", 10.0, 12.0, 20.0), (2, "exportacao", 0.0, 5.0, None), (3, "importacao", 10.0, 7.0, -30.0)]
+    assert got[9] == [(1, "geral", 0.0, 0.0, 0.0, None, None, None)]
+    assert not {5, 8, 10} & set(got)
+    assert questions.answers(asked.limit(0), rows, "id").count() == 0
