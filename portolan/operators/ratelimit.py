@@ -95,7 +95,8 @@ def rate_limit(events: DataFrame, key: str, time: str, event_id: str, limit: int
                slice_seconds: int | None = None) -> DataFrame:
     """Every event with the opening of its window, its order in it and whether it is accepted.
 
-    Slices are an hour or ten windows, whichever is longer, unless given.
+    Slices are an hour or ten windows, whichever is longer, unless given. Events without a time belong
+    to no window: they come back with null in its columns and in ``accepted``.
     """
     span = window * MICRO
     length = (slice_seconds or max(3600, 10 * window)) * MICRO
@@ -105,10 +106,12 @@ def rate_limit(events: DataFrame, key: str, time: str, event_id: str, limit: int
     moment = F.unix_micros(F.col(time).cast("timestamp"))
     rows = events.select(F.col(key).alias("chave"), F.col(event_id).alias("id"), moment.alias("t")).withColumn(
         "fatia", F.floor(F.col("t") / length).cast("bigint"))
-    groups = rows.groupBy("chave", "fatia")
+    placed = rows.where("t IS NOT NULL")
+    groups = placed.groupBy("chave", "fatia")
     steps = groups.applyInArrow(_steps(span, length), STEPS.format(**kinds))
     entries = steps.groupBy("chave").applyInArrow(_follow(span), ENTRIES.format(**kinds))
     decided = groups.cogroup(entries.groupBy("chave", "fatia")).applyInArrow(_decide(span), DECISIONS.format(**kinds))
-    return decided.select(
+    timeless = rows.where("t IS NULL").select("chave", "id", "t", F.lit(None).cast("bigint").alias("aberta"), F.lit(None).cast("bigint").alias("ordem"))
+    return decided.unionByName(timeless).select(
         F.col("chave").alias(key), F.col("id").alias(event_id), F.timestamp_micros("t").alias(time),
         F.timestamp_micros("aberta").alias("window_start"), F.col("ordem").alias("position"), (F.col("ordem") <= limit).alias("accepted"))

@@ -6,11 +6,14 @@ checkpoint folder from the caller, who keeps it on shared storage.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 WATERMARK = "1 hour"
@@ -67,46 +70,92 @@ def audit_counts(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("permitido")).alias("permitidos"), F.count_if(~F.col("permitido")).alias("negados"))
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state by key and slice needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class _Limiter(StatefulProcessor):
+    """Windows of one key. Events wait by slice of event time; a timer decides a slice once the watermark is past its end."""
+
+    def __init__(self, key: str, id_type: str, window: int, length: int, limit: int):
+        self.key, self.id_type, self.window, self.length, self.limit = key, id_type, window, length, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # The window that is open at the end of the slices decided so far, and the number of the next part.
+        self.open = handle.getValueState("aberta", "aberta bigint, vistos bigint")
+        self.parts = handle.getValueState("partes", "n bigint")
+        # A batch adds parts; what waits already is neither read nor written again.
+        self.waiting = handle.getMapState("espera", "fatia bigint, parte bigint", f"tempos array<bigint>, ids array<{self.id_type}>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        part = self.parts.get()[0] if self.parts.exists() else 0
+        due = set()
+        for frame in rows:
+            for number, slice_ in frame.groupby(frame["t"] // self.length):
+                self.waiting.updateValue((int(number), part), ([int(t) for t in slice_["t"]], slice_["id"].tolist()))
+                due.add(int(number))
+                part += 1
+        self.parts.update((part,))
+        for number in due:
+            self.handle.registerTimer((number + 1) * self.length // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.length - 1
+        parts = sorted(p for p in self.waiting.keys() if p[0] == number)
+        times, ids = [], []
+        for p in parts:
+            found = self.waiting.getValue(p)
+            times += found[0]
+            ids += found[1]
+            self.waiting.removeKey(p)
+        opened, seen = self.open.get() if self.open.exists() else (None, 0)
+        out = []
+        for moment, event in sorted(zip(times, ids)):
+            if opened is None or moment - opened > self.window:
+                opened, seen = moment, 0
+            seen += 1
+            out.append((key[0], event, moment, opened, seen, seen <= self.limit))
+        if opened is not None:
+            self.open.update((opened, seen))
+        # Nothing waits and the window is over by then: the key is forgotten.
+        if not out and opened is not None and not any(True for _ in self.waiting.keys()):
+            self.open.clear()
+            self.parts.clear()
+        elif out:
+            self.handle.registerTimer(((opened + self.window) // self.length + 2) * self.length // 1000)
+            yield pd.DataFrame(out, columns=[self.key, "id", "t", "aberta", "ordem", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit_stream(events: DataFrame, key: str, time: str, event_id: str, limit: int = 100, window: int = 60,
-                      late: str = WATERMARK) -> DataFrame:
+                      late: str = WATERMARK, slice_seconds: int | None = None) -> DataFrame:
     """Fixed-window rate limit over a stream, decided in event-time order whatever the batches.
 
-    Events wait until the watermark, ``late`` behind the newest event, has passed them; then no earlier
-    one can come, and they are decided in order. The state per key is its open window, the count in it
-    and the waiting events; a key without any is dropped once its window is over. A task holds the
-    waiting events of a key, at most those of ``late``.
+    Events wait by slice of event time (an hour or ten windows, whichever is longer, unless given). A
+    timer decides a slice once the watermark, ``late`` behind the newest event, is past its end: no
+    earlier event can come then, and the window open at the end of the slice before is handed on. A
+    task holds one slice of one key; the state holds what came since the watermark. Events without a
+    time are left out, events behind the watermark are dropped. Start it inside `keyed_state`.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    span = window * 1_000_000
-
-    def decide(name, frames, state: GroupState):
-        opened, seen, times, ids = state.get if state.exists else (None, 0, [], [])
-        parts = [pd.DataFrame({"t": list(times), "id": list(ids)}), *[f[["t", "id"]] for f in frames]]
-        waiting = pd.concat([f for f in parts if len(f)] or parts[:1]).sort_values(["t", "id"])
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = waiting[waiting["t"] < passed], waiting[waiting["t"] >= passed]
-        out = []
-        for moment, number in zip(ready["t"].tolist(), ready["id"].tolist()):
-            if opened is None or moment - opened > span:
-                opened, seen = int(moment), 0
-            seen += 1
-            out.append((name[0], number, int(moment), opened, seen, seen <= limit))
-        if len(waiting):
-            state.update((opened, seen, [int(t) for t in waiting["t"]], waiting["id"].tolist()))
-            state.setTimeoutTimestamp(max(int(waiting["t"].iloc[0]) // 1000, passed // 1000) + 1)
-        elif opened is not None and passed <= opened + span:
-            state.update((opened, seen, [], []))
-            state.setTimeoutTimestamp((opened + span) // 1000 + 1)
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[key, "id", "t", "aberta", "ordem", "accepted"])
-
-    rows = events.select(key, F.col(event_id).alias("id"), F.col(time).cast("timestamp").alias("momento")).withWatermark("momento", late)
-    rows = rows.withColumn("t", F.unix_micros("momento"))
-    decided = rows.groupBy(key).applyInPandasWithState(
-        decide, f"{key} {kinds[key]}, id {kinds[event_id]}, t bigint, aberta bigint, ordem bigint, accepted boolean",
-        f"aberta bigint, vistos bigint, tempos array<bigint>, ids array<{kinds[event_id]}>", "append", GroupStateTimeout.EventTimeTimeout)
+    length = (slice_seconds or max(3600, 10 * window)) * 1_000_000
+    rows = events.select(key, F.col(event_id).alias("id"), F.col(time).cast("timestamp").alias("momento")).where("momento IS NOT NULL").withWatermark("momento", late)
+    decided = rows.withColumn("t", F.unix_micros("momento")).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Limiter(key, kinds[event_id], window * 1_000_000, length, limit),
+        outputStructType=f"{key} {kinds[key]}, id {kinds[event_id]}, t bigint, aberta bigint, ordem bigint, accepted boolean",
+        outputMode="Append", timeMode="EventTime")
     return decided.select(
         key, F.col("id").alias(event_id), F.timestamp_micros("t").alias(time), F.timestamp_micros("aberta").alias("window_start"),
         F.col("ordem").alias("position"), "accepted")

@@ -12,6 +12,7 @@ from portolan.operators import (
     ratelimit, schema, search, segments, series, tracking,
 )
 from portolan.sources import logs
+from portolan.streaming import jobs
 
 MOVES = "cliente string, ano_mes int, qtd_container double, tipo_operacao string, mes int"
 
@@ -416,3 +417,55 @@ def test_answers_of_a_question_table(spark):
     assert got[9] == [(1, "geral", 0.0, 0.0, 0.0, None, None, None)]
     assert not {5, 8, 10} & set(got)
     assert questions.answers(asked.limit(0), rows, "id").count() == 0
+
+
+def _plain_windows(events, window, limit):
+    """(key, id, opening, order, accepted) by walking each key's events in order of time."""
+    out, opened = [], {}
+    for key, moment, number in sorted((k, t, i) for k, t, i in events if t is not None):
+        first, seen = opened.get(key, (None, 0))
+        if first is None or moment - first > window:
+            first, seen = moment, 0
+        opened[key] = first, seen + 1
+        out.append((key, number, first, seen + 1, seen + 1 <= limit))
+    return sorted(out)
+
+
+def _events(spark, rows):
+    start = datetime.datetime(2024, 1, 1)
+    return spark.createDataFrame([(k, None if t is None else start + datetime.timedelta(seconds=t), i) for k, t, i in rows], "k string, ts timestamp, i int")
+
+
+def _seconds(frame):
+    start = datetime.datetime(2024, 1, 1)
+    return sorted((r["k"], r["i"], None if r["window_start"] is None else (r["window_start"] - start).total_seconds(), r["position"], r["accepted"]) for r in frame.collect())
+
+
+def _hot_rows():
+    rng = random.Random(4)
+    rows = [("hot", rng.randint(0, 4000), i) for i in range(200)] + [(f"k{i % 7}", rng.randint(0, 4000), 1000 + i) for i in range(100)]
+    return rows + [("hot", 100, 5000 + i) for i in range(20)]  # events of one moment go by their id
+
+
+def test_rate_limit_marks_events_without_a_time(spark):
+    rows = [*_hot_rows(), ("hot", None, 9001), ("late", None, 9002)]
+    got = _seconds(ratelimit.rate_limit(_events(spark, rows), "k", "ts", "i", limit=3, window=60, slice_seconds=100))
+    assert sorted(r for r in got if r[2] is not None) == _plain_windows(rows, 60, 3)
+    assert [r for r in got if r[2] is None] == [("hot", 9001, None, None, None), ("late", 9002, None, None, None)]
+    assert ratelimit.rate_limit(_events(spark, []), "k", "ts", "i").count() == 0
+
+
+def test_rate_limit_stream_in_slices(spark, tmp_path):
+    """Batches out of order by less than the lateness; windows are handed on between slices."""
+    rows = _hot_rows()
+    events = [*rows, ("hot", None, 9001), ("last", 100_000, 9003)]
+    for part in range(3):
+        chosen = [r for r in events if r[1] is not None and min(r[1] + 37 * r[2] % 150, 4400) // 1500 == part or part == 2 and (r[1] is None or r[1] > 5000)]
+        _events(spark, chosen).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.stream_table(spark, str(tmp_path / "in"), _events(spark, []).schema, files_per_trigger=1)
+    with jobs.keyed_state(spark):
+        decided = jobs.rate_limit_stream(stream, "k", "ts", "i", limit=3, window=60, late="300 seconds", slice_seconds=200)
+        jobs.write_stream(decided, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = _seconds(spark.read.parquet(str(tmp_path / "out")))
+    assert got == _plain_windows(rows, 60, 3)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
