@@ -197,6 +197,34 @@ def demand_forecast(spark, d):
     return forecast.forecast(_months(spark, d, "cliente"), 3)
 
 
+def _forecast_by_sql(group):
+    """The same rule by group; every group of the given tables has independent features."""
+    return f"""t AS (SELECT {group} AS grupo, ano_mes, sum(qtd_container) AS total FROM m GROUP BY ALL),
+a AS (SELECT grupo, CAST(row_number() OVER (PARTITION BY grupo ORDER BY ano_mes) - 1 AS DOUBLE) AS x1, CAST(ano_mes % 100 AS DOUBLE) AS x2, CAST(ceil((ano_mes % 100) / 3.0) AS DOUBLE) AS x3, CAST(total AS DOUBLE) AS y,
+ CAST(strptime(CAST(ano_mes AS VARCHAR), '%Y%m') AS DATE) AS dt FROM t),
+k AS (SELECT grupo, covar_pop(x1,x1) a11, covar_pop(x1,x2) a12, covar_pop(x1,x3) a13, covar_pop(x2,x2) a22, covar_pop(x2,x3) a23, covar_pop(x3,x3) a33,
+ covar_pop(x1,y) c1, covar_pop(x2,y) c2, covar_pop(x3,y) c3, avg(x1) m1, avg(x2) m2, avg(x3) m3, avg(y) my, max(x1) mx, max(dt) md, count(*) n FROM a GROUP BY grupo HAVING count(*) >= 6),
+dd AS (SELECT *, a11*(a22*a33-a23*a23) - a12*(a12*a33-a23*a13) + a13*(a12*a23-a22*a13) AS det FROM k),
+be AS (SELECT *, (c1*(a22*a33-a23*a23) - a12*(c2*a33-a23*c3) + a13*(c2*a23-a22*c3)) / det AS b1, (a11*(c2*a33-a23*c3) - c1*(a12*a33-a23*a13) + a13*(a12*c3-c2*a13)) / det AS b2,
+ (a11*(a22*c3-c2*a23) - a12*(a12*c3-c2*a13) + c1*(a12*a23-a22*a13)) / det AS b3 FROM dd),
+mo AS (SELECT *, my - b1*m1 - b2*m2 - b3*m3 AS b0 FROM be),
+qu AS (SELECT grupo, avg(abs(y - (b0+b1*x1+b2*x2+b3*x3))) AS mae, 1 - sum(pow(y - (b0+b1*x1+b2*x2+b3*x3), 2)) / sum(pow(y - my, 2)) AS r2 FROM a JOIN mo USING (grupo) GROUP BY grupo),
+pr AS (SELECT passo, CAST(md + passo * 30 AS DATE) AS dia, mo.*, mae, r2 FROM (SELECT CAST(unnest([1,2,3]) AS INTEGER) AS passo), mo JOIN qu USING (grupo))
+SELECT grupo AS {group}, passo, strftime(dia, '%Y-%m') AS mes, CAST(greatest(0, trunc(round_even(b0 + b1*(mx+passo) + b2*month(dia) + b3*quarter(dia), 6))) AS BIGINT) AS containers_previstos,
+ round_even(mae, 4) AS mae, round_even(r2, 6) AS r2, CASE WHEN r2 > 0.7 THEN 'Alta' WHEN r2 > 0.4 THEN 'Média' ELSE 'Baixa' END AS precisao,
+ CASE WHEN r2 > 0.8 THEN 'Alta' WHEN r2 > 0.6 THEN 'Média' ELSE 'Baixa' END AS confianca, n AS dados_historicos FROM pr"""
+
+
+@query("w15_forecast_by_client", f"WITH @m, {_forecast_by_sql('cliente')}")
+def forecast_by_client(spark, d):
+    return forecast.forecast_by(_months(spark, d, "cliente"), ["cliente"])
+
+
+@query("w15_forecast_by_port", f"WITH @m, {_forecast_by_sql('porto_descarga')}")
+def forecast_by_port(spark, d):
+    return forecast.forecast_by(_months(spark, d, "porto_descarga"), ["porto_descarga"])
+
+
 CLIENTS = """c AS (SELECT cliente, sum(qtd_container) AS total_containers, count(qtd_container) AS num_operacoes,
  sum(qtd_container) / count(qtd_container) AS media_containers, min(ano_mes) AS primeiro_mes, max(ano_mes) AS ultimo_mes FROM m GROUP BY cliente)"""
 UPSELL = "u AS (SELECT cliente, total_containers, num_operacoes FROM c WHERE num_operacoes >= 5 AND total_containers < (SELECT median(total_containers) FROM c))"

@@ -469,3 +469,31 @@ def test_rate_limit_stream_in_slices(spark, tmp_path):
     got = _seconds(spark.read.parquet(str(tmp_path / "out")))
     assert got == _plain_windows(rows, 60, 3)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_forecast_by_group_is_that_of_each_group(spark):
+    """Against numpy: full rank, six months of one year, one calendar month a year, constant values, too few months."""
+    rng = random.Random(9)
+    months = {"long": range(0, 40), "year": range(0, 6), "same month": range(0, 84, 12), "two months": [0, 1, 12, 13, 24, 25, 36], "flat": range(0, 14), "short": range(0, 5), "gaps": sorted(rng.sample(range(60), 11)), "quarter": range(3, 9)}
+    rows = [(g, 202001 + (k // 12) * 100 + k % 12, 7.0 if g == "flat" else float(rng.randint(0, 90))) for g, ks in months.items() for k in ks]
+    rows += [(None, *r[1:]) for r in rows if r[0] == "gaps"] + [("long", None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, ano_mes int, qtd_container double")
+    got = {(r["g"], r["passo"]): r for r in forecast.forecast_by(df, ["g"], 2).collect()}
+    for group in [*months, None]:
+        one = df.where(F.col("g").eqNullSafe(group)).withColumn("cliente", F.lit("c"))
+        if group == "short":
+            assert (group, 1) not in got
+            continue
+        for r in forecast.forecast(one, 2).collect():
+            mine = got[group, r["passo"]]
+            for c in ("mes", "mae", "r2", "precisao", "confianca", "dados_historicos"):
+                assert mine[c] == r[c] or abs(mine[c] - r[c]) < 1e-4, (group, c, mine, r)
+            assert abs(mine["containers_previstos"] - r["containers_previstos"]) <= (0 if group not in ("flat", "year") else 1), (group, mine, r)
+    assert len(got) == 2 * len(months) and forecast.forecast_by(df.limit(0), ["g"]).count() == 0
+
+
+def test_forecast_of_one_group_is_the_global_one(spark):
+    from portolan.plans.movements import movements
+
+    df = movements(spark, "/root/testdata/sf0.001", "cliente", "ano_mes", "qtd_container").withColumn("g", F.lit(1))
+    assert rows_of(forecast.forecast_by(df, ["g"]).drop("g").orderBy("passo")) == rows_of(forecast.forecast(df).orderBy("passo"))
