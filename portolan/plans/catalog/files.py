@@ -147,11 +147,11 @@ def chat_files(spark, d):
 
 
 @query("s12_processed_set", """
-WITH @m SELECT 'logistico' AS schema, ano_mes, sum(qtd_container) AS total, count(*) AS linhas, count(DISTINCT cliente) AS clientes FROM m WHERE ano_mes BETWEEN 199801 AND 199806 GROUP BY ano_mes""")
+WITH @m SELECT 'logistico' AS schema, ano_mes, sum(qtd_container) AS total, count(*) AS linhas, count(DISTINCT cliente) AS clientes FROM m GROUP BY ano_mes""")
 def processed_set(spark, d):
     folder = work_folder(spark, "s12")
     sinks.write_processed(movements(spark, d, "ano_mes", "cliente", "qtd_container"), folder, "logistico")
-    stored = spark.read.parquet(folder).where("schema = 'logistico' AND ano_mes BETWEEN 199801 AND 199806")
+    stored = spark.read.parquet(folder).where("schema = 'logistico'")
     return stored.groupBy("schema", "ano_mes").agg(
         F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("linhas"), F.count_distinct("cliente").alias("clientes"))
 
@@ -195,6 +195,17 @@ def ingestion(spark, d):
         F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("linhas"), F.count_distinct("cliente").alias("clientes"))
 
 
+@query("s15_ingestion_rerun", """
+WITH @m SELECT l_linenumber % 2 = 0 AS par, sum(qtd_container) AS total, count(*) AS linhas FROM m GROUP BY 1""")
+def ingestion_rerun(spark, d):
+    """Two batches, the first of which runs again; every row is in the set once."""
+    folder, raw = work_folder(spark, "s15"), _raw(spark, d)
+    even = F.col("chave").rlike("[02468]$")
+    for batch, part in (("a", raw.where(even)), ("b", raw.where(~even)), ("a", raw.where(even))):
+        ingest.ingest(part, RAW_HEADERS, "data_embarque", folder, "logistico", batch=batch)
+    return spark.read.parquet(folder).groupBy((F.col("lote") == "a").alias("par")).agg(F.sum("qtd_container").alias("total"), F.count(F.lit(1)).alias("linhas"))
+
+
 @query("s15_ingestion_integrity", """
 WITH @m SELECT count(*) AS total_records, CAST(0 AS BIGINT) AS nulos_cliente, CAST(min(ano_mes) AS VARCHAR) AS periodo_min, CAST(max(ano_mes) AS VARCHAR) AS periodo_max,
  count(DISTINCT cliente) AS unique_clients, true AS valid FROM m""")

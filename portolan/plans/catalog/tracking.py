@@ -8,7 +8,7 @@ from portolan.operators import ratelimit, tracking
 from portolan.plans.movements import table
 from portolan.plans.registry import query
 from portolan.session import work_folder
-from portolan.sources import logs
+from portolan.sources import logs, versions
 from portolan.streaming import jobs
 
 COLUMNS = ("event_id", "user_id", "event_type", "props")
@@ -69,6 +69,51 @@ def row_changes(spark, d):
     return tracking.row_changes(events, _new_snapshot(events))
 
 
+KEY = ("event_id",)
+CELLS = ("event_id", "user_id", "event_type", "props", "value")
+
+
+def _versioned(spark, d):
+    """A table of two batches, the second of which ran twice, a whole copy, and a batch that brings the first rows back."""
+    path = work_folder(spark, "t3v")
+    events = table(spark, d, "events").select(*CELLS)
+    second = _new_snapshot(events).dropDuplicates(["event_id"])
+    versions.commit(spark, path, "one", events, KEY)
+    for _ in range(2):
+        versions.commit(spark, path, "two", second, KEY)
+    versions.compact(spark, path, events.schema, KEY)
+    versions.commit(spark, path, "three", events.where("event_type <> 'click'"), KEY)
+    return path, events.schema
+
+
+V1 = "SELECT event_id, user_id, event_type, props, value FROM events"
+V2 = "SELECT event_id, user_id, event_type, props, value FROM nv"
+
+
+@query("t3_versions", f"""WITH {NEW} SELECT 1::BIGINT AS version, * FROM ({V1}) UNION ALL SELECT 2, * FROM ({V2}) UNION ALL SELECT 3, * FROM ({V2})
+ UNION ALL SELECT 4, * FROM ({V1}) WHERE event_type <> 'click'""")
+def table_versions(spark, d):
+    path, schema = _versioned(spark, d)
+    return versions.rows_as_of(spark, path, schema, KEY, (1, 2, 3, 4))
+
+
+@query("t3_manifest", f"""WITH {NEW}, k AS (SELECT a.event_id AS x, b.event_id AS y, a.props IS DISTINCT FROM b.props AS diff, coalesce(a.event_type, b.event_type) AS t FROM events a FULL JOIN nv b ON a.event_id = b.event_id)
+SELECT 1::BIGINT AS version, 'one' AS batch_id, 'changes' AS kind, count(*) AS inserted, 0::BIGINT AS updated, 0::BIGINT AS deleted FROM events
+UNION ALL SELECT 2, 'two', 'changes', count(*) FILTER (x IS NULL), count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND diff), count(*) FILTER (y IS NULL) FROM k
+UNION ALL SELECT 3, 'copy-3', 'copy', count(*), 0, 0 FROM nv
+UNION ALL SELECT 4, 'three', 'changes', count(*) FILTER (y IS NULL AND t <> 'click'), count(*) FILTER (y IS NOT NULL AND diff AND t <> 'click'), count(*) FILTER (y IS NOT NULL AND t = 'click') FROM k""")
+def manifest(spark, d):
+    return versions.history(spark, _versioned(spark, d)[0])
+
+
+@query("t2_keyed_changes", f"""WITH {NEW} SELECT coalesce(b.event_id, a.event_id) AS event_id, coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.event_type, a.event_type) AS event_type,
+ CASE WHEN b.event_id IS NULL THEN a.props ELSE b.props END AS props, coalesce(b.value, a.value) AS value, CASE WHEN a.event_id IS NULL THEN 'insert' WHEN b.event_id IS NULL THEN 'delete' ELSE 'update' END AS operation
+FROM events a FULL JOIN nv b ON a.event_id = b.event_id WHERE a.event_id IS NULL OR b.event_id IS NULL OR a.props IS DISTINCT FROM b.props""")
+def keyed_changes(spark, d):
+    events = table(spark, d, "events").select(*CELLS)
+    return versions.changes(events, _new_snapshot(events), KEY)
+
+
 def _registry(spark, d):
     pages = table(spark, d, "pages")
     return pages.select(

@@ -26,8 +26,10 @@ def convert(raw: DataFrame, aliases: Mapping[str, str], date: str, quantities: S
     return cleaning.normalize_strings(table).withColumn("ano_mes", dates.year_month(date))
 
 
-def ingest(raw: DataFrame, aliases: Mapping[str, str], date: str, folder: str, schema: str, required: Sequence[str] = REQUIRED) -> DataFrame:
-    """Convert and append a raw table to the processed set; gives its integrity row.
+def ingest(raw: DataFrame, aliases: Mapping[str, str], date: str, folder: str, schema: str, required: Sequence[str] = REQUIRED, batch: str | None = None) -> DataFrame:
+    """Convert a raw table and add it to the processed set; gives its integrity row.
+
+    Under a batch id the job can run again: its rows are then in the set once. Without one they are appended.
 
     A table that lacks a required column is turned away before anything is written. Rows without a
     month cannot be filed and are counted as nulls of ``ano_mes``.
@@ -36,5 +38,5 @@ def ingest(raw: DataFrame, aliases: Mapping[str, str], date: str, folder: str, s
     missing = [c for c in required if c not in table.columns]
     if missing:
         raise ValueError(f"required columns are missing: {missing}")
-    sinks.write_processed(table.where(F.col("ano_mes").isNotNull()), folder, schema)
+    sinks.write_processed(table.where(F.col("ano_mes").isNotNull()), folder, schema, batch=batch)
     return profile.integrity(table, required)
