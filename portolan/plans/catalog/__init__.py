@@ -9,6 +9,7 @@ from portolan.plans.catalog import (  # noqa: F401
     questions,
     rankings,
     scalars,
+    stored,
     texts,
     tracking,
     trends,

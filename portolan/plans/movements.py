@@ -27,7 +27,17 @@ PART = ("c20", "c40", "teus", "tipo_carga", "produto")
 ALL = LINE + ORDER + CLIENT + CLIENT_NATION + CARRIER + CARRIER_NATION + PART
 
 
+LINE_SIDE = LINE + CARRIER + CARRIER_NATION + PART
+ORDER_SIDE = ("o_orderkey", *ORDER, *CLIENT, *CLIENT_NATION)
+
+# A folder that begins so names a star stored in the catalog (`plans.star`).
+STORED = "catalog:"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table by name, from a folder of Parquet tables or from a stored star."""
+    if folder.startswith(STORED):
+        return spark.table(f"{folder.removeprefix(STORED)}_{name}")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -55,6 +65,27 @@ def movements(
     if unknown:
         raise ValueError(f"unknown movement columns: {sorted(unknown)}")
 
+    if folder.startswith(STORED):
+        lines, orders = _stored_sides(spark, folder, start, end)
+    else:
+        lines, orders = _line_side(spark, folder, wanted, start, end), _order_side(spark, folder, wanted)
+    if wanted & set(ORDER_SIDE):
+        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
+    return lines.select(*(columns or ALL))
+
+
+def _stored_sides(spark: SparkSession, folder: str, start: str | None, end: str | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a stored star; they lie in equal buckets of the order key, so their join moves no rows."""
+    lines = table(spark, folder, "linhas")
+    if start:
+        lines = lines.where(F.col("data_embarque") >= F.lit(start).cast("date"))
+    if end:
+        lines = lines.where(F.col("data_embarque") < F.lit(end).cast("date"))
+    return lines, table(spark, folder, "pedidos")
+
+
+def _line_side(spark: SparkSession, folder: str, wanted: set[str], start: str | None, end: str | None) -> DataFrame:
+    """Lines with what hangs on them: part, carrier and the carrier's port."""
     lines = table(spark, folder, "lineitem")
     if start:
         lines = lines.where(F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz"))
@@ -88,24 +119,24 @@ def movements(
             ports = _nation(spark, folder, "porto_embarque")
             carriers = carriers.join(ports, carriers.s_nationkey == ports.n_nationkey, "left")
         lines = lines.join(carriers, lines.l_suppkey == carriers.s_suppkey, "left")
+    return lines
 
-    if wanted & set(ORDER + CLIENT + CLIENT_NATION):
-        # The order side is enriched first, so the line table moves once for it.
-        orders = table(spark, folder, "orders").select(
-            "o_orderkey", "o_custkey", operation_of(F.col("o_orderstatus")).alias("tipo_operacao"),
-            F.col("o_orderdate").cast("date").alias("data_pedido"),
-        )
-        if wanted & set(CLIENT + CLIENT_NATION):
-            clients = table(spark, folder, "customer").select(
-                "c_custkey", "c_nationkey", F.col("c_name").alias("cliente"), F.col("c_name").alias("consignatario"),
-            )
-            if wanted & set(CLIENT_NATION):
-                ports = _nation(spark, folder, "porto_descarga")
-                clients = clients.join(ports, clients.c_nationkey == ports.n_nationkey, "left")
-            orders = orders.join(clients, orders.o_custkey == clients.c_custkey, "left")
-        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
 
-    return lines.select(*(columns or ALL))
+def _order_side(spark: SparkSession, folder: str, wanted: set[str]) -> DataFrame:
+    """Orders with their client and the client's port, so the line table moves once for all of it."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", operation_of(F.col("o_orderstatus")).alias("tipo_operacao"),
+        F.col("o_orderdate").cast("date").alias("data_pedido"),
+    )
+    if wanted & set(CLIENT + CLIENT_NATION):
+        clients = table(spark, folder, "customer").select(
+            "c_custkey", "c_nationkey", F.col("c_name").alias("cliente"), F.col("c_name").alias("consignatario"),
+        )
+        if wanted & set(CLIENT_NATION):
+            ports = _nation(spark, folder, "porto_descarga")
+            clients = clients.join(ports, clients.c_nationkey == ports.n_nationkey, "left")
+        orders = orders.join(clients, orders.o_custkey == clients.c_custkey, "left")
+    return orders
 
 
 # The same view for the DuckDB side of the checks.

@@ -48,3 +48,26 @@ def test_every_movement_lookup_is_optional(spark):
 def test_periods_prune_the_scan(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "GreaterThanOrEqual(l_shipdate" in text and "LessThan(l_shipdat" in text
+
+
+def test_stored_star_joins_without_an_exchange(spark, tmp_path):
+    """Under the join of lines and orders no row moves, and the period prunes the stored lines."""
+    from portolan.plans import star
+    from portolan.plans.catalog import filters
+    from portolan.plans.movements import movements
+
+    name = star.store(spark, SF, str(tmp_path / "star"), "star_test", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = plan(movements(spark, name, "cliente", "armador", "porto_descarga", "porto_embarque", "tipo_carga", "qtd_container", start="1998-01-01"))
+        assert "SortMergeJoin" in joined and "Exchange" not in joined and "Bucketed: true" in joined
+        assert "Exchange" in plan(movements(spark, SF, "cliente", "qtd_container"))
+        ranked = plan(filters.carriers_at_port(spark, name))
+        assert "Exchange" not in ranked[ranked.index("SortMergeJoin"):] and "GreaterThanOrEqual(data_embarque" in ranked
+        only_lines = plan(movements(spark, name, "armador", "porto_embarque", "ano_mes"))
+        assert "Join" not in only_lines and "cliente" not in only_lines
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    star.drop(spark, "star_test")
+    assert not spark.catalog.tableExists("star_test_linhas")
