@@ -18,6 +18,9 @@ from portolan.functions.text import occurrences
 # Constant of the reciprocal-rank sum.
 RANK_CONSTANT = 60
 
+# Letters of a word by which tokens are looked up.
+ANCHOR = 6
+
 # Vectors and queries of one tile, and how many of them meet in one product.
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 14
 ROW_STEP, TILE_STEP = 1 << 13, 1 << 9
@@ -51,35 +54,57 @@ def keyword_search_many(docs: DataFrame, queries: DataFrame, k: int = 5, key: st
     return _best(_keyword_join(docs, queries, key, text, query_key, query), query_key, F.desc("score"), key, k)
 
 
-def _keyword_join(docs, queries, key, text, query_key, query) -> DataFrame:
-    """Scores of all matching pairs, by equality joins alone.
+def query_words(queries: DataFrame, query_key: str, query: str) -> DataFrame:
+    """(query_key, palavra, vezes): the words of every query and how often it names them."""
+    words = queries.select(query_key, F.explode(F.split(F.lower(query), BLANKS)).alias("palavra")).where("palavra <> ''")
+    return words.groupBy(query_key, "palavra").agg(F.count(F.lit(1)).alias("vezes"))
 
-    A query word holds no white space, so each of its occurrences lies inside one
-    token of a document. The distinct tokens are cut into pieces as long as the
-    query words, and pieces meet words by equality: no word is compared with a
-    token that does not hold it.
-    """
-    words = (
-        queries.select(query_key, F.explode(F.split(F.lower(query), BLANKS)).alias("palavra")).where("palavra <> ''")
-        .groupBy(query_key, "palavra").agg(F.count(F.lit(1)).alias("vezes"))
-    )
-    tokens = (
-        docs.select(key, F.explode(F.split(F.lower(text), BLANKS)).alias("token")).where("token <> ''")
-        .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    lengths = words.agg(F.collect_set(F.length("palavra"))).scalar()
-    vocabulary = tokens.select("token").distinct().select("token", F.explode(lengths).alias("n"))
-    pieces = (
-        vocabulary.where(F.col("n") <= F.length("token"))
-        .select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("i"))
-        .select("token", F.col("token").substr(F.col("i"), F.col("n")).alias("palavra")).distinct()
-    )
-    held = pieces.join(words.select("palavra").distinct(), "palavra").select(
-        "token", "palavra", occurrences(F.col("token"), F.col("palavra")).alias("n"))
+
+def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf): the tokens of every text, parted by blanks."""
+    tokens = docs.select(key, F.explode(F.split(F.lower(text), BLANKS)).alias("token")).where("token <> ''")
+    return tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def token_pieces(tokens: DataFrame, lengths: Column) -> DataFrame:
+    """(token, pedaco): the distinct pieces of the given lengths of every token."""
+    sized = tokens.select("token", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("token"))
+    cut = sized.select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("i"))
+    return cut.select("token", F.col("token").substr(F.col("i"), F.col("n")).alias("pedaco")).distinct()
+
+
+def word_anchor(word: Column) -> Column:
+    """The piece of a word by which its tokens are looked up."""
+    return F.substring(word, 1, ANCHOR)
+
+
+def tokens_with_words(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, palavra, n): tokens that hold a word, and how often. Only tokens that hold its anchor are compared with it."""
+    wanted = words.select("palavra").distinct().withColumn("pedaco", word_anchor(F.col("palavra")))
+    met = pieces.join(wanted, "pedaco").where(F.contains("token", F.col("palavra")))
+    return met.select("token", "palavra", occurrences(F.col("token"), F.col("palavra")).alias("n"))
+
+
+def keyword_scores(tokens: DataFrame, held: DataFrame, words: DataFrame, key: str, query_key: str) -> DataFrame:
+    """Scores of all matching pairs of query and text."""
     counts = tokens.join(held, "token").groupBy(key, "palavra").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
     return counts.join(words, "palavra").groupBy(query_key, key).agg(F.sum(F.col("n") * F.col("vezes")).alias("score"))
 
 
+def _keyword_join(docs, queries, key, text, query_key, query) -> DataFrame:
+    """Scores of all matching pairs, by equality joins.
+
+    A query word holds no white space, so each of its occurrences lies inside one token of a text. The
+    distinct tokens are cut into pieces as long as the words' anchors, and pieces meet anchors by
+    equality; only then is a token searched for the word.
+    """
+    words = query_words(queries, query_key, query)
+    tokens = token_counts(docs, key, text)
+    lengths = words.agg(F.collect_set(F.least(F.length("palavra"), F.lit(ANCHOR)))).scalar()
+    pieces = token_pieces(tokens.select("token").distinct(), lengths)
+    return keyword_scores(tokens, tokens_with_words(pieces, words), words, key, query_key)
+
+
 def _best(scores: DataFrame, query_key: str, order: Column, key: str, k: int) -> DataFrame:
     """Best k per query; the limit is applied before the shuffle as well as after it."""
     ranked = scores.withColumn("posicao", F.row_number().over(Window.partitionBy(query_key).orderBy(order, key)))

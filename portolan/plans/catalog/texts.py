@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portolan.operators import cells, documents, numbering, search
+from portolan.operators import cells, documents, inverted, numbering, search
 from portolan.plans.movements import movements, table
 from portolan.plans.registry import query
 from portolan.session import work_folder
@@ -100,6 +100,31 @@ def keyword_search_many_blanks(spark, d):
     return _keyword_hits(spark, d, 5, ("\u2003", "\u00a0"))
 
 
+def _index(spark, d):
+    """Three batches by language, the second of which ran twice, with the language as a tag."""
+    path = work_folder(spark, "x16")
+    docs = table(spark, d, "documents")
+    for batch, some in (("a", "lang = 'en'"), ("b", "lang = 'de'"), ("b", "lang = 'de'"), ("c", "lang NOT IN ('en', 'de')")):
+        inverted.add(docs.where(some), path, batch, tags=["lang"])
+    return path
+
+
+@query("x16_index_files", """
+WITH t AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+'), lambda w: w <> '')) AS n FROM documents)
+SELECT CASE WHEN lang = 'en' THEN 'a' WHEN lang = 'de' THEN 'b' ELSE 'c' END AS lote, source AS arquivo, count(*) AS registros, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY ALL""")
+def index_files(spark, d):
+    return inverted.read(spark, _index(spark, d), "files").select("lote", "arquivo", "registros", "tokens")
+
+
+@query("x16_index_search", f"WITH {MANY} SELECT query_id, doc_id, score, posicao FROM kr WHERE posicao <= 5")
+def index_search(spark, d):
+    """The scan's hits from the index, after its batches are merged."""
+    path, merged = _index(spark, d), work_folder(spark, "x16")
+    inverted.compact(spark, path, merged)
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return inverted.search_many(spark, merged, queries)
+
+
 def _first_vector(vectors):
     """The vector with the smallest id, as a scalar."""
     return vectors.agg(F.min_by("embedding", "vec_id")).scalar()

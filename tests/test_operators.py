@@ -2,13 +2,14 @@
 
 import datetime
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from portolan.operators import (
-    aggregates, budget, cells, cleaning, conversations, documents, filters, forecast, numbering, profile, questions, ranking,
+    aggregates, budget, cells, cleaning, conversations, documents, filters, forecast, inverted, numbering, profile, questions, ranking,
     ratelimit, schema, search, segments, series, tracking,
 )
 from portolan.sources import logs
@@ -497,3 +498,34 @@ def test_forecast_of_one_group_is_the_global_one(spark):
 
     df = movements(spark, "/root/testdata/sf0.001", "cliente", "ano_mes", "qtd_container").withColumn("g", F.lit(1))
     assert rows_of(forecast.forecast_by(df, ["g"]).drop("g").orderBy("passo")) == rows_of(forecast.forecast(df).orderBy("passo"))
+
+
+def test_inverted_index_gives_the_hits_of_the_scan(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["carga", "cargas", "porto", "portos do", "ab", "a", "Ção", "navio-01", "navionavio"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9))) or None, f"f{i % 3}", "x" if i % 2 else "y") for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, tag string")
+    q = spark.createDataFrame([(1, "carga"), (2, "a navio"), (3, "ção  AB"), (4, "nada"), (5, ""), (6, None), (7, "navionavi")], "query_id int, query string")
+    path = str(tmp_path / "index")
+    for batch in range(3):
+        for _ in range(2):  # every batch runs twice
+            files = inverted.add(d.where(f"doc_id % 3 = {batch}"), path, f"b{batch}", tags=["tag"])
+        assert [tuple(r)[:3] for r in files.collect()] == [(f"f{batch}", 20, sum(len((t or "").split()) for i, t, *_ in docs if i % 3 == batch))]
+    want = sorted(map(tuple, search.keyword_search_many(d, q, 7).collect()))
+    assert sorted(map(tuple, inverted.search_many(spark, path, q, 7).collect())) == want and len(want) > 20
+    inverted.compact(spark, path, str(tmp_path / "merged"))
+    assert sorted(map(tuple, inverted.search_many(spark, str(tmp_path / "merged"), q, 7).collect())) == want
+    tagged = sorted(map(tuple, search.keyword_search_many(d.where("tag = 'x'"), q, 7).collect()))
+    assert sorted(map(tuple, inverted.search_many(spark, path, q, 7, tag="x").collect())) == tagged
+    inverted.add(d.limit(0), path, "b1", tags=["tag"])
+    fewer = sorted(map(tuple, search.keyword_search_many(d.where("doc_id % 3 <> 1"), q, 7).collect()))
+    assert sorted(map(tuple, inverted.search_many(spark, path, q, 7).collect())) == fewer
+
+
+def test_index_search_reads_the_drawers_it_needs(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"palavra{i} outra{i}", "f") for i in range(200)], "doc_id bigint, text string, source string")
+    inverted.add(d, str(tmp_path), "b")
+    q = spark.createDataFrame([(1, "palavra77")], "query_id int, query string")
+    text = inverted.search_many(spark, str(tmp_path), q)._jdf.queryExecution().executedPlan().toString()
+    # One anchor and one token: a drawer of each table, out of 64.
+    assert len(re.findall(r"PartitionFilters: \[[^]]*\(gaveta#\d+ = \d+\)", text)) == 2
