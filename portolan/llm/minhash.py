@@ -6,9 +6,11 @@ share a band value are candidates; a link counts only after the full shingle set
 
 Texts with the same words in the same order form one class and are compared once. Inside a band
 value, texts are first compared with one hub, which joins most of a large group of near copies;
-what still bears different labels is compared in blocks that give label pairs only. So every two
-texts of one band value end up either compared or connected, and no step emits all pairs. All tables between the steps are written to the
-shared folder; links, components and sets never reach the driver.
+what still bears different labels is compared in blocks that give a forest of labels, fewer edges
+than labels. Blocks are compared in two phases: first the largest band value of every text, then
+whatever other band values still hold different labels after the first phase's links. So every two
+texts of one band value end up either compared or connected, and no step emits all pairs. All tables
+between the steps are written to the shared folder; links, components and sets never reach the driver.
 
 Defined results: a text without words (null, empty, blank) has no shingles and no links; fewer
 words than a shingle make one shingle of the whole text; rows without an id take part, and their
@@ -180,41 +182,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return shared.where(100 * F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
+def _joined(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Group numbers of labels (the smallest member's) after joining the groups `of` along pairs a, b of label numbers."""
+    while True:
+        lowest = np.minimum(of[a], of[b])
+        before = of.copy()
+        np.minimum.at(of, of[a], lowest)
+        np.minimum.at(of, of[b], lowest)
+        of = of[of]
+        if (of == before).all():
+            return of
+
+
 def _label_links(bucket_rows: pa.Table, similarity: int) -> pa.Table:
-    """Pairs of labels that some link joins, among the sets of one band value.
+    """A forest of the labels that links join, among the sets of one band value: fewer edges than labels.
 
-    Only sets outside the commonest label are held against all others. Shingles that occur once
-    add nothing to an intersection; the rest become columns of 0 and 1, a block at a time.
+    Only sets outside the commonest label are held against all others, and only until they have joined
+    its group. Shingles that occur once add nothing to an intersection; the rest become columns of 0
+    and 1, a block at a time.
     """
-    labels = bucket_rows.column("label").to_numpy()
+    names, label = np.unique(bucket_rows.column("label").to_numpy(), return_inverse=True)
     lists = bucket_rows.column("shingles").combine_chunks()
     values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    names, counts = np.unique(labels, return_counts=True)
-    rest = np.flatnonzero(labels != names[counts.argmax()])
-    found: list[np.ndarray] = []
+    commonest = int(np.bincount(label).argmax())
+    of = np.arange(len(names))
+    rest = np.flatnonzero(label != commonest)
     if len(rest):
-        row = np.repeat(np.arange(len(labels)), sizes)
+        row = np.repeat(np.arange(len(label)), sizes)
         tokens, code, uses = np.unique(values, return_inverse=True, return_counts=True)
         number = np.cumsum(uses > 1) - 1
         shared = uses[code] > 1
         row, code = row[shared], number[code[shared]]
         order = np.argsort(code, kind="stable")
         row, code = row[order], code[order]
-        columns = max(64, COMPARED_CELLS // len(labels))
+        columns = max(64, COMPARED_CELLS // len(label))
         for lo in range(0, len(rest), columns):
             part = rest[lo:lo + columns]
-            common = np.zeros((len(part), len(labels)), np.float32)
+            part = part[of[label[part]] != of[commonest]]
+            if not len(part):
+                continue
+            common = np.zeros((len(part), len(label)), np.float32)
             for at in range(0, int((uses > 1).sum()), columns):
                 begin, end = np.searchsorted(code, [at, at + columns])
-                block = np.zeros((len(labels), columns), np.float32)
+                block = np.zeros((len(label), columns), np.float32)
                 block[row[begin:end], code[begin:end] - at] = 1
                 common += block[part] @ block.T
             union = sizes[part][:, None] + sizes[None, :] - common
-            i, j = np.nonzero((100 * common >= similarity * union) & (labels[part][:, None] != labels[None, :]))
-            pairs = np.stack([labels[part[i]], labels[j]], axis=1)
-            found.append(np.unique(np.sort(pairs, axis=1), axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+            i, j = np.nonzero((100 * common >= similarity * union) & (of[label[part]][:, None] != of[label][None, :]))
+            of = _joined(of, label[part[i]], label[j])
+    moved = np.flatnonzero(of != np.arange(len(names)))
+    return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[of[moved]], pa.int64())})
 
 
 def _compared(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -241,7 +258,8 @@ def group_classes(members: DataFrame, sets: DataFrame, similarity: int) -> DataF
     members: (bucket, cid) of band values with two classes or more. First every member is compared
     with one hub of its band value, the one with the most candidates; that joins most of a group of
     near copies. A hub has then met all others of the band value and leaves it. Band values whose
-    members still bear several labels are compared in full, in blocks, and give label pairs only.
+    members still bear several labels are compared in full, in blocks that give forests of labels:
+    first the largest one of each member, then the others that are still mixed.
     """
     size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     score = members.join(size, "bucket").groupBy("cid").agg(F.sum("n").alias("score"))
@@ -250,14 +268,22 @@ def group_classes(members: DataFrame, sets: DataFrame, similarity: int) -> DataF
     meet = active.join(hubs, "bucket").where("cid <> hub")
     pairs = meet.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
     links = written(_verified(pairs, sets, similarity), "links")
-    labels = components(links).select(F.col("node").alias("cid"), "label")
-    rest = active.select("bucket", "cid").join(hubs, "bucket").where("cid <> hub").join(labels, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-    rest = written(rest, "rest")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    more = written(_compared(rest.join(mixed, "bucket"), sets, similarity).distinct(), "more")
-    if more.isEmpty():
-        return None if links.isEmpty() else written(labels, "labels")
-    return written(_merged(labels, components(more)), "labels")
+    labels = written(components(links).select(F.col("node").alias("cid"), "label"), "labels")
+    rest = active.select("bucket", "cid").join(hubs, "bucket").where("cid <> hub").select("bucket", "cid")
+    largest = None
+    for phase in range(2):
+        here = written(rest.join(labels, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label")), "rest")
+        mixed = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+        if phase == 0:
+            # Near copies meet in most of their band values; one of them tells most of it.
+            largest = written(here.join(mixed, "bucket").groupBy("cid").agg(F.max(F.struct("n", "bucket")).alias("top")).select(F.col("top.bucket").alias("bucket")).distinct(), "largest")
+            chosen = largest
+        else:
+            chosen = mixed.select("bucket").join(largest, "bucket", "left_anti")
+        more = written(_compared(here.join(chosen, "bucket"), sets, similarity).distinct(), "more")
+        if not more.isEmpty():
+            labels = written(_merged(labels, components(more)), "labels")
+    return None if labels.isEmpty() else labels
 
 
 def _merged(labels: DataFrame, moved: DataFrame) -> DataFrame:

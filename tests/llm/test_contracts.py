@@ -71,6 +71,23 @@ def test_large_near_groups_are_joined_in_blocks(spark, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(plain.components(texts, 2), **KEY)
 
 
+def test_blocks_give_a_forest_of_labels():
+    """600 sets that all link and bear different labels give 599 edges, and two groups stay two."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [np.arange(100)] * 400 + [np.arange(1000, 1100)] * 200
+    sets = [np.unique(np.concatenate([s[:-2], rng.integers(10_000, 2**50, 2)])) for s in sets]
+    labels = rng.permutation(600) + 5
+    found = minhash._label_links(pa.table({"label": pa.array(labels), "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))}), 80).to_pydict()
+    assert len(found["a"]) == 598
+    group = {}
+    for a, b in zip(found["a"], found["b"]):
+        group.setdefault(b, {b}).add(a)
+    assert sorted(group.values(), key=len) == sorted([set(labels[:400].tolist()), set(labels[400:].tolist())], key=len)
+
+
 def test_one_of_each(spark, edge, texts):
     kept = minhash.one_of_each(spark.read.parquet(f"{edge}/documents.parquet"), size=2)
     assert kept.columns[:2] == ["doc_id", "text"] and "tk" in kept.columns
