@@ -55,16 +55,17 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def answers(net: Network, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Filter answers at places lo..hi."""
+    """Filter answers at places lo..hi; a place between texts has none, so that no text sees its neighbour."""
     out = net.taps[0][codes[lo:hi]]
     for w in range(1, WIDTH):
         out += net.taps[w][codes[lo + w:hi + w]]
+    out[codes[lo:hi] == PAD] = -np.inf
     return out
 
 
 def halves_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each half chunk, first half of each text with the total last); every text has one at least."""
-    sizes = np.maximum(-(-np.diff(starts) // HALF), 1)
+    sizes = np.maximum(-(-(np.diff(starts) - (WIDTH - 1)) // HALF), 1)
     first = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return starts[owner] + (np.arange(first[-1]) - first[owner]) * HALF, first
@@ -160,7 +161,7 @@ def _gradients(net: Network, data: np.ndarray, offsets: np.ndarray, labels: np.n
     places, first = halves_of(starts)
     tops, at = pooled_places(net, codes, places, int(starts[-1]))
     values, begin = chunk_values(net, tops, first)
-    rows = features(values, begin)
+    rows = np.where((np.diff(offsets) == 0)[:, None], np.float32(0), features(values, begin))
     p = 1 / (1 + np.exp(-(rows @ net.weights + net.shift[0])))
     error = ((p - labels) / len(labels)).astype(np.float32)
     d_rows = error[:, None] * net.weights
