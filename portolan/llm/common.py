@@ -67,16 +67,19 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i below count."""
-    if len(_POWERS.get("up", ())) < count:
-        size = max(count, STEP_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+    """base**i and its inverse modulo 2**64, for i below count; tables for one step are kept, longer ones are not."""
+    if count <= STEP_BYTES + 1 and _POWERS:
+        return _POWERS["up"], _POWERS["down"]
+    size = max(count, STEP_BYTES + 1)
+    found = {}
+    with np.errstate(over="ignore"):
+        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            found[key] = np.multiply.accumulate(steps)
+    if size == STEP_BYTES + 1:
+        _POWERS.update(found)
+    return found["up"], found["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

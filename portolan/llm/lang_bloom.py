@@ -30,6 +30,8 @@ from portolan.llm.common import held_out, mix, text_steps
 from portolan.llm.sampling import row_sample
 
 SIZES = (3, 4)
+#: Bytes of one text whose n-grams are held at once.
+SLICE = 1 << 20
 TABLE_BITS, PLACES = 18, 3
 KEPT = 4000
 
@@ -52,15 +54,36 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     owner = np.repeat(np.arange(docs), np.diff(offsets))
     codes[np.arange(len(data)) + 2 * owner + 1] = FOLDED[data]
     of = np.repeat(np.arange(docs), np.diff(offsets) + 2)
-    count = len(codes) - size + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, good = _packed(codes, size)
+    good &= of[:len(keys)] == of[len(of) - len(keys):]
+    return keys[good], of[:len(good)][good]
+
+
+def _packed(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every run of `size` codes as a number, and whether it neither begins nor ends with two spaces."""
+    count = max(len(codes) - size + 1, 0)
     keys = np.full(count, np.uint64(size))
     for k in range(size):
         keys = keys << np.uint64(8) | codes[k:k + count]
     blank = codes == 32
-    good = (of[:count] == of[size - 1:]) & ~(blank[:count] & blank[1:count + 1]) & ~(blank[size - 2:size - 2 + count] & blank[size - 1:])
-    return keys[good], of[:count][good]
+    return keys, ~(blank[:count] & blank[1:count + 1]) & ~(blank[size - 2:size - 2 + count] & blank[size - 1:size - 1 + count])
+
+
+def _grams_in_slices(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of a step; a single text longer than SLICE comes in slices that overlap by all but one byte of an n-gram."""
+    if len(offsets) > 2 or len(data) <= SLICE:
+        yield grams_of(data, offsets, size)
+        return
+    for lo in range(0, len(data) + 2, SLICE):
+        # Places lo.. of the text between its two spaces.
+        hi = min(lo + SLICE + size - 1, len(data) + 2)
+        codes = FOLDED[data[max(lo - 1, 0):max(hi - 1, 0)]]
+        if lo == 0:
+            codes = np.concatenate([np.array([32], np.uint64), codes])
+        if hi == len(data) + 2:
+            codes = np.append(codes, np.uint64(32))
+        keys, good = _packed(codes[:hi - lo], size)
+        yield keys[good], np.zeros(int(good.sum()), np.int64)
 
 
 def places(keys: np.ndarray) -> Iterator[np.ndarray]:
@@ -86,15 +109,15 @@ def coverage(filter_: Filter, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     docs = len(offsets) - 1
     hits, totals = np.zeros((docs, len(filter_.languages))), np.zeros(docs)
     for size in SIZES:
-        keys, of = grams_of(data, offsets, size)
-        totals += np.bincount(of, minlength=docs)
-        where = list(places(keys))
-        for p, plane in enumerate(filter_.masks):
-            found = plane[where[0]]
-            for at in where[1:]:
-                found = found & plane[at]
-            for n in range(p * 64, min(p * 64 + 64, len(filter_.languages))):
-                hits[:, n] += np.bincount(of, (found >> np.uint64(n % 64) & np.uint64(1)).astype(np.float64), docs)
+        for keys, of in _grams_in_slices(data, offsets, size):
+            totals += np.bincount(of, minlength=docs)
+            where = list(places(keys))
+            for p, plane in enumerate(filter_.masks):
+                found = plane[where[0]]
+                for at in where[1:]:
+                    found = found & plane[at]
+                for n in range(p * 64, min(p * 64 + 64, len(filter_.languages))):
+                    hits[:, n] += np.bincount(of, (found >> np.uint64(n % 64) & np.uint64(1)).astype(np.float64), docs)
     return np.maximum(hits - totals[:, None] * filter_.chance, 0) / (1 - filter_.chance)
 
 
@@ -108,10 +131,10 @@ def fit(docs: DataFrame, per_language: int = 400) -> Filter:
             languages = np.array(batch.column(0).to_pylist(), object)
             for lo, hi, data, offsets in text_steps(batch.column(1)):
                 for size in SIZES:
-                    keys, of = grams_of(data, offsets, size)
-                    for language in dict.fromkeys(languages[lo:hi]):
-                        found, counts = np.unique(keys[languages[lo:hi][of] == language], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([language] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+                    for keys, of in _grams_in_slices(data, offsets, size):
+                        for language in dict.fromkeys(languages[lo:hi]):
+                            found, counts = np.unique(keys[languages[lo:hi][of] == language], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array([language] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     grams = sample.select("lang", "text").mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n AS n, gram))), 1, {KEPT})").alias("kept"), F.sum("n").alias("all"))

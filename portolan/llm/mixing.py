@@ -5,7 +5,10 @@ their sums over each dimension meet that dimension's targets, then every documen
 the probability that its cell's weight calls for. The table of cells stays a DataFrame, so many
 sources are no matter; a draw depends only on the row, so a rerun draws the same rows.
 
-Defined results: a null text has no tokens; null dimension values are a value of their own;
+Topics stand for any further dimension that a corpus is balanced by; the tables have no column for
+one, so `TOPICS` tags texts by patterns. Give other patterns, or a target for `topic`, as arguments.
+
+Defined results: a null text has no tokens; null dimension values are a value of their own and stay null;
 repeated rows get the same draw; cells without tokens get probability 1 (nothing to weigh); an
 empty table gives no rows. Dimension values without a target share what the named targets leave,
 in proportion to their tokens.
@@ -115,7 +118,8 @@ def drawn(rows: DataFrame, chance: DataFrame) -> DataFrame:
 def calibrated(docs: DataFrame, topics: Mapping[str, str] = TOPICS, seed: int = 0, **options) -> DataFrame:
     """For each row: id, cell, tokens, weight, probability, draw, sampled; texts are read once."""
     rows = written(cell_rows(docs, topics, seed).drop("row"), "cell-rows")
-    return drawn(rows, chances(rows, **options))
+    found = drawn(rows, chances(rows, **options))
+    return found.withColumns({c: F.nullif(F.col(c), F.lit(MISSING)) for c in ("source", "lang")})
 
 
 def sampled_rows(docs: DataFrame, topics: Mapping[str, str] = TOPICS, seed: int = 0, **options) -> DataFrame:

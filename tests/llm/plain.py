@@ -174,3 +174,74 @@ def url_slots(host, path, slots):
 def url_score(host, path, weights):
     at = url_slots(host, path, len(weights) - 1)
     return 1 / (1 + math.exp(-(weights[-1] + (sum(weights[k] for k in at) / math.sqrt(len(at)) if at else 0))))
+
+
+def cnn_score(net, text, width, half):
+    """Forward pass of the byte network over one text, place by place."""
+    data = list((text or "").encode())
+    if not data:
+        return 1 / (1 + math.exp(-float(net.shift[0])))
+    k = len(net.bias)
+    answer = []
+    for p in range(len(data)):
+        window = [data[p + w] if p + w < len(data) else 256 for w in range(width)]
+        answer.append([sum(float(net.taps[w][c][f]) for w, c in enumerate(window)) for f in range(k)])
+    halves = [[max(a[f] for a in answer[lo:lo + half]) for f in range(k)] for lo in range(0, len(answer), half)]
+    chunks = [[max(x) for x in zip(a, b)] for a, b in zip(halves, halves[1:])] or halves
+    values = [[math.tanh(v + float(net.bias[f])) for f, v in enumerate(c)] for c in chunks]
+    row = [g(c[f] for c in values) for g in (max, lambda x: sum(x) / len(values), min) for f in range(k)]
+    return 1 / (1 + math.exp(-(sum(r * float(w) for r, w in zip(row, net.weights)) + float(net.shift[0]))))
+
+
+def _mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 31
+
+
+def byte_grams(text, size):
+    """Runs of bytes of the folded text between two spaces, none with two spaces side by side."""
+    folded = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    padded = b" " + folded + b" "
+    runs = [padded[k:k + size] for k in range(len(padded) - size + 1)]
+    return [r for r in runs if r[:2] != b"  " and r[-2:] != b"  "]
+
+
+def language_counts(filter_, text, sizes, table_bits, places):
+    """Corrected counts by language, testing every n-gram in every language's plane by itself."""
+    out = []
+    grams = [(size, g) for size in sizes for g in byte_grams(text, size)]
+    for n in range(len(filter_.languages)):
+        plane, bit, hits = filter_.masks[n // 64], n % 64, 0
+        for size, gram in grams:
+            key = size
+            for b in gram:
+                key = (key << 8 | b) & (1 << 64) - 1
+            spots = [_mixed(key ^ ((k + 1) << 56)) >> 64 - table_bits for k in range(places)]
+            hits += all(int(plane[at]) >> bit & 1 for at in spots)
+        chance = float(filter_.chance[n])
+        out.append(max(hits - len(grams) * chance, 0) / (1 - chance))
+    return out
+
+
+def chain_scores(chain, found, counts):
+    """Forward pass of the classifier chain. found: how often each kept term occurs; counts: words of the text."""
+    values = [float(f > 0) for f in found] + [math.log1p(100 * f / max(counts, 20)) for f in found]
+    out = []
+    for w in chain.weights:
+        earlier = [math.log(p / (1 - p)) for p in (min(max(q, 1e-4), 1 - 1e-4) for q in out)]
+        z = sum(v * float(x) for v, x in zip([*values, *earlier], w[:-1])) + float(w[-1])
+        out.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+    return out
+
+
+def raked(cells, targets, rounds=400):
+    """cells: tokens by (value, value, ...); targets: share by value, one dict per dimension. Weights after many rounds."""
+    weight = {c: float(t) for c, t in cells.items() if t > 0}
+    for _ in range(rounds):
+        for d, target in enumerate(targets):
+            sums = collections.Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * target[c[d]] / sums[c[d]] for c, w in weight.items()}
+    return weight
