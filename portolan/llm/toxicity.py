@@ -80,7 +80,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 150) -> np.ndarray:
     """Logistic regression with a shift, by accelerated gradient steps."""
-    rows = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    rows = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1, dtype=np.float32)
     y = y.astype(np.float32)
     if not 0 < y.mean() < 1:
         return np.concatenate([np.zeros(x.shape[1]), _logit(np.array([y.mean() if len(y) else 0.0]))])
@@ -102,7 +102,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int
 
 def train(terms: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
     """x: term values; labels: (rows, categories); fold: a fold number by row."""
-    weights, earlier = [], np.zeros((len(x), 0))
+    weights, earlier = [], np.zeros((len(x), 0), np.float32)
     for c in range(labels.shape[1]):
         rows = np.concatenate([x, earlier], axis=1)
         weights.append(_fit_linear(rows, labels[:, c]))
@@ -110,7 +110,7 @@ def train(terms: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray
         for f in np.unique(fold):
             w = _fit_linear(rows[fold != f], labels[fold != f, c])
             unseen[fold == f] = rows[fold == f] @ w[:-1] + w[-1]
-        earlier = np.concatenate([earlier, _logit(_sigmoid(unseen))[:, None]], axis=1)
+        earlier = np.concatenate([earlier, _logit(_sigmoid(unseen))[:, None].astype(np.float32)], axis=1)
     return Chain(terms, weights)
 
 
@@ -168,18 +168,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORI
         for batch in batches:
             for lo, hi, data, offsets in text_steps(batch.column(n + 1)):
                 values = values_of(terms, *terms_of(data, offsets))
-                some = [np.flatnonzero(row) for row in values]
+                # Packed, so that the driver holds bytes and no objects for the values of a row.
+                some = [np.flatnonzero(row).astype("<i4") for row in values]
                 yield pa.RecordBatch.from_arrays([
-                    *[batch.column(k).slice(lo, hi - lo) for k in range(n + 1)], pa.array(some, pa.list_(pa.int32())),
-                    pa.array([row[at] for row, at in zip(values, some)], pa.list_(pa.float32()))], names=["doc_id", *categories, "at", "value"])
+                    *[batch.column(k).slice(lo, hi - lo) for k in range(n + 1)], pa.array([at.tobytes() for at in some], pa.binary()),
+                    pa.array([row[at].astype("<f4").tobytes() for row, at in zip(values, some)], pa.binary())], names=["doc_id", *categories, "at", "value"])
 
-    schema = ", ".join(["doc_id long", *[f"{c} int" for c in categories], "at array<int>", "value array<float>"])
+    schema = ", ".join(["doc_id long", *[f"{c} int" for c in categories], "at binary", "value binary"])
     rows = sample.mapInArrow(work, schema).withColumn("order", F.xxhash64("doc_id")).orderBy("order").collect()
     if not rows:
         return Chain(np.zeros(0, np.uint64), [np.array([0.0] * k + [-9.0]) for k in range(n)])
     x = np.zeros((len(rows), 2 * len(terms)), np.float32)
     for k, r in enumerate(rows):
-        x[k, r["at"]] = r["value"]
+        x[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["value"], "<f4")
     return train(terms, x, np.array([[r[c] for c in categories] for r in rows], np.float64), np.array([r["order"] % FOLDS for r in rows]))
 
 
