@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable, Mapping
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,24 +32,43 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _latin_folding() -> tuple[str, str]:
-    """Letters whose compatibility form is one ASCII letter plus marks."""
-    source, target = [], []
-    blocks = (range(0x00A0, 0x0250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F))
-    for code in (code for block in blocks for code in block):
+@cache
+def _folding() -> tuple[str, str, str, tuple[str, ...]]:
+    """ASCII forms of all characters that have one under compatibility decomposition.
+
+    Gives characters with a form of one letter and those letters, then characters with a longer form and
+    those forms. Each character decomposes by itself, so a text's form is that of its characters in turn.
+    """
+    one, letters, more, forms = [], [], [], []
+    for code in range(0x80, 0x20000):
+        if 0xD800 <= code < 0xE000:
+            continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
-            source.append(chr(code))
-            target.append(plain)
-    return "".join(source), "".join(target)
+            one.append(chr(code))
+            letters.append(plain)
+        elif plain:
+            more.append(chr(code))
+            forms.append(plain)
+    return "".join(one), "".join(letters), "".join(more), tuple(forms)
+
+
+def _unfolded(text: Column) -> Column:
+    """Characters that stand for several letters or digits (ligatures, fractions, enclosed and squared forms) written out."""
+    _, _, more, forms = _folding()
+    parts = F.split(F.lit("\n".join(forms)), "\n")
 
+    def spelled(c: Column) -> Column:
+        return F.coalesce(F.try_element_at(parts, F.nullif(F.instr(F.lit(more), c), F.lit(0))), c)
 
-_FOLD_FROM, _FOLD_TO = _latin_folding()
+    written = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), spelled), "")
+    return F.when(text.rlike(f"[{more}]"), written).otherwise(text)
 
 
 def normalize_text(c: Column | str) -> Column:
-    """Strip accents, drop what is left outside ASCII, lower-case and trim."""
-    folded = F.translate(_col(c), _FOLD_FROM, _FOLD_TO)
+    """Compatibility forms, no accents, nothing outside ASCII, lower case, trimmed."""
+    one, letters, _, _ = _folding()
+    folded = F.translate(_unfolded(_col(c)), one, letters)
     ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
     return F.trim(F.lower(ascii_only), F.lit(ASCII_SPACE))
 

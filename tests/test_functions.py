@@ -23,7 +23,7 @@ def test_parse_revenue(spark):
 
 def test_normalize_text(spark):
     names = ["AÇÃO", " São José\t", "ímpar", None, "№ ½x", "Ｆｕｌｌ"]
-    assert values(spark, "string", names, text.normalize_text("v")) == ["acao", "sao jose", "impar", None, "x", "full"]
+    assert values(spark, "string", names, text.normalize_text("v")) == ["acao", "sao jose", "impar", None, "no 12x", "full"]
 
 
 def test_format_fixed_is_python_format(spark):
@@ -64,3 +64,21 @@ def test_occurrences_do_not_overlap(spark):
 
 def test_safe_name(spark):
     assert values(spark, "string", [" Plan: A/B ção (1).x "], text.safe_name("v")) == ["Plan_AB_ção_1.x"]
+
+
+def test_normalizing_is_compatibility_folding(spark):
+    """Against the standard library: the whole range by itself, and characters in the middle of texts."""
+    import random
+    import unicodedata
+
+    def want(text):
+        return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower().strip(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
+
+    rng = random.Random(6)
+    given = ["ﬁm", "½", "①", "Ⅻ", "ﬀ", "São José ﬂuß", "㎏ ™ …", "𝐀𝟙", "Å̊", "한글 a", "", None, "a b", "\n½\n"]
+    codes = [c for c in range(1, 0x2000) if not 0xD800 <= c < 0xE000] + list(range(0x2000, 0x3400)) + list(range(0xF900, 0x10000)) + list(range(0x1D400, 0x1D800)) + list(range(0x1F100, 0x1F200))
+    given += ["x" + chr(c) + "y" for c in codes] + ["".join(chr(rng.choice(codes)) for _ in range(8)) for _ in range(500)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = {r["i"]: r["n"] for r in frame.select("i", text.normalize_text("t").alias("n")).collect()}
+    wrong = [(t, got[i], want(t)) for i, t in enumerate(given) if t is not None and got[i] != want(t)]
+    assert not wrong and got[given.index(None)] is None
