@@ -215,6 +215,41 @@ def window_kpis_stream(spark, d):
     return _plain_windows(spark.read.parquet(f"{folder}/out"))
 
 
+ROLLING = """SELECT CAST(date_trunc('day', ts) - to_days(k) AS TIMESTAMP) AS inicio, CAST(date_trunc('day', ts) - to_days(k) + INTERVAL 7 DAY AS TIMESTAMP) AS fim, event_type, count(*) AS eventos,
+ CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, true AS pessoas_perto FROM events, (SELECT CAST(unnest(range(7)) AS INTEGER) AS k) GROUP BY ALL"""
+
+
+def _near_exact(spark, d, found):
+    """The estimate of different users, held against their exact number in each window: within 5 percent."""
+    days = F.sequence(F.lit(0), F.lit(6))
+    exact = table(spark, d, "events").select("event_type", "user_id", F.explode(days).alias("k"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("dia")).withColumn(
+        "inicio", F.expr("dia - make_dt_interval(k)")).groupBy("inicio", "event_type").agg(F.count_distinct("user_id").alias("exato"))
+    near = F.abs(F.col("pessoas") - F.col("exato")) <= 0.05 * F.col("exato") + 0.5
+    return _plain_windows(found.join(exact, ["inicio", "event_type"]).withColumn("pessoas_perto", near)).select("inicio", "fim", "event_type", "eventos", "total", "pessoas_perto")
+
+
+@query("t7_rolling_kpis", ROLLING)
+def rolling_kpis(spark, d):
+    return _near_exact(spark, d, jobs.rolling_kpis(table(spark, d, "events")))
+
+
+@query("t7_rolling_kpis_stream", ROLLING)
+def rolling_kpis_stream(spark, d):
+    """Every window comes out once; an event far behind the others lets the last ones close."""
+    folder = work_folder(spark, "t7r")
+    events = table(spark, d, "events")
+    for part in range(2):  # in order of time, half each
+        half = F.col("ts") < events.agg(F.expr("percentile_approx(ts, 0.5)")).scalar()
+        events.where(half if part == 0 else ~half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for days in (60, 61):
+        after = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumns({"event_type": F.lit("depois"), "ts": F.col("ts") + F.make_dt_interval(F.lit(days))})
+        after.write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.stream_table(spark, f"{folder}/in", events.schema, files_per_trigger=1)
+    found = jobs.rolling_kpis(stream)
+    jobs.write_stream(found, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _near_exact(spark, d, spark.read.schema(found.schema).parquet(f"{folder}/out").where("event_type <> 'depois'"))
+
+
 @query("t3_incremental_refresh", "SELECT event_id, user_id, event_type, props, value FROM events")
 def incremental_refresh(spark, d):
     folder = work_folder(spark, "t3")

@@ -53,6 +53,24 @@ def window_kpis(events: DataFrame, time: str = "ts", window: str = "1 day", key:
              F.col("total").cast("double").alias("total"))
 
 
+def rolling_kpis(events: DataFrame, time: str = "ts", size: str = "7 days", slide: str = "1 day", key: str = "event_type", value: str = "value", who: str = "user_id") -> DataFrame:
+    """Events, totals and about how many different `who` per rolling window and key; for batch and stream alike.
+
+    Events are first summed by pane, a tumbling window of one slide, so each event is read into one sum;
+    rolling windows then share the sums and sketches of their panes. On a stream, panes and windows
+    leave the state once the watermark is past their end, and every window comes out once (``append``).
+    Events without a time belong to no window.
+    """
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    if events.isStreaming:
+        rows = rows.withWatermark(time, WATERMARK)
+    panes = rows.where(F.col(time).isNotNull()).groupBy(F.window(time, slide).alias("pane"), key).agg(
+        F.count(F.lit(1)).alias("eventos"), F.sum(F.col(value).cast("decimal(18,4)")).alias("total"), F.hll_sketch_agg(who).alias("quem"))
+    shared = panes.groupBy(F.window(F.window_time("pane"), size, slide).alias("janela"), key).agg(
+        F.sum("eventos").alias("eventos"), F.sum("total").cast("double").alias("total"), F.hll_sketch_estimate(F.hll_union_agg("quem")).alias("pessoas"))
+    return shared.select(F.col("janela.start").alias("inicio"), F.col("janela.end").alias("fim"), key, "eventos", "total", "pessoas")
+
+
 def write_stream(frame: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a streaming frame over all available input into a Parquet folder."""
     def replace(batch: DataFrame, _: int) -> None:
