@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.functions.membership import may_hold
 from portolan.functions.numbers import percent_change
 from portolan.functions.text import any_of, fold_accents, normalize_text
 from portolan.operators import aggregates as agg
@@ -104,23 +106,28 @@ def category_of(question: Column) -> Column:
     return F.when(text.rlike(r"\bimporta"), "importacao").when(text.rlike(r"\bexporta"), "exportacao")
 
 
-def match_entities(questions: DataFrame, entities: DataFrame, key: str, text: str, entity: str = "entidade") -> DataFrame:
-    """Longest entity contained in every question (alphabetical on ties): rows (key, entity).
+def match_all(questions: DataFrame, dictionaries: Mapping[str, DataFrame], key: str, text: str, entity: str = "entidade") -> DataFrame:
+    """Longest entity of every dictionary that a question contains (alphabetical on ties): the key and a column per dictionary.
 
-    Each question is cut into its pieces of the lengths entities have, and pieces
-    meet entities by equality: no question is compared with an entity it does not
-    hold. The set of lengths is bounded by the longest name.
+    A question is read once for all dictionaries. It is cut into its pieces of the lengths entities have;
+    where they are cut, pieces are held against a bitmap of all entities, and only those that may be
+    one are shuffled to meet the dictionaries by equality. Questions that hold no entity give no row;
+    blank entities are no entity.
     """
-    lengths = entities.agg(F.collect_set(F.length(entity))).scalar()
-    normal = questions.select(key, normalize_text(F.col(text)).alias("q"))
-    pieces = (
-        normal.select(key, "q", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("q"))
-        .select(key, "q", "n", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1)).alias("i"))
-        .select(key, F.col("q").substr(F.col("i"), F.col("n")).alias(entity))
-    )
-    found = pieces.join(entities.select(entity), entity)
-    best = found.groupBy(key).agg(F.min(F.struct((-F.length(entity)).alias("n"), F.col(entity).alias("e"))).alias("b"))
-    return best.select(key, F.col("b.e").alias(entity))
+    named = reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("_tipo"), F.col(entity).alias("_e")) for kind, d in dictionaries.items()]).where("_e <> ''").distinct()
+    lengths = named.agg(F.collect_set(F.length("_e"))).scalar()
+    normal = questions.select(key, normalize_text(F.col(text)).alias("_q"))
+    cut = normal.select(key, "_q", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("_q"))
+    cut = cut.select(key, "_q", "_n", F.explode(F.sequence(F.lit(1), F.length("_q") - F.col("_n") + 1)).alias("_i"))
+    pieces = cut.select(key, F.col("_q").substr(F.col("_i"), F.col("_n")).alias("_e")).where(may_hold(named, "_e")(F.col("_e")))
+    found = pieces.distinct().join(named, "_e")
+    best = [F.min(F.when(F.col("_tipo") == kind, F.struct((-F.length("_e")).alias("n"), F.col("_e").alias("e")))).alias(kind) for kind in dictionaries]
+    return found.groupBy(key).agg(*best).select(key, *[F.col(f"`{kind}`.e").alias(kind) for kind in dictionaries])
+
+
+def match_entities(questions: DataFrame, entities: DataFrame, key: str, text: str, entity: str = "entidade") -> DataFrame:
+    """Longest entity contained in every question (alphabetical on ties): rows (key, entity)."""
+    return match_all(questions, {entity: entities}, key, text, entity)
 
 
 def question_filters(questions: DataFrame, clients: DataFrame, ports: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,9 +140,8 @@ def question_filters(questions: DataFrame, clients: DataFrame, ports: DataFrame,
         F.when((kind != "comparacao") & year_of(q).isNotNull(), month_of(q)).alias("mes"),
         F.when(kind == "comparacao", comparison_period(q)).alias("_periodo"),
     )
-    client = match_entities(questions, clients, key, text).withColumnRenamed("entidade", "cliente")
-    port = match_entities(questions, ports, key, text).withColumnRenamed("entidade", "porto")
-    return base.join(client, key, "left").join(port, key, "left").select(
+    named = match_all(questions, {"cliente": clients, "porto": ports}, key, text)
+    return base.join(named, key, "left").select(
         key, "tipo_analise", "cliente", "porto", "categoria", "ano", "mes",
         F.col("_periodo.inicio").alias("data_inicio"), F.col("_periodo.fim").alias("data_fim"))
 

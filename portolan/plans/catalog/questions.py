@@ -97,9 +97,8 @@ def _ports(spark, d):
 @query("n4_entities", f"WITH {QUESTIONS}, {ENTITIES} SELECT id, ec.e AS cliente, ep.e AS porto FROM qs LEFT JOIN ec USING (id) LEFT JOIN ep USING (id)")
 def entities(spark, d):
     asked = _questions(spark, d)
-    client = questions.match_entities(asked, _clients(spark, d), "id", "pergunta").withColumnRenamed("entidade", "cliente")
-    port = questions.match_entities(asked, _ports(spark, d), "id", "pergunta").withColumnRenamed("entidade", "porto")
-    return asked.select("id").join(client, "id", "left").join(port, "id", "left")
+    named = questions.match_all(asked, {"cliente": _clients(spark, d), "porto": _ports(spark, d)}, "id", "pergunta")
+    return asked.select("id").join(named, "id", "left")
 
 
 @query("j3_entity_match", f"WITH {QUESTIONS}, {ENTITIES} SELECT id, e AS entidade FROM ec")

@@ -529,3 +529,26 @@ def test_index_search_reads_the_drawers_it_needs(spark, tmp_path):
     text = inverted.search_many(spark, str(tmp_path), q)._jdf.queryExecution().executedPlan().toString()
     # One anchor and one token: a drawer of each table, out of 64.
     assert len(re.findall(r"PartitionFilters: \[[^]]*\(gaveta#\d+ = \d+\)", text)) == 2
+
+
+def test_entities_of_several_dictionaries_in_one_pass(spark):
+    rng = random.Random(3)
+    names = {k: sorted({"".join(rng.choices("abc ", k=rng.randint(1, 6))).strip() or "a" for _ in range(40)}) for k in ("x", "y")}
+    names["y"] += ["", "a" * 30]
+    asked = [(i, "".join(rng.choices("abcdé  ", k=rng.randint(0, 25)))) for i in range(200)] + [(900, None), (901, ""), (902, "a" * 500), (903, "Á")]
+    q = spark.createDataFrame(asked, "id int, t string")
+    got = {r["id"]: (r["x"], r["y"]) for r in questions.match_all(q, {k: spark.createDataFrame([(v,) for v in vs], "entidade string") for k, vs in names.items()}, "id", "t").collect()}
+    for i, t in asked:
+        plain = (t or "").lower().replace("é", "e").replace("á", "a").strip()
+        want = tuple(min([v for v in names[k] if v and v in plain], key=lambda v: (-len(v), v), default=None) for k in ("x", "y"))
+        assert got.get(i, (None, None)) == want, (i, t)
+
+
+def test_pieces_are_held_against_the_entities_before_they_move(spark):
+    q = spark.range(50).selectExpr("CAST(id AS INT) AS id", "concat(repeat('z', 200), ' ana ', id) AS t")
+    e = spark.createDataFrame([("ana",), ("anabela",)], "entidade string")
+    matched = questions.match_entities(q, e, "id", "t")
+    text = matched._jdf.queryExecution().executedPlan().toString()
+    shuffled = text[text.index("hashpartitioning"):]
+    assert "Python" not in text and shuffled.index("xxhash64") < shuffled.index("Generate explode")
+    assert matched.where("entidade = 'ana'").count() == 50
