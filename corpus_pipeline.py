@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from portolan.llm import minhash, mixing, quality_rules, token_files, winnow
-from portolan.llm.common import read, written
+from portolan.llm.common import read, scratch, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote on its way goes once its rows are written.
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", kept=True)
     return docs

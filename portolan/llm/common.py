@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the cluster's shared folder; lost executors then cost no recomputing."""
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """The rows of df from a table in the cluster's shared folder; lost executors then cost no recomputing.
+
+    Inside `scratch` the table goes with the others of its block, unless it is kept.
+    """
     path = work_folder(df.sparkSession, name)
+    if _SCRATCH and not kept:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; whatever is to outlive the block is written with `kept` before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once, in one row."""
     return F.transform(F.array(value), body)[0]

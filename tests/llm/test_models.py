@@ -114,7 +114,14 @@ def test_pipeline_stages_against_brute_force(spark, small):
             assert after == drawn and len(after) > 0.5 * len(ids)
         now = spark.createDataFrame(now.collect(), docs.schema)
         now_before = now
+    import os
+
+    from portolan.session import shared_folder
+
+    earlier = set(os.listdir(shared_folder(spark)))
     assert corpus_pipeline.run(spark, small).count() == len(before)
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(shared_folder(spark))) - earlier)
+    assert left == sorted(["tokens", *[f"stage-{name}" for name, _ in corpus_pipeline.STAGES]])
 
 
 # --- samples and odd labels ----------------------------------------------------------------------
