@@ -125,24 +125,34 @@ def _same_ahead(a: str, b: str) -> Column:
     return F.when(at == 0, F.size(equal)).otherwise(at - 1).cast("int")
 
 
-def hit_runs(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(rows, runs): rows (id, tk, n_words, digest); runs (digest, start, end, item_id) in words."""
-    items = written(prints(_keyed(benchmark, "item_id"), span, k, None, None).select("id", F.explode("prints").alias("p")).select("id", "p.*"), "item-prints")
+def hit_runs(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, runs, members): rows (id, tk, n_words, digest); runs (digest, start, end, class) in words; members (class, item_id).
+
+    Items that hold the same words around a kept hash meet texts as one, and items that always come
+    together are one class, so a passage that many items share meets a text once for each hash.
+    """
+    items = written(prints(_keyed(benchmark, "item_id"), span, k, None, None).select("id", F.explode("prints").alias("p")).select("id", "p.fp", "p.size", "p.gram", "p.lefts", "p.rights").distinct(), "item-prints")
     lengths = sorted(r[0] for r in items.where(F.col("size") < span).select("size").distinct().collect())
     rows = written(prints(_keyed(docs, "doc_id"), span, k, lengths, key_bitmap(items, "fp")), "prints")
     once = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("prints").alias("prints"))
     mine = once.select("digest", F.explode("prints").alias("p")).select("digest", "p.*")
-    theirs = items.select("fp", "size", F.col("gram").alias("gram_"), F.col("lefts").alias("lefts_"), F.col("rights").alias("rights_"), F.col("id").alias("item_id")).distinct()
-    met = mine.join(theirs, ["fp", "size"]).where(F.col("gram") == F.col("gram_"))
-    grown = met.select("digest", "item_id", "size", "pos", F.size("gram").alias("n"), _same_ahead("lefts", "lefts_").alias("l"), _same_ahead("rights", "rights_").alias("r"))
+    # A class is told by 128 bits of its items, whatever their order.
+    words = ["fp", "size", "gram", "lefts", "rights"]
+    name = F.struct(F.expr("bit_xor(xxhash64(1, id))").alias("x"), F.expr("bit_xor(xxhash64(2, id))").alias("y"), F.count(F.lit(1)).alias("n"))
+    theirs = written(items.groupBy(*words).agg(name.alias("class")), "item-classes")
+    members = items.join(theirs, words).select("class", F.col("id").alias("item_id")).distinct()
+    met = mine.join(theirs.select("fp", "size", F.col("gram").alias("gram_"), F.col("lefts").alias("lefts_"), F.col("rights").alias("rights_"), "class"), ["fp", "size"]).where(F.col("gram") == F.col("gram_"))
+    grown = met.select("digest", "class", "size", "pos", F.size("gram").alias("n"), _same_ahead("lefts", "lefts_").alias("l"), _same_ahead("rights", "rights_").alias("r"))
     runs = grown.where(F.col("l") + F.col("n") + F.col("r") >= F.col("size"))
-    return rows.drop("prints"), runs.select("digest", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("n") + F.col("r")).alias("end"), "item_id")
+    return rows.drop("prints"), runs.select("digest", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("n") + F.col("r")).alias("end"), "class"), members
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """For each row: doc_id, tk, n_words, n_hit, spans of hit words, item_ids (sorted as text), contaminated."""
-    rows, runs = hit_runs(docs, benchmark, span, k)
-    found = runs.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    rows, runs, members = hit_runs(docs, benchmark, span, k)
+    runs = written(runs.distinct(), "runs")
+    held = runs.select("digest", "class").distinct().join(members, "class").groupBy("digest").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    found = runs.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs")).join(held, "digest")
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     n_hit = F.aggregate("runs", start, lambda a, x: F.struct(
         F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["upto"]))).alias("n")), lambda a: a["n"])

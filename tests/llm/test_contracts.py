@@ -214,3 +214,15 @@ def test_one_row_per_document(spark, edge, texts, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
+
+
+def test_items_of_one_passage_meet_a_text_as_one(spark):
+    """40 items around one passage of 400 words, some 130 kept hashes: a text meets all of them as one but at the ends, and all 40 are reported."""
+    passage = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, "before " + passage + " after"), (2, passage), (3, "w1 w2 w3 only")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"a{i} b{i} {passage} c{i}") for i in range(40)] + [(99, "w1 w2 w3 only")], "item_id long, text string")
+    _, runs, members = winnow.hit_runs(docs, items)
+    assert runs.count() < 1000 and members.count() >= 41
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in winnow.contamination(docs, items).collect()}
+    want = plain.contamination([(1, "before " + passage + " after"), (2, passage), (3, "w1 w2 w3 only")], [(i, f"a{i} b{i} {passage} c{i}") for i in range(40)] + [(99, "w1 w2 w3 only")])
+    assert {i: (n, len(x)) for i, (n, x) in got.items()} == {i: (n, m) for i, _, n, m, *_ in want}
