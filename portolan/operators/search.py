@@ -152,22 +152,31 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
 
 
-def _costs(rows: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, cost) of every pair that may be among the k cheapest of its query.
+def _near_distances(rows: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """Squared distances of the k nearest rows of each query by difference; infinite for the rest.
 
-    A product of matrices finds them. For distances its rounding error is bounded by the sizes of the
-    vectors; all pairs within twice that bound of the k-th are measured again by difference.
+    A product of matrices finds them: its rounding error is bounded by the sizes of the vectors, and
+    all rows within twice that bound of the k-th are measured again.
     """
-    product = rows @ queries.T
-    if metric == "inner":
-        rough, slack = -product, 0.0
-    else:
-        sizes, wanted = (rows**2).sum(1), (queries**2).sum(1)
-        rough = sizes[:, None] + wanted[None, :] - 2 * product
-        slack = 16 * rows.shape[1] * np.finfo(float).eps * (sizes.max() + wanted)
+    sizes, wanted = (rows**2).sum(1), (queries**2).sum(1)
+    rough = sizes[:, None] + wanted[None, :] - 2 * (rows @ queries.T)
+    error = 8 * rows.shape[1] * np.finfo(float).eps * (sizes.max() + wanted)
     last = min(k, len(rows)) - 1
-    i, j = np.nonzero(rough <= np.partition(rough, last, axis=0)[last] + slack)
-    return i, j, rough[i, j] if metric == "inner" else ((rows[i] - queries[j]) ** 2).sum(1)
+    i, j = np.nonzero(rough <= np.partition(rough, last, axis=0)[last] + 2 * error)
+    out = np.full(rough.shape, np.inf)
+    out[i, j] = ((rows[i] - queries[j]) ** 2).sum(1)
+    return out
+
+
+def _costs(rows: np.ndarray, queries: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cost) of every pair that may be among the k cheapest of its query, equal costs included."""
+    if metric == "l2":
+        cost = _near_distances(rows, queries, k)
+        i, j = np.nonzero(np.isfinite(cost))
+    else:
+        cost, last = -(rows @ queries.T), min(k, len(rows)) - 1
+        i, j = np.nonzero(cost <= np.partition(cost, last, axis=0)[last])
+    return i, j, cost[i, j]
 
 
 def _cheapest(row: np.ndarray, query: np.ndarray, cost: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
