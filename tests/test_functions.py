@@ -82,3 +82,9 @@ def test_normalizing_is_compatibility_folding(spark):
     got = {r["i"]: r["n"] for r in frame.select("i", text.normalize_text("t").alias("n")).collect()}
     wrong = [(t, got[i], want(t)) for i, t in enumerate(given) if t is not None and got[i] != want(t)]
     assert not wrong and got[given.index(None)] is None
+
+
+def test_long_forms_are_few_ranges_and_long_texts_are_read(spark):
+    _, _, more, _ = text._folding()
+    assert len(text._ranges(more)) < 200 < len(more)
+    assert values(spark, "string", ["é½" + "a b" * 100_000 + "№ 한€"], text.normalize_text("v")) == ["e12" + "a b" * 100_000 + "no"]
