@@ -17,6 +17,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str], name: str = "entidade") -> DataFrame:
-    """Distinct normalised values over several columns."""
-    cells = F.array(*[normalize_text(F.col(c)) for c in columns])
-    return df.select(F.explode(cells).alias(name)).where(f"{name} is not null and {name} <> ''").distinct()
+    """Distinct normalised values over several columns; values that repeat are normalised once."""
+    cells = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias(name)).where(f"{name} is not null").distinct()
+    return cells.select(normalize_text(name).alias(name)).where(f"{name} <> ''").distinct()
