@@ -106,6 +106,11 @@ def category_of(question: Column) -> Column:
     return F.when(text.rlike(r"\bimporta"), "importacao").when(text.rlike(r"\bexporta"), "exportacao")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks: a question is few bytes and much work, so tasks by size of the input would be few and long."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def match_all(questions: DataFrame, dictionaries: Mapping[str, DataFrame], key: str, text: str, entity: str = "entidade") -> DataFrame:
     """Longest entity of every dictionary that a question contains (alphabetical on ties): the key and a column per dictionary.
 
@@ -116,11 +121,11 @@ def match_all(questions: DataFrame, dictionaries: Mapping[str, DataFrame], key:
     """
     named = reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("_tipo"), F.col(entity).alias("_e")) for kind, d in dictionaries.items()]).where("_e <> ''").distinct()
     lengths = named.agg(F.collect_set(F.length("_e"))).scalar()
-    normal = questions.select(key, normalize_text(F.col(text)).alias("_q"))
+    normal = _spread(questions.select(key, text)).select(key, normalize_text(F.col(text)).alias("_q"))
     cut = normal.select(key, "_q", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("_q"))
     cut = cut.select(key, "_q", "_n", F.explode(F.sequence(F.lit(1), F.length("_q") - F.col("_n") + 1)).alias("_i"))
     pieces = cut.select(key, F.col("_q").substr(F.col("_i"), F.col("_n")).alias("_e")).where(may_hold(named, "_e")(F.col("_e")))
-    found = pieces.distinct().join(named, "_e")
+    found = pieces.join(named, "_e")  # a piece that comes twice changes no longest one
     best = [F.min(F.when(F.col("_tipo") == kind, F.struct((-F.length("_e")).alias("n"), F.col("_e").alias("e")))).alias(kind) for kind in dictionaries]
     return found.groupBy(key).agg(*best).select(key, *[F.col(f"`{kind}`.e").alias(kind) for kind in dictionaries])
 
@@ -134,7 +139,7 @@ def question_filters(questions: DataFrame, clients: DataFrame, ports: DataFrame,
     """One filter row per question. A year without a month filters by year alone."""
     q = F.col(text)
     kind = intent(q)
-    base = questions.select(
+    base = _spread(questions.select(key, text)).select(
         key, kind.alias("tipo_analise"), category_of(q).alias("categoria"),
         F.when(kind != "comparacao", year_of(q)).alias("ano"),
         F.when((kind != "comparacao") & year_of(q).isNotNull(), month_of(q)).alias("mes"),
