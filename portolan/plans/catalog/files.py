@@ -73,10 +73,17 @@ def csv_encodings(spark, d):
     return back.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "nome")
 
 
+# Bytes of text in one file of whole texts.
+FILE_BYTES = 1 << 23
+
+
 @query("s6_whole_texts", "SELECT md5(text) AS md5, CAST(length(text) AS INTEGER) AS tamanho, count(*) AS copias FROM documents GROUP BY ALL")
 def whole_texts(spark, d):
     folder = work_folder(spark, "s6")
-    table(spark, d, "documents").select("text").write.option("lineSep", "\u001e").text(folder)
+    texts = table(spark, d, "documents").select("text")
+    # A file is read whole, so files are kept to some megabytes of text.
+    files = texts.agg(F.ceil(F.sum(F.octet_length("text")) / FILE_BYTES).cast("int")).first()[0] or 1
+    texts.repartition(files).write.option("lineSep", "\u001e").text(folder)
     files = tables.read_documents(spark, folder)
     texts = files.select(F.explode(F.split(F.rtrim("texto", F.lit("\u001e")), "\u001e")).alias("text"))
     return texts.groupBy(F.md5("text").alias("md5"), F.length("text").alias("tamanho")).agg(F.count(F.lit(1)).alias("copias"))
