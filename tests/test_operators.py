@@ -552,3 +552,50 @@ def test_pieces_are_held_against_the_entities_before_they_move(spark):
     shuffled = text[text.index("hashpartitioning"):]
     assert "Python" not in text and shuffled.index("xxhash64") < shuffled.index("Generate explode")
     assert matched.where("entidade = 'ana'").count() == 50
+
+
+def test_keyword_tiles_are_the_pairs(spark, monkeypatch):
+    from portolan.operators import search
+
+    monkeypatch.setattr(search, "WORD_BLOCK", 8)  # many tiles
+    rng = random.Random(4)
+    some = ["a", "ab", "bab", "c", "cab", "d"]
+    d = spark.createDataFrame([(None if i % 9 == 0 else i % 25, " ".join(rng.choice(some) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(i if i else None, " ".join(rng.choice(some) for _ in range(3))) for i in range(7)] + [(8, ""), (9, None)], "query_id long, query string")
+    pairs = search._best(search._keyword_join(d, q, "doc_id", "text", "query_id", "query"), "query_id", F.desc("score"), "doc_id", 4)
+    tiles = search.keyword_search_many(d, q, 4)
+    assert set(tiles.collect()) == set(pairs.select(tiles.columns).collect()) and tiles.count() > 20
+    plan = tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan
+
+
+def test_distinct_values_before_they_are_normalised(spark):
+    from portolan.operators.sets import distinct_values
+
+    rows = spark.createDataFrame([("É", "e"), (" e ", None), ("", "b")], "a string, b string")
+    got = distinct_values(rows, ["a", "b"])
+    assert sorted(r[0] for r in got.collect()) == ["b", "e"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_questions_are_dealt_over_tasks(spark):
+    from portolan.operators import questions
+
+    asked = spark.createDataFrame([(1, "do cliente Ana e Ana Maria, ana maria"), (2, "nada")], "id long, q string").coalesce(1)
+    names = spark.createDataFrame([("ana",), ("ana maria",)], "entidade string")
+    got = questions.match_all(asked, {"c": names}, "id", "q")
+    assert [tuple(r) for r in got.collect()] == [(1, "ana maria")]
+    assert "Repartition" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_texts_in_small_files(spark, tmp_path, monkeypatch):
+    from portolan.plans.catalog import files
+
+    spark.createDataFrame([(i, "x" * 90) for i in range(50)] + [(50, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path / "out")
+    monkeypatch.setattr(files, "FILE_BYTES", 1000)
+    monkeypatch.setattr(files, "work_folder", lambda *_: folder)
+    rows = files.whole_texts(spark, str(tmp_path)).collect()
+    import os
+    sizes = [os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".txt")]
+    assert sum(r["copias"] for r in rows if r["tamanho"] == 90) == 50 and max(sizes) < 2500
