@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions import dates, numbers
 from portolan.operators import cleaning, profile
+from portolan.session import work_folder
 from portolan.sources import sinks
 
 REQUIRED = profile.KEY_COLUMNS
@@ -30,6 +31,7 @@ def ingest(raw: DataFrame, aliases: Mapping[str, str], date: str, folder: str, s
     """Convert a raw table and add it to the processed set; gives its integrity row.
 
     Under a batch id the job can run again: its rows are then in the set once. Without one they are appended.
+    Rows are converted once, into a work folder: the filter, the set and the integrity row all read them there.
 
     A table that lacks a required column is turned away before anything is written. Rows without a
     month cannot be filed and are counted as nulls of ``ano_mes``.
@@ -38,5 +40,8 @@ def ingest(raw: DataFrame, aliases: Mapping[str, str], date: str, folder: str, s
     missing = [c for c in required if c not in table.columns]
     if missing:
         raise ValueError(f"required columns are missing: {missing}")
+    spark, converted = raw.sparkSession, work_folder(raw.sparkSession, "ingest")
+    table.write.parquet(converted)
+    table = spark.read.schema(table.schema).parquet(converted)
     sinks.write_processed(table.where(F.col("ano_mes").isNotNull()), folder, schema, batch=batch)
     return profile.integrity(table, required)

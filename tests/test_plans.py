@@ -71,3 +71,24 @@ def test_stored_star_joins_without_an_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     star.drop(spark, "star_test")
     assert not spark.catalog.tableExists("star_test_linhas")
+
+
+def test_ingestion_converts_each_row_once(spark, tmp_path):
+    """The filter, the write and the integrity row read what was converted; rows without a month are counted, not filed."""
+    from pyspark.sql import functions as F
+
+    from portolan.plans import ingest
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(day):
+        seen.add(1)
+        return day
+
+    raw = spark.createDataFrame([("Ana", "3/1/2024", "1,5"), ("ana ", "4/2/2024", "2"), (None, "5/2/2024", "x"), ("Rui", "none", "7"), ("Eva", None, "8"), (None, None, None)], "cliente string, dia string, qtd_container string")
+    raw = raw.withColumn("dia", F.udf(counted, "string")("dia"))
+    row = ingest.ingest(raw, {}, "dia", str(tmp_path / "set"), "s").first()
+    assert (row["total_records"], row["nulos_cliente"], row["nulos_ano_mes"], row["unique_clients"], row["periodo_min"], row["periodo_max"]) == (5, 1, 2, 3, "202401", "202402")
+    filed = spark.read.parquet(str(tmp_path / "set"))
+    assert sorted((r["cliente"] or "", r["qtd_container"]) for r in filed.collect()) == [("", 0.0), ("ana", 1.5), ("ana", 2.0)]
+    assert seen.value <= 2 * raw.count()  # dropping empty rows asks for the day once more
