@@ -14,10 +14,10 @@ _STARS: dict[tuple[str, str], str] = {}
 
 
 def stored_star(spark, d):
-    """One star per session and folder."""
+    """One star per session and folder; its buckets grow in number with the lines."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STARS:
-        _STARS[key] = star.store(spark, d, work_folder(spark, "star"), f"star_{uuid.uuid4().hex[:12]}", BUCKETS)
+        _STARS[key] = star.store(spark, d, work_folder(spark, "star"), f"star_{uuid.uuid4().hex[:12]}", star.buckets_for(spark, d, BUCKETS))
     return _STARS[key]
 
 

@@ -73,6 +73,22 @@ def test_stored_star_joins_without_an_exchange(spark, tmp_path):
     assert not spark.catalog.tableExists("star_test_linhas")
 
 
+def test_stored_star_has_buckets_by_its_lines(spark, monkeypatch):
+    """A bucket holds so many lines whatever the table's size, and what follows from other columns does not move to it."""
+    from portolan.plans import star
+    from portolan.plans.catalog import stored
+    from portolan.plans.movements import table
+
+    lines = table(spark, SF, "lineitem").count()
+    assert star.buckets_for(spark, SF, 4) == 4
+    monkeypatch.setattr(star, "BUCKET_LINES", lines // 20)
+    monkeypatch.setattr(stored, "_STARS", {})
+    name = stored.stored_star(spark, SF)
+    held = table(spark, name, "linhas")
+    assert held.inputFiles() and len(held.inputFiles()) == star.buckets_for(spark, SF, 16) >= 20
+    assert held.count() == lines and set(star.LINE_MOVED).isdisjoint({"ano", "mes", "ano_mes", "exportador", "c20", "c40", "teus"})
+
+
 def test_ingestion_converts_each_row_once(spark, tmp_path):
     """The filter, the write and the integrity row read what was converted; rows without a month are counted, not filed."""
     from pyspark.sql import functions as F
