@@ -20,8 +20,8 @@ def parse_quantity(c: Column | str) -> Column:
     decimal mark, signs and other characters are dropped, nothing usable gives 0.
     """
     marks = F.translate(F.trim(_col(c)), ",.", ".")
-    digits = F.regexp_replace(marks, r"[^0-9.]", "")
-    last_dot_only = F.regexp_replace(digits, r"\.(?=.*\.)", "")
+    # In one pass: other characters, and dots before the last one.
+    last_dot_only = F.regexp_replace(marks, r"[^0-9.]|\.(?=[^.]*\.)", "")
     return F.coalesce(last_dot_only.try_cast("double"), F.lit(0.0))
 
 

@@ -17,6 +17,12 @@ def test_parse_quantity(spark):
     assert values(spark, "string", dirty, numbers.parse_quantity("v")) == [1234.56, 125.0, 3.0, 0, 0, 0, 12.3, 7.0, 0, 5.0]
 
 
+def test_parse_quantity_is_one_pass(spark):
+    """One pattern drops other characters and all decimal marks but the last, across line ends too."""
+    assert str(numbers.parse_quantity("v")).count("regexp_replace") == 1
+    assert values(spark, "string", ["1,2\n,5", "a,b", "1,,2", ",5,"], numbers.parse_quantity("v")) == [12.5, 0, 1.2, 5.0]
+
+
 def test_parse_revenue(spark):
     assert values(spark, "string", ["R$ 1234,5", "1.234,56", None, "x"], numbers.parse_revenue("v")) == [1234.5, None, None, None]
 
