@@ -169,24 +169,25 @@ def rate_limit(spark, d):
 
 @query("t6_rate_limit_stream", RATE)
 def rate_limit_stream(spark, d):
-    """All events, one file per batch: files follow the time, each event up to half a day out of its place.
+    """All events, one part per batch: parts follow the time, each event up to half a day out of its place.
 
     Lateness is two windows of a day, slices have three days, so no batch meets more than the days
-    since the watermark. A last event far behind the others lets the last slices be decided.
+    since the watermark. Each part is there before the stream goes on from its checkpoint and takes it
+    whole. A last event far behind the others lets the last slices be decided.
     """
-    folder, files, day = work_folder(spark, "t6"), 3, 86400
+    folder, parts, day = work_folder(spark, "t6"), 3, 86400
     events = table(spark, d, "events")
     span = events.agg(F.struct(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("z"))).scalar()
     moment = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(day // 2))
-    part = F.least(F.floor((moment - span["a"]) * files / F.greatest(span["z"] - span["a"] + 1, F.lit(1))), F.lit(files - 1))
-    for number in range(files):  # one after another: a stream takes files by their age
-        events.where(part == number).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    part = F.least(F.floor((moment - span["a"]) * parts / F.greatest(span["z"] - span["a"] + 1, F.lit(1))), F.lit(parts - 1))
     after = events.orderBy(F.desc("ts"), "event_id").limit(1).withColumn("user_id", F.lit(-1).cast(events.schema["user_id"].dataType))
-    after.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(30))).write.mode("append").parquet(f"{folder}/in")
-    stream = jobs.stream_table(spark, f"{folder}/in", events.schema, files_per_trigger=1)
-    with jobs.keyed_state(spark):
-        decided = jobs.rate_limit_stream(stream, "user_id", "ts", "event_id", limit=2, window=day, late="2 days", slice_seconds=3 * day)
-        jobs.write_stream(decided, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    batches = [events.where(part == number) for number in range(parts)] + [after.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(30)))]
+    for number, batch in enumerate(batches, 1):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.stream_table(spark, f"{folder}/in", events.schema, files_per_trigger=None)
+        with jobs.keyed_state(spark, more=number < len(batches)):
+            decided = jobs.rate_limit_stream(stream, "user_id", "ts", "event_id", limit=2, window=day, late="2 days", slice_seconds=3 * day)
+            jobs.write_stream(decided, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return _plain_times(spark.read.schema(decided.schema).parquet(f"{folder}/out"))
 
 

@@ -472,6 +472,27 @@ def test_rate_limit_stream_in_slices(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_rate_limit_stream_keeps_state_by_group(spark, tmp_path):
+    """Many keys, a null one among them, share the state of a few groups, and the stream goes on from its checkpoint."""
+    rng = random.Random(6)
+    rows = [(f"k{i % 300}", rng.randint(0, 800), i) for i in range(1200)] + [("", rng.randint(0, 800), 5000 + i) for i in range(9)]
+    whole = [(k or None, t, i) for k, t, i in rows]
+    batches = [[r for r in whole if r[1] < 400], [r for r in whole if r[1] >= 400], [("last", 100_000, 9003)]]
+    for number, batch in enumerate(batches):
+        _events(spark, batch).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_table(spark, str(tmp_path / "in"), _events(spark, []).schema, files_per_trigger=None)
+        with jobs.keyed_state(spark, more=number < 2):
+            decided = jobs.rate_limit_stream(stream, "k", "ts", "i", limit=2, window=60, late="300 seconds", slice_seconds=200, groups=4)
+            query = jobs.write_stream(decided, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+            query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert held and max(held) < 150
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("k IS NULL").count() == 9
+    assert _seconds(got.fillna("", ["k"])) == _plain_windows(rows, 60, 2)
+
+
 def test_forecast_by_group_is_that_of_each_group(spark):
     """Against numpy: full rank, six months of one year, one calendar month a year, constant values, too few months."""
     rng = random.Random(9)
