@@ -32,17 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import mix, text_steps
+from portolan.llm.common import bounded_batches, mix, text_steps
 from portolan.llm.rows import keyed
 from portolan.session import work_folder
 
 END_ID = 2
 SHARD_IDS = 1 << 20
 #: Pieces that one worker remembers, and new ones that are encoded in one call.
-CACHE_PIECES = 800_000
-JOINED_PIECES = 1 << 15
+CACHE_PIECES = 400_000
+JOINED_PIECES = 1 << 13
 #: Bytes and documents of one step.
-STEP_BYTES, STEP_DOCS = 1 << 22, 1 << 13
+STEP_BYTES, STEP_DOCS = 1 << 21, 1 << 13
 
 SHARD_SCHEMA = ("part int, seq int, docs long, tokens long, width int, nulls long, lo long, hi long, ids binary, keys binary, index binary")
 PLACE_SCHEMA = "doc_id long, part int, seq int, begin long, n_tokens long, ids_crc32 long"
@@ -97,8 +97,13 @@ class PieceEncoder:
         self._remember(names, sizes, ids)
 
     def _encode_odd(self, pieces: list[bytes]) -> None:
-        found = [f.ids for f in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
-        self._remember(pieces, np.array([len(f) for f in found], np.int64), np.array([i for f in found for i in f], np.uint32))
+        sizes, ids = [], []
+        for lo in range(0, len(pieces), JOINED_PIECES):
+            group = [p.decode("utf-8", "replace") for p in pieces[lo:lo + JOINED_PIECES]]
+            found = [f.ids for f in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            sizes.append(np.array([len(f) for f in found], np.int64))
+            ids.append(np.array([i for f in found for i in f], np.uint32))
+        self._remember(pieces, np.concatenate(sizes), np.concatenate(ids))
 
     def _encode_new(self, pieces: list[bytes]) -> np.ndarray:
         """Encode pieces not seen before, and return their numbers.
@@ -118,14 +123,17 @@ class PieceEncoder:
         numbers = np.empty(len(pieces), np.int64)
         numbers[order] = len(self.size) + np.arange(len(pieces))
         joined = [pieces[k] for k in order.tolist()]
-        count = int(plain.sum())
+        count, counts, found = int(plain.sum()), [], []
         for lo in range(0, count, JOINED_PIECES):
             group = joined[lo:min(lo + JOINED_PIECES, count)]
             ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(group).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
             inner = ids != self.break_id[0]
             edges = np.concatenate([[-1], np.flatnonzero(~inner), [len(ids)]])
             assert len(edges) == len(group) + 1
-            self._remember(group, np.diff(edges) - 1, ids[inner])
+            counts.append(np.diff(edges) - 1)
+            found.append(ids[inner])
+        if count:
+            self._remember(joined[:count], np.concatenate(counts), np.concatenate(found))
         if count < len(joined):
             self._encode_odd(joined[count:])
         return numbers
@@ -320,13 +328,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
     """Write the shard table of docs (columns doc_id, text) to a folder."""
     with open(vocabulary_path or default_vocabulary(), encoding="utf-8") as file:
         vocabulary = file.read()
-    shards(docs, vocabulary, shard_ids).write.option("compression", "zstd").parquet(path)
+    with bounded_batches(docs.sparkSession):
+        shards(docs, vocabulary, shard_ids).write.option("compression", "zstd").parquet(path)
 
 
 def _ids_of(row: dict) -> np.ndarray:
     return np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Shards one at a time, since each holds megabytes."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
@@ -340,7 +355,7 @@ def places(spark: SparkSession, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, index, keys = _ids_of(row), Index(row["index"]), np.unique(np.frombuffer(row["keys"], "<i8"))
                 first, count = index.find(keys)
                 if count.sum() + row["nulls"] != row["docs"]:
@@ -374,7 +389,7 @@ def lookup(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, index = _ids_of(row), Index(row["index"])
                 for key, first, count in zip(wanted.tolist(), *(x.tolist() for x in index.find(wanted))):
                     for record in range(first, first + count):
