@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_sql_twin(spark, edge, name):
-    for folder, tables in ((SF, TABLES), (edge, ("documents",))):
+    for folder, tables in ((SF, TABLES), (edge, ("documents", "conversations"))):
         con = duckdb.connect()
         for t in tables:
             con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'/*.parquet' if folder == edge else ''}'")
