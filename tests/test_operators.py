@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -620,3 +621,32 @@ def test_whole_texts_in_small_files(spark, tmp_path, monkeypatch):
     import os
     sizes = [os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".txt")]
     assert sum(r["copias"] for r in rows if r["tamanho"] == 90) == 50 and max(sizes) < 2500
+
+
+def test_texts_move_once_to_meet_the_words(spark):
+    d = spark.createDataFrame([(1, "uma carga"), (2, None)], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "carga")], "query_id int, query string")
+    plan = search.keyword_search_many(d, q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan and "split(lower(text" not in plan  # no row per token, no join of them
+
+
+def test_words_in_tokens_are_counted_as_text_does(monkeypatch):
+    rng = random.Random(3)
+    for step in (1, 7, 1 << 20):
+        monkeypatch.setattr(search, "TOKEN_STEP", step)
+        for letters in ("a", "ab", "abcé", "ação€😀x") * 10:
+            tokens, words = (sorted({"".join(rng.choices(letters, k=rng.randint(1, most))) for _ in range(20)}) for most in (14, 6))
+            got = {(tokens[t], words[w]): n for t, w, n in zip(*(x.tolist() for x in search._held(pa.array(tokens), pa.array(words))))}
+            assert got == {(t, w): t.count(w) for t in tokens for w in words if w in t}
+
+
+def test_word_counts_of_texts_in_steps(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "b", "", "abab", "ç"], k=rng.randint(0, 9))) for _ in range(40)]
+    words = ["a", "ab", "ba", "ç", "z"]
+    for block, pairs in ((1 << 20, 1 << 21), (1, 3), (5, 1)):
+        monkeypatch.setattr(search, "WORD_BLOCK", block)
+        monkeypatch.setattr(search, "PAIR_STEP", pairs)
+        rows, word, n = search._text_words(pa.table({"texto": texts}), pa.array(words))
+        assert {(r, words[w]): c for r, w, c in zip(rows.tolist(), word.tolist(), n.tolist())} == {
+            (i, w): sum(t.count(w) for t in text.split()) for i, text in enumerate(texts) for w in words if w in text}
