@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.functions.membership import may_hold
+from portolan.functions.membership import may_hold, place_bits
 from portolan.functions.numbers import percent_change
 from portolan.functions.text import any_of, fold_accents, normalize_text
 from portolan.operators import aggregates as agg
@@ -31,12 +31,15 @@ MONTHS = {
 }
 
 # What a question can filter by, and what an answer is broken down by.
-FILTERED = ("cliente", "porto", "categoria", "ano", "mes")
+FILTERED = {"cliente": "string", "porto": "string", "categoria": "string", "ano": "int", "mes": "int"}
 DETAILS = {"ranking": "nome", "tendencia": "periodo", "comparacao": "tipo"}
 CUBE = (*FILTERED, *DETAILS.values())
 
 YEAR = r"\b(20[0-9]{2})\b"
 
+# Letters of a name that a piece of a question is held against first.
+BEGINNING = 6
+
 
 def _plain(word: str) -> str:
     return word.replace("ç", "c")
@@ -94,11 +97,14 @@ def comparison_period(question: Column) -> Column:
     # One-element outer array: the words are split once per question.
     split = F.array(F.split(F.trim(fold_accents(question)), r"\s+"))
     found = F.transform(split, lambda words: F.array_distinct(F.flatten(F.transform(words, lambda w, i: near(words, w, i)))))
-    dates = F.element_at(found, 1)
     single = date_of(question)
-    return F.when(F.size(dates) >= 2, F.struct(
-        F.array_min(dates).try_cast("date").alias("inicio"), F.array_max(dates).try_cast("date").alias("fim"),
-    )).otherwise(F.struct(F.add_months(single, -1).alias("inicio"), single.alias("fim")))
+
+    def ends(dates: Column) -> Column:
+        return F.when(F.size(dates) >= 2, F.struct(
+            F.array_min(dates).try_cast("date").alias("inicio"), F.array_max(dates).try_cast("date").alias("fim"),
+        )).otherwise(F.struct(F.add_months(single, -1).alias("inicio"), single.alias("fim")))
+
+    return F.element_at(F.transform(found, ends), 1)  # the dates are looked for once
 
 
 def category_of(question: Column) -> Column:
@@ -114,16 +120,19 @@ def _spread(rows: DataFrame) -> DataFrame:
 def match_all(questions: DataFrame, dictionaries: Mapping[str, DataFrame], key: str, text: str, entity: str = "entidade") -> DataFrame:
     """Longest entity of every dictionary that a question contains (alphabetical on ties): the key and a column per dictionary.
 
-    A question is read once for all dictionaries. It is cut into its pieces of the lengths entities have;
-    where they are cut, pieces are held against a bitmap of all entities, and only those that may be
-    one are shuffled to meet the dictionaries by equality. Questions that hold no entity give no row;
-    blank entities are no entity.
+    A question is read once for all dictionaries. Where the beginning of some name may stand, by a bitmap of
+    beginnings, it is cut into pieces of the lengths entities have; where they are cut, pieces are held
+    against a bitmap of all entities, and only those that may be one are shuffled to meet the dictionaries
+    by equality. Questions that hold no entity give no row; blank entities are no entity.
     """
     named = reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("_tipo"), F.col(entity).alias("_e")) for kind, d in dictionaries.items()]).where("_e <> ''").distinct()
-    lengths = named.agg(F.collect_set(F.length("_e"))).scalar()
-    normal = _spread(questions.select(key, text)).select(key, normalize_text(F.col(text)).alias("_q"))
-    cut = normal.select(key, "_q", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length("_q"))
-    cut = cut.select(key, "_q", "_n", F.explode(F.sequence(F.lit(1), F.length("_q") - F.col("_n") + 1)).alias("_i"))
+    lengths, starts = (named.agg(F.collect_set(n)).scalar() for n in (F.length("_e"), F.least(F.length("_e"), F.lit(BEGINNING))))
+    # A generated row: what is asked of the key later stays above it, so callers that spread the same questions share the exchange.
+    normal = _spread(questions.select(key, text)).select(F.explode(F.array(F.struct(F.col(key).alias("k"), normalize_text(F.col(text)).alias("q")))).alias("_r"))
+    sized = normal.select(F.col("_r.k").alias(key), F.col("_r.q").alias("_q"), F.explode(starts).alias("_a")).where(F.col("_a") <= F.length("_q"))
+    placed = sized.select(key, "_q", "_a", F.explode(F.sequence(F.lit(1), F.length("_q") - F.col("_a") + 1)).alias("_i"))
+    begun = placed.where(may_hold(named.select(F.substring("_e", 1, BEGINNING).alias("_b")), "_b")(F.col("_q").substr(F.col("_i"), F.col("_a"))))
+    cut = begun.select(key, "_q", "_a", "_i", F.explode(lengths).alias("_n")).where((F.least(F.col("_n"), F.lit(BEGINNING)) == F.col("_a")) & (F.col("_i") + F.col("_n") <= F.length("_q") + 1))
     pieces = cut.select(key, F.col("_q").substr(F.col("_i"), F.col("_n")).alias("_e")).where(may_hold(named, "_e")(F.col("_e")))
     found = pieces.join(named, "_e")  # a piece that comes twice changes no longest one
     best = [F.min(F.when(F.col("_tipo") == kind, F.struct((-F.length("_e")).alias("n"), F.col("_e").alias("e")))).alias(kind) for kind in dictionaries]
@@ -137,12 +146,12 @@ def match_entities(questions: DataFrame, entities: DataFrame, key: str, text: st
 
 def question_filters(questions: DataFrame, clients: DataFrame, ports: DataFrame, key: str, text: str) -> DataFrame:
     """One filter row per question. A year without a month filters by year alone."""
-    q = F.col(text)
-    kind = intent(q)
-    base = _spread(questions.select(key, text)).select(
+    q, kind, year = F.col(text), F.col("_r.tipo"), F.col("_r.ano")
+    read = _spread(questions.select(key, text)).select(key, text, F.explode(F.array(F.struct(intent(q).alias("tipo"), year_of(q).alias("ano")))).alias("_r"))  # worked out once
+    base = read.select(
         key, kind.alias("tipo_analise"), category_of(q).alias("categoria"),
-        F.when(kind != "comparacao", year_of(q)).alias("ano"),
-        F.when((kind != "comparacao") & year_of(q).isNotNull(), month_of(q)).alias("mes"),
+        F.when(kind != "comparacao", year).alias("ano"),
+        F.when((kind != "comparacao") & year.isNotNull(), month_of(q)).alias("mes"),
         F.when(kind == "comparacao", comparison_period(q)).alias("_periodo"),
     )
     named = match_all(questions, {"cliente": clients, "porto": ports}, key, text)
@@ -183,19 +192,22 @@ def asked_parts(filters: DataFrame, key: str) -> DataFrame:
 def answer_totals(filters: DataFrame, rows: DataFrame, key: str, quantity: str = "qtd_container") -> DataFrame:
     """The totals of a whole table of questions: (key, tipo_analise, parte, total), 0 where nothing fits.
 
-    Movements are summed once by everything a question can name. Questions are then taken by which
-    filters they set, at most 32 kinds, and each kind meets its own sums by equality.
+    Questions are taken by which filters they set, at most 32 kinds, and each kind meets the sums of its own
+    cells by equality; movements of cells that none asks for go before they are summed. `filters` and
+    `rows` are read once per kind; give written tables.
     """
     names = ("cliente", "porto", "categoria", "ano", "mes")
     asked = asked_parts(filters, key)
-    ports = [F.lower(c) for c in ("porto_embarque", "porto_descarga") if c in rows.columns]
-    sums = rows.groupBy(F.lower("cliente").alias("cliente"), F.array_distinct(F.array(*ports)).alias("portos"), F.col("tipo_operacao").alias("categoria"), "ano", "mes").agg(F.sum(quantity).alias("q"))
-    kinds = asked.select(*[F.col(n).isNotNull().alias(n) for n in names]).distinct().collect()
+    moves = _moves(rows, quantity)
+    kinds = asked.groupBy(*[F.col(n).isNotNull().alias(n) for n in names]).count().collect()
     answers = []
     for kind in kinds:
         used = [n for n in names if kind[n]]
         mine = asked.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() if n in used else F.col(n).isNull() for n in names]))
-        held = sums.withColumn("porto", F.explode("portos")) if "porto" in used else sums
+        held = moves.withColumn("porto", F.explode("portos")) if "porto" in used else moves
+        if used:
+            cell = F.struct(*used)
+            held = held.where(may_hold(mine.select(cell.alias("c")), "c", place_bits(kind["count"]))(cell))
         totals = held.groupBy(*used).agg(F.sum("q").alias("total"))
         met = mine.join(totals, used, "left") if used else mine.withColumn("total", totals.scalar())
         answers.append(met.select(key, "tipo_analise", "parte", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total")))
@@ -203,8 +215,16 @@ def answer_totals(filters: DataFrame, rows: DataFrame, key: str, quantity: str =
     return reduce(DataFrame.unionByName, answers, empty)
 
 
+def _moves(rows: DataFrame, quantity: str, *more: Column) -> DataFrame:
+    """Movements by what a question can name, types as questions have them."""
+    ports = [F.lower(c) for c in ("porto_embarque", "porto_descarga") if c in rows.columns]
+    return rows.select(
+        F.lower("cliente").alias("cliente"), F.array_distinct(F.array(*ports)).alias("portos"), F.col("tipo_operacao").cast("string").alias("categoria"),
+        F.col("ano").cast("int").alias("ano"), F.col("mes").cast("int").alias("mes"), *more, F.col(quantity).alias("q"))
+
+
 def _grouping(detail: str | None = None) -> Column:
-    """The grouping id of the cube rows that answer a question: a bit per column that it leaves open."""
+    """The group of the cells that answer a question: a bit per column that it leaves open."""
     bits = F.lit(0)
     for place, name in enumerate(reversed(CUBE)):
         left_open = F.lit(name != detail) if name in DETAILS.values() else F.col(name).isNull()
@@ -212,14 +232,20 @@ def _grouping(detail: str | None = None) -> Column:
     return bits.cast("long")
 
 
-def _cube(sums: DataFrame, sets: set[tuple[str, ...]]) -> DataFrame:
-    """Sums by every grouping set that is asked for. A movement counts under both its ports, so sets with a port are taken apart."""
+def _filled(names: tuple[str, ...]) -> list[Column]:
+    """The group of a set of filters, its columns, and nulls for the filters left open."""
+    group = sum(1 << place for place, c in enumerate(reversed(CUBE)) if c not in names)
+    return [F.lit(group).cast("long").alias("grupo"), *[F.col(c) if c in names else F.lit(None).cast(FILTERED[c]).alias(c) for c in FILTERED]]
+
+
+def _cube(moves: DataFrame, sets: set[tuple[str, ...]], may: Callable[[Column], Column], detail: str | None = None) -> DataFrame:
+    """Sums by every set of filters that is asked for, and by a detail, of those cells that `may` be asked for. A movement counts under both its ports."""
     cubes = []
-    for by_port in (False, True):
-        mine = sorted(s for s in sets if ("porto" in s) == by_port)
-        if mine:
-            held = sums.withColumn("porto", F.explode("portos") if by_port else F.lit(None).cast("string"))
-            cubes.append(held.groupingSets([[F.col(c) for c in s] for s in mine], *CUBE).agg(F.grouping_id(*CUBE).cast("long").alias("grupo"), F.sum("q").alias("total")))
+    for names in sorted(sets):
+        held = moves.withColumn("porto", F.explode("portos")) if "porto" in names else moves
+        by = (*names, detail) if detail else names
+        sums = held.where(may(F.struct(*_filled(names)))).groupBy(*by).agg(F.sum("q").alias("total"))
+        cubes.append(sums.select(*_filled(by), *([detail] if detail else []), "total"))
     return reduce(DataFrame.unionByName, cubes)
 
 
@@ -240,9 +266,9 @@ def answers(filters: DataFrame, rows: DataFrame, key: str, field: str = "armador
     * ranking: the n largest of ``field`` with their joint share of the whole (``percentual``).
     * tendencia: the last three months that have rows, the change from each to the next, their mean and its label.
 
-    Movements are summed by all that a question can name, then by the grouping sets that questions of
-    an intent ask for. Rankings and trends are cut to n and three rows per cell of that cube, and
-    questions meet their cells by equality. `filters` is read several times; give a written table.
+    Movements are summed by the sets of filters that questions of an intent set; those of cells that none
+    asks for go before. Rankings and trends are cut to n and three rows per cell, and questions meet their
+    cells by equality. `filters` and `rows` are read once per set; give written tables.
     """
     # A comparison asks for two months in place of a year and a month.
     of_month = F.col("tipo_analise") == "comparacao"
@@ -251,17 +277,19 @@ def answers(filters: DataFrame, rows: DataFrame, key: str, field: str = "armador
     asked = asked.where(~of_month | F.col("dia").isNotNull()).select(
         key, "tipo_analise", "lado", "cliente", "porto", "categoria",
         F.when(of_month, F.year("dia")).otherwise(F.col("ano")).cast("int").alias("ano"), F.when(of_month, F.month("dia")).otherwise(F.col("mes")).cast("int").alias("mes"))
-    ports = [F.lower(c) for c in ("porto_embarque", "porto_descarga") if c in rows.columns]
-    sums = rows.groupBy(F.lower("cliente").alias("cliente"), F.array_distinct(F.array(*ports)).alias("portos"), F.col("tipo_operacao").alias("categoria"), "ano", "mes", F.col(field).alias("nome")).agg(F.sum(quantity).alias("q"))
-    sums = sums.withColumns({"periodo": F.col("ano") * 100 + F.col("mes"), "tipo": F.col("categoria")})
+    moves = _moves(rows, quantity, F.col(field).alias("nome")).withColumns({"periodo": F.col("ano") * 100 + F.col("mes"), "tipo": F.col("categoria")})
     # At most 32 sets of filters by intent, whatever the number of questions.
-    sets: dict[str, set[tuple[str, ...]]] = {}
-    for kind in asked.select("tipo_analise", *[F.col(c).isNotNull().alias(c) for c in FILTERED]).distinct().collect():
-        used, detail = tuple(c for c in FILTERED if kind[c]), DETAILS.get(kind["tipo_analise"])
-        mine = sets.setdefault(kind["tipo_analise"], set())
-        mine |= {used, (*used, detail)} if detail else {used}
+    sets: dict[str, dict[tuple[str, ...], int]] = {}
+    for kind in asked.groupBy("tipo_analise", *[F.col(c).isNotNull().alias(c) for c in FILTERED]).count().collect():
+        sets.setdefault(kind["tipo_analise"], {})[tuple(c for c in FILTERED if kind[c])] = kind["count"]
+
+    def cube_of(kind: str) -> Callable[..., DataFrame]:
+        wanted = asked.where(F.col("tipo_analise") == kind).withColumn("grupo", _grouping())
+        may = may_hold(wanted.select(F.struct("grupo", *FILTERED).alias("c")), "c", place_bits(sum(sets[kind].values())))
+        return lambda detail=None: _cube(moves, set(sets[kind]), may, detail)
+
     build = {"total": _totals, "ranking": _rankings, "tendencia": _trends, "comparacao": _comparisons}
-    parts = [build[kind](asked, _cube(sums, mine), key, n) for kind, mine in sorted(sets.items()) if kind in build]
+    parts = [build[kind](asked, cube_of(kind), key, n) for kind in sorted(set(sets) & set(build))]
     return reduce(DataFrame.unionByName, parts) if parts else _answer(asked.where(F.lit(False)), key)
 
 
@@ -284,25 +312,25 @@ def _cells(asked: DataFrame, kind: str, cube: DataFrame, detail: str | None = No
     return _by_cell(cube, wanted, "left_semi").select("grupo", *FILTERED, *([detail] if detail else []), "total")
 
 
-def _totals(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
-    met = _met(asked, "total", _cells(asked, "total", cube), "left")
+def _totals(asked: DataFrame, cube: Callable[..., DataFrame], key: str, n: int) -> DataFrame:
+    met = _met(asked, "total", _cells(asked, "total", cube()), "left")
     return _answer(met, key, posicao=F.lit(1), chave=F.lit("total"), total=F.coalesce("total", F.lit(0.0)))
 
 
-def _rankings(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+def _rankings(asked: DataFrame, cube: Callable[..., DataFrame], key: str, n: int) -> DataFrame:
     cell = ["grupo", *FILTERED]
     order = Window.partitionBy(*cell).orderBy(F.desc("total"), "nome")
-    top = _cells(asked, "ranking", cube.where("nome IS NOT NULL"), "nome").withColumn("posicao", F.row_number().over(order)).where(F.col("posicao") <= n)
+    top = _cells(asked, "ranking", cube("nome").where("nome IS NOT NULL"), "nome").withColumn("posicao", F.row_number().over(order)).where(F.col("posicao") <= n)
     top = top.withColumn("juntos", F.sum("total").over(Window.partitionBy(*cell)))  # of n rows at most
-    whole = _cells(asked, "ranking", cube).withColumnRenamed("total", "geral")
+    whole = _cells(asked, "ranking", cube()).withColumnRenamed("total", "geral")
     met = _met(_met(asked, "ranking", whole, "inner"), "ranking", top, "inner", "nome")
     return _answer(met, key, posicao=F.col("posicao"), chave=F.col("nome"), total=F.col("total"), percentual=F.when(F.col("geral") > 0, F.col("juntos") * 100.0 / F.col("geral")))
 
 
-def _trends(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
+def _trends(asked: DataFrame, cube: Callable[..., DataFrame], key: str, n: int) -> DataFrame:
     cell = ["grupo", *FILTERED]
     newest = Window.partitionBy(*cell).orderBy(F.desc("periodo"))
-    last = _cells(asked, "tendencia", cube.where("periodo IS NOT NULL"), "periodo").withColumn("atras", F.row_number().over(newest)).where("atras <= 3")
+    last = _cells(asked, "tendencia", cube("periodo").where("periodo IS NOT NULL"), "periodo").withColumn("atras", F.row_number().over(newest)).where("atras <= 3")
     over = Window.partitionBy(*cell).orderBy("periodo")
     last = last.withColumns({"posicao": F.row_number().over(over), "anterior": F.lag("total").over(over)})
     last = last.withColumn("variacao", F.when(F.col("anterior") > 0, percent_change(F.col("total"), F.col("anterior"))))
@@ -312,9 +340,9 @@ def _trends(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
     return _answer(met, key, chave=F.col("periodo").cast("string"), rotulo=series.trend_name(F.col("media")), **names)
 
 
-def _comparisons(asked: DataFrame, cube: DataFrame, key: str, n: int) -> DataFrame:
-    overall = _met(asked, "comparacao", _cells(asked, "comparacao", cube), "left").withColumn("tipo", F.lit(None).cast("string"))
-    by_type = _met(asked, "comparacao", _cells(asked, "comparacao", cube.where("tipo IS NOT NULL"), "tipo"), "inner", "tipo")
+def _comparisons(asked: DataFrame, cube: Callable[..., DataFrame], key: str, n: int) -> DataFrame:
+    overall = _met(asked, "comparacao", _cells(asked, "comparacao", cube()), "left").withColumn("tipo", F.lit(None).cast("string"))
+    by_type = _met(asked, "comparacao", _cells(asked, "comparacao", cube("tipo").where("tipo IS NOT NULL"), "tipo"), "inner", "tipo")
 
     def side(number: int) -> Column:
         return F.coalesce(F.sum(F.when(F.col("lado") == number, F.col("total"))), F.lit(0.0))

@@ -11,7 +11,7 @@ from portolan.operators.filters import FilterSet
 from portolan.operators.sets import distinct_values
 from portolan.plans.movements import MOVEMENTS_SQL, movements, table
 from portolan.plans.registry import query
-from portolan.session import work_folder
+from portolan.session import stored
 
 NAMES = [n for n in questions.MONTHS if len(n) > 3]
 SHORT = [n for n in questions.MONTHS if len(n) == 3]
@@ -212,9 +212,8 @@ mp AS (SELECT cliente, categoria, ano, mes, pe AS porto, q FROM mq UNION ALL SEL
 def batch(spark, d):
     """Every question of the table answered by its totals; the questions speak of years 20 later."""
     rows = movements(spark, d, "cliente", "porto_embarque", "porto_descarga", "tipo_operacao", "ano", "mes", "qtd_container").withColumn("ano", F.col("ano") + 20)
-    folder = work_folder(spark, "n7")  # read once per kind of question
-    questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta").write.parquet(folder)
-    return questions.answer_totals(spark.read.parquet(folder), rows, "id")
+    asked = questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta")
+    return questions.answer_totals(stored(asked, "n7"), stored(rows, "n7"), "id")  # read once per kind of question
 
 
 def _cube_sql(name, detail):
@@ -253,9 +252,8 @@ UNION ALL SELECT id, 'comparacao', CAST(row_number() OVER (PARTITION BY id ORDER
 def batch_answers(spark, d):
     """Every question of the table answered by its intent; the questions speak of years 20 later."""
     rows = movements(spark, d, "cliente", "armador", "porto_embarque", "porto_descarga", "tipo_operacao", "ano", "mes", "qtd_container").withColumn("ano", F.col("ano") + 20)
-    folder = work_folder(spark, "n7")
-    questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta").write.parquet(folder)
-    found = questions.answers(spark.read.parquet(folder), rows, "id")
+    asked = questions.question_filters(_questions(spark, d), _clients(spark, d), _ports(spark, d), "id", "pergunta")
+    found = questions.answers(stored(asked, "n7"), stored(rows, "n7"), "id")
     return found.withColumns({c: F.bround(c, 6) for c in ("variacao", "percentual", "media")})
 
 

@@ -650,3 +650,36 @@ def test_word_counts_of_texts_in_steps(monkeypatch):
         rows, word, n = search._text_words(pa.table({"texto": texts}), pa.array(words))
         assert {(r, words[w]): c for r, w, c in zip(rows.tolist(), word.tolist(), n.tolist())} == {
             (i, w): sum(t.count(w) for t in text.split()) for i, text in enumerate(texts) for w in words if w in text}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from portolan.session import CLEANUP, passing_shuffles, stored
+
+    rows = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert rows.count() == 7 and spark.conf.get(CLEANUP, None) is None
+    spark.conf.set(CLEANUP, "false")
+    with passing_shuffles(spark):
+        assert spark.conf.get(CLEANUP) == "false"  # the session's own setting
+    spark.conf.unset(CLEANUP)
+    with passing_shuffles(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+
+
+def test_pieces_begin_where_a_name_may_begin(spark):
+    names = spark.createDataFrame([("ana",), ("anabela souza",), ("anabel",), ("zé",)], "entidade string")
+    q = spark.createDataFrame([(1, "da Anabela Souza e anabela"), (2, "anabe"), (3, "ze, anabel"), (4, "an"), (5, None)], "id int, t string")
+    matched = questions.match_entities(q, names, "id", "t")
+    assert sorted(map(tuple, matched.collect())) == [(1, "anabela souza"), (2, "ana"), (3, "anabel")]
+    text = matched._jdf.queryExecution().optimizedPlan().toString()
+    # Two bitmaps: of beginnings where a piece may start, then of whole names.
+    assert text.count("scalar-subquery") >= 4 and text.count("shiftrightunsigned") >= 4
+
+
+def test_bitmaps_of_many_values_are_larger(spark):
+    from portolan.functions import membership
+
+    assert [membership.place_bits(n) for n in (0, 1, 10**6, 2 * 10**6, 10**9)] == [23, 23, 23, 24, 26]
+    some = spark.range(0, 3000, 3)
+    for bits in (23, 25):
+        got = spark.range(3000).where(membership.may_hold(some, "id", bits)(F.col("id"))).count()
+        assert 1000 <= got <= 1010

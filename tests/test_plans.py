@@ -108,3 +108,9 @@ def test_ingestion_converts_each_row_once(spark, tmp_path):
     filed = spark.read.parquet(str(tmp_path / "set"))
     assert sorted((r["cliente"] or "", r["qtd_container"]) for r in filed.collect()) == [("", 0.0), ("ana", 1.5), ("ana", 2.0)]
     assert seen.value <= 2 * raw.count()  # dropping empty rows asks for the day once more
+
+
+@pytest.mark.parametrize("name", ["n7_batch", "n7_batch_answers"])
+def test_movements_of_a_question_table_are_joined_once(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "lineitem" not in text and "Expand" not in text  # sums start from the written rows, one set of columns after the other
