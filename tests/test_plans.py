@@ -114,3 +114,8 @@ def test_ingestion_converts_each_row_once(spark, tmp_path):
 def test_movements_of_a_question_table_are_joined_once(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "lineitem" not in text and "Expand" not in text  # sums start from the written rows, one set of columns after the other
+
+
+def test_hybrid_search_moves_texts_once(spark):
+    text = entry.queries()["x11_hybrid_search"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("CoGroup") == 2 and "split(lower(text" not in text.replace("split(lower(query", "")
