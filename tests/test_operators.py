@@ -647,9 +647,11 @@ def test_word_counts_of_texts_in_steps(monkeypatch):
     for block, pairs in ((1 << 20, 1 << 21), (1, 3), (5, 1)):
         monkeypatch.setattr(search, "WORD_BLOCK", block)
         monkeypatch.setattr(search, "PAIR_STEP", pairs)
-        rows, word, n = search._text_words(pa.table({"texto": texts}), pa.array(words))
+        rows, word, n = search._text_words(pa.table({"texto": texts}), np.arange(40) // 2, pa.array(words))  # two rows to a text
+        both = [" ".join(texts[i:i + 2]) for i in range(0, 40, 2)]
         assert {(r, words[w]): c for r, w, c in zip(rows.tolist(), word.tolist(), n.tolist())} == {
-            (i, w): sum(t.count(w) for t in text.split()) for i, text in enumerate(texts) for w in words if w in text}
+            (i, w): sum(t.count(w) for t in text.split()) for i, text in enumerate(both) for w in words if w in text}
+        assert len(n) == len(set(zip(rows.tolist(), word.tolist()))) and sorted(word.tolist()) == word.tolist()
 
 
 def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
@@ -683,3 +685,18 @@ def test_bitmaps_of_many_values_are_larger(spark):
     for bits in (23, 25):
         got = spark.range(3000).where(membership.may_hold(some, "id", bits)(F.col("id"))).count()
         assert 1000 <= got <= 1010
+
+
+def test_index_files_a_place_once(spark, tmp_path):
+    d = spark.createDataFrame([(1, "cargas porto", "f"), (1, "cargas", "f"), (2, None, "f"), (None, "aba", "g")], "doc_id bigint, text string, source string")
+    path, merged = str(tmp_path / "a"), str(tmp_path / "b")
+    inverted.add(d, path, "x")
+    inverted.add(d.where("doc_id = 2"), path, "y")
+    inverted.compact(spark, path, merged)
+    for where in (path, merged):
+        pieces = inverted.read(spark, where, "pieces")
+        assert pieces.count() == len("cargas") + len("porto") + len("aba")  # not a row for every length of piece
+        posts = inverted.read(spark, where, "postings")
+        assert sorted((r["token"], r["key"] or 0, r["tf"]) for r in posts.collect()) == [("aba", 0, 1), ("cargas", 1, 2), ("porto", 1, 1)]
+    q = spark.createDataFrame([(1, "a"), (2, "carga rto"), (3, "abab")], "query_id int, query string")
+    assert sorted((r["query_id"], r["doc_id"] or 0, r["score"]) for r in inverted.search_many(spark, merged, q).collect()) == [(1, 0, 2), (1, 1, 4), (2, 1, 3)]
